@@ -1 +1,414 @@
-"""Placeholder."""
+"""Joins, merge, generations and status changes."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.keys import job_id
+from ..operators import enrich, ledger, lifecycle, merge
+from ..operators.filters import KeywordPolicy
+from ..schema import CONTENT, SCAN_RUN, VACANCY
+from ..session import shared_dir
+from ..sources.base import first_wins
+from . import fixtures as fx
+from .fixtures import BOARD, BOARD_CLOCK, PRIORITY, SIGHTINGS, WINDOW_HOURS, ts_text
+from .registry import query
+
+_ORDER = "scan_ts, source, o1, o2, o3, o4, o5"
+_H = f"to_hours({WINDOW_HOURS})"
+
+# Generations of the whole log by the plain gap rule, one row per sighting.
+_GAPS = f"""
+{SIGHTINGS}, g0 as (
+  select *, case when scan_ts - lag(scan_ts) over (partition by vacancy_key order by {_ORDER}) <= {_H}
+    then 0 else 1 end opens from v1),
+g1 as (select *, sum(opens) over (partition by vacancy_key order by {_ORDER} rows unbounded preceding) gen from g0),
+g2 as (select *, row_number() over (partition by vacancy_key, gen order by {_ORDER}) rn,
+    min(scan_ts) over (partition by vacancy_key, gen) first_seen,
+    max(scan_ts) over (partition by vacancy_key, gen) last_seen,
+    count(*) over (partition by vacancy_key, gen) sightings from g1)"""
+
+_ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S+00:00')"
+_CITY_RANK = "case c when 'NATION_3' then '1' when 'NATION_7' then '2' else '3' end"
+
+
+def _places(key: str, source: str = "v1") -> str:
+    """CTE text: ordered city list per key."""
+    return f"""(select {key}, array_to_string(list_transform(list_sort(list(distinct concat({_CITY_RANK}, c))),
+      lambda x: substr(x, 2)), ', ') places from (select *, n_name as c from {source}) group by {key})"""
+
+
+def log(spark, sf) -> DataFrame:
+    return merge.with_identity(fx.sightings(spark, sf), fx.gazetteer(spark, sf))
+
+
+def replayed(spark, sf) -> DataFrame:
+    return merge.generations(log(spark, sf), WINDOW_HOURS, priority=PRIORITY)
+
+
+@query("generations", f"""
+with {_GAPS}
+select vacancy_key, substr(sha1(concat(vacancy_key, '|', {_ISO.format('first_seen')})), 1, 16) as job_id, source, clean_url as url,
+  strftime(first_seen, '%Y-%m-%d %H:%M:%S') as first_seen, strftime(last_seen, '%Y-%m-%d %H:%M:%S') as last_seen, sightings
+from g2 where rn = 1
+""")
+def generations(spark, sf):
+    rows = merge.generation_rows(replayed(spark, sf))
+    return rows.select("vacancy_key", "job_id", "source", "url", ts_text("first_seen").alias("first_seen"),
+                       ts_text("last_seen").alias("last_seen"), "sightings")
+
+
+@query("merge_cities", f"""
+with {_GAPS}, p as {_places('vacancy_key, gen', 'g2')}
+select g.vacancy_key, strftime(first_seen, '%Y-%m-%d %H:%M:%S') as first_seen, places
+from g2 g join p on g.vacancy_key = p.vacancy_key and g.gen = p.gen where rn = 1
+""")
+def merge_cities(spark, sf):
+    return replayed(spark, sf).select(
+        "vacancy_key", ts_text("first_seen").alias("first_seen"), F.array_join("locations", ", ").alias("places"))
+
+
+@query("first_seen_wins", f"""
+with {_GAPS}
+select vacancy_key, strftime(first_seen, '%Y-%m-%d %H:%M:%S') as first_seen, source, company, title, location,
+  description, posted_at, salary_min, salary_max, currency from g2 where rn = 1
+""")
+def first_seen_wins(spark, sf):
+    cols = ["source", "company", "title", "location", "description", "posted_at", "salary_min", "salary_max", "currency"]
+    return replayed(spark, sf).select(
+        "vacancy_key", ts_text("first_seen").alias("first_seen"), *[F.col(f"first.{c}").alias(c) for c in cols])
+
+
+@query("expire_replayed", f"""
+with {_GAPS}, s as (select source, max(scan_ts) last_scan from v1 where source <> 'promo' group by source)
+select vacancy_key, strftime(first_seen, '%Y-%m-%d %H:%M:%S') as first_seen,
+  case when last_seen < last_scan - {_H} then 'expired' else 'new' end as status
+from g2 left join s on g2.source = s.source where rn = 1
+""")
+def expire_replayed(spark, sf):
+    """The scans of one source all failed, so its rows stay."""
+    rows = log(spark, sf)
+    scans = rows.filter(F.col("source") != "promo").select("source", F.col("fetched_at").alias("scan_ts"))
+    gens = merge.generation_rows(merge.generations(rows, WINDOW_HOURS, priority=PRIORITY))
+    out = merge.expire_replayed(gens, scans, WINDOW_HOURS)
+    return out.select("vacancy_key", ts_text("first_seen").alias("first_seen"), "status")
+
+
+@query("dedup_first", """
+with r as (select doc_id, source, lang, row_number() over (partition by text order by doc_id) rn from documents)
+select doc_id, source, lang from r where rn = 1
+""")
+def dedup_first(spark, sf):
+    docs = fx.table(spark, sf, "documents").withColumn("digest", F.sha2("text", 256))
+    return first_wins(docs, ["digest"], ["doc_id"]).select("doc_id", "source", "lang")
+
+
+# --- one scan merged into a table -------------------------------------------------------------------
+# The table holds all generations up to SPLIT; the scan is everything after it, at one clock.
+
+SPLIT, SCAN_TS = "2001-03-01", "2001-06-01"
+_POLICY = KeywordPolicy(title_negative=("hot",), place_block=("africa",))
+_KEEPS = "not contains(lower(title), 'hot') and not contains(lower(location), 'africa')"
+
+_MERGE = f"""
+{SIGHTINGS}, g0 as (
+  select *, case when scan_ts - lag(scan_ts) over (partition by vacancy_key order by {_ORDER}) <= {_H}
+    then 0 else 1 end opens from v1 where scan_ts < timestamp '{SPLIT}'),
+g1 as (select *, sum(opens) over (partition by vacancy_key order by {_ORDER} rows unbounded preceding) gen from g0),
+g2 as (select *, row_number() over (partition by vacancy_key, gen order by {_ORDER}) rn,
+    min(scan_ts) over (partition by vacancy_key, gen) first_seen,
+    max(scan_ts) over (partition by vacancy_key, gen) last_seen from g1),
+snap as (
+  select vacancy_key, gen, source, clean_url url, first_seen, last_seen,
+    substr(sha1(concat(vacancy_key, '|', {_ISO.format('first_seen')})), 1, 16) job_id,
+    last_seen >= timestamp '{SCAN_TS}' - {_H}
+      and row_number() over (partition by vacancy_key order by last_seen desc) = 1 live
+  from g2 where rn = 1),
+scan as (select *, row_number() over (partition by vacancy_key order by source, o1, o2, o3, o4, o5) rn
+  from v1 where scan_ts >= timestamp '{SPLIT}' and {_KEEPS}),
+cities as (
+  select vacancy_key, gen, n_name from g2
+  union select s.vacancy_key, j.gen, s.n_name from scan s join snap j on s.vacancy_key = j.vacancy_key and j.live
+  union select s.vacancy_key, -1, s.n_name from scan s
+    where s.vacancy_key not in (select vacancy_key from snap where live)),
+merged as (
+  select j.vacancy_key, j.gen, job_id, j.source, j.url, first_seen,
+    case when s.vacancy_key is not null then timestamp '{SCAN_TS}' else last_seen end last_seen,
+    case when s.vacancy_key is not null then 'merged' else 'kept' end as change
+  from snap j left join (select distinct vacancy_key from scan) s on j.vacancy_key = s.vacancy_key and j.live
+  union all
+  select vacancy_key, -1, substr(sha1(concat(vacancy_key, '|', {_ISO.format(f"timestamp '{SCAN_TS}'")})), 1, 16),
+    source, clean_url, timestamp '{SCAN_TS}', timestamp '{SCAN_TS}', 'new'
+  from scan where rn = 1 and vacancy_key not in (select vacancy_key from snap where live))"""
+
+
+def snapshot_before(spark, sf) -> DataFrame:
+    rows = log(spark, sf).filter(F.col("fetched_at") < F.to_timestamp(F.lit(SPLIT)))
+    gens = merge.generation_rows(merge.generations(rows, WINDOW_HOURS, priority=PRIORITY))
+    return gens.select(*[
+        (F.col(f.name) if f.name in gens.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in VACANCY.fields
+    ])
+
+
+def scan_rows(spark, sf) -> DataFrame:
+    return log(spark, sf).filter(F.col("fetched_at") >= F.to_timestamp(F.lit(SPLIT)))
+
+
+def merged(spark, sf) -> DataFrame:
+    return merge.merge_scan(
+        snapshot_before(spark, sf), scan_rows(spark, sf).filter(_POLICY.keeps()),
+        F.to_timestamp(F.lit(SCAN_TS)), WINDOW_HOURS, PRIORITY)
+
+
+@query("upsert_snapshot", f"""
+with {_MERGE}, p as {_places('vacancy_key, gen', 'cities')}
+select m.vacancy_key, job_id, source, url, change, places, strftime(first_seen, '%Y-%m-%d %H:%M:%S') as first_seen,
+  strftime(last_seen, '%Y-%m-%d %H:%M:%S') as last_seen
+from merged m join p on m.vacancy_key = p.vacancy_key and m.gen = p.gen
+""")
+def upsert_snapshot(spark, sf):
+    return merged(spark, sf).select(
+        "vacancy_key", "job_id", "source", "url", "change", F.array_join("locations", ", ").alias("places"),
+        ts_text("first_seen").alias("first_seen"), ts_text("last_seen").alias("last_seen"))
+
+
+@query("live_match", f"""
+with {_MERGE}
+select s.url, s.vacancy_key, j.job_id from (select *, source s_source from scan) s
+left join snap j on s.vacancy_key = j.vacancy_key and j.live
+""")
+def live_match(spark, sf):
+    """Every sighting of the scan with the live row it belongs to, if any."""
+    live = merge.mark_live(snapshot_before(spark, sf), F.to_timestamp(F.lit(SCAN_TS)), WINDOW_HOURS)
+    live = live.filter("is_live").select("vacancy_key", "job_id")
+    rows = fx.sightings(spark, sf).select("pos", F.col("url").alias("raw_url"))
+    kept = scan_rows(spark, sf).filter(_POLICY.keeps())
+    return kept.join(rows, "pos").join(live, "vacancy_key", "left").select(
+        F.col("raw_url").alias("url"), "vacancy_key", "job_id")
+
+
+_COUNTS = f"""
+with {_MERGE}, seen as (
+  select source, count(*) found, count(*) filter (where not ({_KEEPS})) filtered
+  from v1 where scan_ts >= timestamp '{SPLIT}' group by source),
+n as (select source, count(*) n from merged where change = 'new' group by source),
+c as (select s.source, found, coalesce(n, 0) as new, found - filtered - coalesce(n, 0) dupes, filtered
+  from seen s left join n on s.source = n.source)
+"""
+
+
+def counts(spark, sf) -> DataFrame:
+    new = merged(spark, sf).filter(F.col("change") == "new")
+    return ledger.scan_counts(scan_rows(spark, sf), _POLICY.keeps(), new)
+
+
+@query("scan_counts", _COUNTS + "select * from c")
+def scan_counts(spark, sf):
+    return counts(spark, sf)
+
+
+@query("scan_totals", _COUNTS + """select * from c union all
+  select '*', cast(sum(found) as bigint), cast(sum(new) as bigint), cast(sum(dupes) as bigint), cast(sum(filtered) as bigint) from c""")
+def scan_totals(spark, sf):
+    return ledger.scan_totals(counts(spark, sf))
+
+
+@query("scan_ledger", _COUNTS + f"""select source, found, new, dupes, filtered, 0 as errors,
+  '{SCAN_TS} 00:00:00' as started_at from c""")
+def scan_ledger(spark, sf):
+    """Appended to the run ledger and read back."""
+    path = shared_dir(spark, "ledger")
+    ts = F.to_timestamp(F.lit(SCAN_TS))
+    rows = counts(spark, sf).withColumns({
+        "run_id": F.concat(F.lit(f"{SCAN_TS}-"), "source"), "started_at": ts, "finished_at": ts,
+        "errors": F.lit(0), "error_detail": F.lit("")})
+    ledger.append(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCAN_RUN.fields]), path)
+    back = spark.read.schema(SCAN_RUN).parquet(path)
+    return back.select("source", "found", "new", "dupes", "filtered", "errors", ts_text("started_at").alias("started_at"))
+
+
+@query("dry_run_counts", f"""
+with {SIGHTINGS}, k as (select *, row_number() over (partition by vacancy_key order by source, o1, o2, o3, o4, o5) rn
+  from v1 where {_KEEPS})
+select source, count(*) as kept, count(*) filter (where rn = 1) as new, count(*) filter (where rn > 1) as dupes
+from k group by source
+""")
+def dry_run_counts(spark, sf):
+    return merge.dry_run(log(spark, sf).filter(_POLICY.keeps()))
+
+
+@query("expire_stale", f"""
+with {_MERGE}
+select job_id, case when change = 'kept' and last_seen < timestamp '{SCAN_TS}' - {_H}
+  and source in ('economy', 'large', 'medium', 'promo') then 'expired' else 'new' end as status from merged
+""")
+def expire_stale(spark, sf):
+    """After the merge; two of the six sources failed in this scan."""
+    table = merged(spark, sf).drop("change")
+    out = lifecycle.expire_stale(
+        table, ["economy", "large", "medium", "promo"], F.to_timestamp(F.lit(SCAN_TS)), WINDOW_HOURS)
+    return out.select("job_id", "status")
+
+
+# --- verdicts and statuses on the board ---------------------------------------------------------------
+
+def verdict_rows(spark, sf) -> DataFrame:
+    """Conversation turns as verdicts: on an id, on a link, on nothing known; several per target."""
+    c = fx.table(spark, sf, "conversations")
+    doc = F.col("conv_id").cast("string")
+    form = F.col("turn") % 4
+    return c.select(
+        F.when(form == 0, F.substring(F.sha1(doc), 1, 16)).when(form == 3, "deadbeef").alias("job_id"),
+        F.when(form.isin(1, 2), F.concat(F.lit("https://boards.example.com/src"), F.col("turn").cast("string"),
+                                         F.lit("/"), doc)).alias("url"),
+        F.when(F.col("role") == "user", F.length("text").cast("double")).alias("score"),
+        F.when(form == 1, "applied").alias("status"), F.col("turn").cast("int").alias("report_num"),
+        F.struct("conv_id", "turn").alias("seq"))
+
+
+_VERDICTS = f"""
+{BOARD}, ver as (
+  select conv_id, turn, case when turn % 4 = 0 then substr(sha1(cast(conv_id as varchar)), 1, 16)
+      when turn % 4 = 3 then 'deadbeef' end job_id,
+    case when turn % 4 in (1, 2) then concat('https://boards.example.com/src', cast(turn as varchar), '/', cast(conv_id as varchar)) end url,
+    case when role = 'user' then cast(length(text) as double) end score,
+    case when turn % 4 = 1 then 'applied' else 'evaluated' end status, turn report_num from conversations),
+hit as (select v.*, b.job_id target from ver v join board b
+  on v.job_id = b.job_id or (v.job_id is null and v.url = b.url)),
+lastv as (select * from (select *, row_number() over (partition by target order by conv_id desc, turn desc) rn from hit) where rn = 1)
+"""
+
+
+@query("match_verdicts", f"with {_VERDICTS} select target as job_id, count(*) as n from hit group by target")
+def match_verdicts(spark, sf):
+    m = lifecycle.match_verdicts(fx.board(spark, sf), verdict_rows(spark, sf))
+    return m.groupBy("job_id").agg(F.sum("n").alias("n"))
+
+
+@query("apply_verdicts", f"""
+with {_VERDICTS}
+select b.job_id, case when l.target is not null then l.status else b.status end as status,
+  case when l.target is not null then l.score else b.score end as score, cast(l.report_num as int) as report_num,
+  (select count(*) from hit) as updated
+from board b left join lastv l on b.job_id = l.target
+""")
+def apply_verdicts(spark, sf):
+    out, hits = lifecycle.apply_verdicts(fx.board(spark, sf), verdict_rows(spark, sf))
+    return out.select("job_id", "status", "score", "report_num").crossJoin(F.broadcast(hits))
+
+
+def status_events(spark, sf) -> DataFrame:
+    """Events as status changes: the user number is the listing, the type decides what happened."""
+    e = fx.table(spark, sf, "events")
+    kind = F.col("event_type")
+    status = (
+        F.when(kind == "purchase", "applied").when(kind == "signup", "new").when(kind == "error", "typo")
+        .when((kind == "click") & (F.col("value") < 20), "saved"))
+    return e.select(
+        F.substring(F.sha1(F.col("user_id").cast("string")), 1, 16).alias("job_id"), status.alias("status"),
+        F.when(kind == "view", "open").otherwise("set").alias("kind"),
+        F.struct("ts", "event_id").alias("seq"), "event_id")
+
+
+_EVENTS = f"""
+{BOARD}, ev as (
+  select event_id, ts, substr(sha1(cast(user_id as varchar)), 1, 16) job_id, case when event_type = 'purchase' then 'applied'
+    when event_type = 'signup' then 'new' when event_type = 'error' then 'typo'
+    when event_type = 'click' and value < 20 then 'saved' end status,
+    case when event_type = 'view' then 'open' else 'set' end kind from events)
+"""
+
+
+@query("apply_status", f"""
+with {_EVENTS}, l as (select * from (select *, row_number() over (partition by job_id order by ts desc, event_id desc) rn
+  from ev where status in ('new', 'applied', 'saved')) where rn = 1)
+select b.job_id, coalesce(l.status, b.status) as status, score from board b left join l on b.job_id = l.job_id
+""")
+def apply_status(spark, sf):
+    events = status_events(spark, sf).filter(F.col("kind") == "set")
+    return lifecycle.apply_status(fx.board(spark, sf), events).select("job_id", "status", "score")
+
+
+@query("rejected_status", f"""
+with {_EVENTS} select event_id, job_id, status from ev
+where kind = 'set' and (status is null or status not in ('new', 'applied', 'saved'))
+""")
+def rejected_status(spark, sf):
+    events = status_events(spark, sf).filter(F.col("kind") == "set")
+    return lifecycle.split_settable(events)[1].select("event_id", "job_id", "status")
+
+
+@query("view_transition", f"""
+with {_EVENTS}, s as (
+  select job_id, max(case when kind = 'set' and status in ('new', 'applied', 'saved') then event_id end) set_at,
+    max(case when kind = 'open' then event_id end) opened_at from ev group by job_id),
+f as (select b.job_id, coalesce(e.status, b.status) base, set_at, opened_at
+  from board b left join s on b.job_id = s.job_id left join ev e on e.event_id = s.set_at)
+select job_id, case when base = 'new' and opened_at is not null and (set_at is null or opened_at > set_at)
+  then 'viewed' else base end as status from f
+""")
+def view_transition(spark, sf):
+    events = status_events(spark, sf).withColumn("seq", F.col("event_id"))
+    return lifecycle.apply_status_and_views(fx.board(spark, sf), events).select("job_id", "status")
+
+
+@query("apply_scores", f"""
+with {BOARD}, s as (select * from (select *, row_number() over (partition by user_id order by ts desc) rn from events) where rn = 1)
+select job_id, status, case when s.user_id is not null then s.value else b.score end as score,
+  case when s.user_id is not null then s.event_type else b.eval_reason end as eval_reason
+from board b left join s on b.doc_id = s.user_id
+""")
+def apply_scores(spark, sf):
+    scores = fx.table(spark, sf, "events").select(
+        F.substring(F.sha1(F.col("user_id").cast("string")), 1, 16).alias("job_id"),
+        F.col("value").alias("score"), F.col("event_type").alias("eval_reason"),
+        F.lit("events").alias("engine"), F.col("ts").alias("evaluated_at"))
+    return lifecycle.apply_scores(fx.board(spark, sf), scores).select("job_id", "status", "score", "eval_reason")
+
+
+@query("stage_moves", f"""
+with {BOARD}, m as (select * from (values ('saved', 'applied'), ('saved', 'rejected'), ('saved', 'new'),
+  ('applied', 'rejected'), ('applied', 'new'), ('rejected', 'saved'), ('rejected', 'new')) t(stage, move))
+select job_id, status, move from board join m on status = stage
+""")
+def stage_moves(spark, sf):
+    return lifecycle.stage_moves(fx.board(spark, sf)).select("job_id", "status", "move")
+
+
+@query("enrich_detail", f"""
+with {BOARD}
+select job_id, case when source = 'src0' and lang_ok then 'full ' || cast(doc_id as varchar) else description end as description,
+  jd_full or (source = 'src0' and lang_ok) as jd_full
+from (select b.*, d.lang in ('en', 'de') lang_ok from board b join documents d on b.doc_id = d.doc_id)
+""")
+def enrich_detail(spark, sf):
+    """Details exist for every listing; those of some languages are empty and change nothing."""
+    docs = fx.table(spark, sf, "documents")
+    details = docs.select(
+        F.col("doc_id").cast("string").alias("listing_id"),
+        F.when(F.col("lang").isin("en", "de"), F.concat(F.lit("full "), F.col("doc_id").cast("string")))
+        .when(F.col("lang") == "fr", "").alias("description"))
+    out = enrich.enrich_detail(
+        fx.board(spark, sf), details, F.col("doc_id").cast("string"), source="src0", limit=None)
+    return out.select("job_id", "description", "jd_full")
+
+
+@query("semi_ids", f"with {BOARD} select job_id, status from board where doc_id in (select user_id from events)")
+def semi_ids(spark, sf):
+    ids = fx.table(spark, sf, "events").select(F.substring(F.sha1(F.col("user_id").cast("string")), 1, 16).alias("job_id"))
+    return enrich.only_ids(fx.board(spark, sf), ids).select("job_id", "status")
+
+
+@query("anti_scored", f"with {BOARD} select job_id, status from board where doc_id not in (select doc_id from labels)")
+def anti_scored(spark, sf):
+    ids = fx.table(spark, sf, "labels").select(F.substring(F.sha1(F.col("doc_id").cast("string")), 1, 16).alias("job_id"))
+    return enrich.not_scored(fx.board(spark, sf), ids).select("job_id", "status")
+
+
+@query("gazetteer_join", f"with {SIGHTINGS} select url, n_name as city from v1 where n_name <> 'NATION_5'")
+def gazetteer_join(spark, sf):
+    names = fx.table(spark, sf, "nation").select(
+        F.col("n_name").alias("name"), F.when(F.col("n_name") == "NATION_5", "FR").otherwise("GB").alias("country_code"))
+    return enrich.gazetteer_join(fx.sightings(spark, sf), names).select("url", "city")

@@ -21,6 +21,12 @@ _OUT = ("source", "company", "title", "url", "location", "description", "jd_full
         "salary_min", "salary_max", "currency", "remote")
 
 
+# A text key that both engines can form.
+_KEY = F.concat_ws("-", *[F.col(f"pos.{c}").cast("string") for c in (
+    "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")])
+_SQL_KEY = "concat_ws('-', o1, o2, o3, o4, o5)"
+
+
 def _shown(df: DataFrame) -> DataFrame:
     return df.select(*_OUT)
 
@@ -126,7 +132,7 @@ def indeed_replies(rows: DataFrame) -> DataFrame:
             estimated=_obj(currencyCode=F.lit("EUR"), baseSalary=pay("year", line == "F")),
             currencyCode=F.col("currency")),
         attributes=F.array(_obj(label=F.when(flag == "N", "Work from home").otherwise("Full time")))))
-    key = F.xxhash64("pos").cast("string")
+    key = _KEY
     results = F.array(job(F.lit(""), F.col("title")), job(key, F.col("title")), job(key, F.lit("again")))
     return _payloads(rows, "indeed", F.to_json(_obj(data=_obj(jobSearch=_obj(results=results)))))
 
@@ -135,20 +141,17 @@ _YEARLY = "l_linestatus = 'F' and l_returnflag <> 'R'"
 
 
 @query("src_indeed", _sql(
-    "indeed", url="'key'", posted_at="posted_at",
+    "indeed", url=f"concat('https://uk.indeed.com/viewjob?jk=', {_SQL_KEY})", posted_at="posted_at",
     salary_min=f"case when {_YEARLY} then salary_min end",
     salary_max=f"case when {_YEARLY} then salary_max end",
     currency=f"case when {_YEARLY} then coalesce(currency, 'EUR') end",
     remote="case when l_returnflag = 'N' then true end"))
 def src_indeed(spark, sf):
-    """The link holds a Spark hash that the SQL side cannot compute; its shape is checked instead."""
-    rows = _shown(indeed(indeed_replies(fx.sightings(spark, sf))))
-    good = F.col("url").rlike(r"^https://uk\.indeed\.com/viewjob\?jk=-?\d+$")
-    return rows.withColumn("url", F.when(good, "key").otherwise(F.col("url")))
+    return _shown(indeed(indeed_replies(fx.sightings(spark, sf))))
 
 
 def linkedin_replies(rows: DataFrame) -> DataFrame:
-    link = F.concat(F.lit("https://uk.linkedin.com/jobs/view/"), F.xxhash64("pos").cast("string"))
+    link = F.concat(F.lit("https://uk.linkedin.com/jobs/view/"), _KEY)
     card = lambda title: F.concat(
         F.lit('<li>\n<a href="'), link, F.lit('?trk=x"></a><h3 class="base-search-card__title"> '), title,
         F.lit(' </h3><h4 class="base-search-card__subtitle"><a href="#">'), F.col("company"),
@@ -158,12 +161,10 @@ def linkedin_replies(rows: DataFrame) -> DataFrame:
     return _payloads(rows, "linkedin", page)
 
 
-@query("src_html_cards", _sql("linkedin", company="concat(company, ' & Co')", url="'link'",
+@query("src_html_cards", _sql("linkedin", company="concat(company, ' & Co')", url=f"concat('https://uk.linkedin.com/jobs/view/', {_SQL_KEY})",
                               description="''", posted_at="posted_at"))
 def src_html_cards(spark, sf):
-    rows = _shown(linkedin(linkedin_replies(fx.sightings(spark, sf))))
-    good = F.col("url").rlike(r"^https://uk\.linkedin\.com/jobs/view/-?\d+$")
-    return rows.withColumn("url", F.when(good, "link").otherwise(F.col("url")))
+    return _shown(linkedin(linkedin_replies(fx.sightings(spark, sf))))
 
 
 def greenhouse_replies(rows: DataFrame) -> DataFrame:
@@ -225,7 +226,7 @@ def src_workable(spark, sf):
 def workday_replies(rows: DataFrame) -> DataFrame:
     """A list reply that names its posting twice, and for most postings a detail reply."""
     flag = F.col("l_returnflag")
-    path = F.concat(F.lit("/job/"), F.xxhash64("pos").cast("string"))
+    path = F.concat(F.lit("/job/"), _KEY)
     posting = lambda t: _obj(title=t, externalPath=path, locationsText=F.col("location"))
     listed = F.to_json(_obj(jobPostings=F.array(posting(F.col("title")), posting(F.lit("again"))), total=F.lit(2)))
     info = _obj(
@@ -243,16 +244,15 @@ def workday_replies(rows: DataFrame) -> DataFrame:
 with {SIGHTINGS}, w as (
   select *, case when l_returnflag = 'A' then [n_name, s_nation] else [location] end places from v1)
 select 'workday' as source, company, case when l_returnflag = 'A' then upper(title) else title end as title,
-  case when l_returnflag = 'A' then url else 'link' end as url, unnest(places) as location,
+  case when l_returnflag = 'A' then url
+    else concat('https://acme.wd3.example.com/en-US/Careers/job/', {_SQL_KEY}) end as url, unnest(places) as location,
   case when l_returnflag = 'R' then '' else description end as description, true as jd_full,
   case when l_returnflag <> 'R' then posted_at end as posted_at, cast(null as double) as salary_min,
   cast(null as double) as salary_max, cast(null as varchar) as currency, cast(null as boolean) as remote
 from w
 """)
 def src_workday(spark, sf):
-    rows = _shown(workday(workday_replies(fx.sightings(spark, sf))))
-    made = F.col("url").rlike(r"^https://acme\.wd3\.example\.com/en-US/Careers/job/-?\d+$")
-    return rows.withColumn("url", F.when(made, "link").otherwise(F.col("url")))
+    return _shown(workday(workday_replies(fx.sightings(spark, sf))))
 
 
 def oracle_replies(rows: DataFrame) -> DataFrame:
