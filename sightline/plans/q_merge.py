@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import job_id
 from ..operators import enrich, ledger, lifecycle, merge
 from ..operators.filters import KeywordPolicy
-from ..schema import CONTENT, SCAN_RUN, VACANCY
+from ..schema import SCAN_RUN, VACANCY
 from ..session import shared_dir
 from ..sources.base import first_wins
 from . import fixtures as fx
-from .fixtures import BOARD, BOARD_CLOCK, PRIORITY, SIGHTINGS, WINDOW_HOURS, ts_text
+from .fixtures import BOARD, PRIORITY, SIGHTINGS, WINDOW_HOURS, ts_text
 from .registry import query
 
 _ORDER = "scan_ts, source, o1, o2, o3, o4, o5"
@@ -176,17 +175,15 @@ def upsert_snapshot(spark, sf):
 
 @query("live_match", f"""
 with {_MERGE}
-select s.url, s.vacancy_key, j.job_id from (select *, source s_source from scan) s
+select s.clean_url as url, s.vacancy_key, j.job_id from scan s
 left join snap j on s.vacancy_key = j.vacancy_key and j.live
 """)
 def live_match(spark, sf):
     """Every sighting of the scan with the live row it belongs to, if any."""
     live = merge.mark_live(snapshot_before(spark, sf), F.to_timestamp(F.lit(SCAN_TS)), WINDOW_HOURS)
     live = live.filter("is_live").select("vacancy_key", "job_id")
-    rows = fx.sightings(spark, sf).select("pos", F.col("url").alias("raw_url"))
-    kept = scan_rows(spark, sf).filter(_POLICY.keeps())
-    return kept.join(rows, "pos").join(live, "vacancy_key", "left").select(
-        F.col("raw_url").alias("url"), "vacancy_key", "job_id")
+    kept = scan_rows(spark, sf).filter(_POLICY.keeps()).select("url", "vacancy_key")
+    return kept.join(live, "vacancy_key", "left")
 
 
 _COUNTS = f"""
