@@ -49,28 +49,36 @@ def first_per_key(
     )
 
 
-def mark_live(snapshot: DataFrame, scan_ts: Column, hours: int) -> DataFrame:
-    """Add `is_live`: the latest row of its key, if that was seen within the window."""
+def mark_latest(snapshot: DataFrame) -> DataFrame:
+    """Add `is_latest`: the row of its key seen last. A key has one row per generation."""
     latest = Window.partitionBy("vacancy_key").orderBy(F.desc("last_seen"), F.desc("job_id"))
-    recent = F.col("last_seen") >= scan_ts - F.make_dt_interval(hours=F.lit(max(0, hours)))
-    return snapshot.withColumn("is_live", recent & (F.row_number().over(latest) == 1))
+    return snapshot.withColumn("is_latest", F.row_number().over(latest) == 1)
 
 
-def merge_scan(
-    snapshot: DataFrame, keyed: DataFrame, scan_ts: datetime | Column, hours: int,
-    priority: Sequence[str] = DEFAULT_PRIORITY, order: Sequence[str] = ORDER,
-) -> DataFrame:
-    """Merge the kept sightings of one scan; adds `change` = kept | merged | new.
+def _hours(n: int) -> Column:
+    return F.make_dt_interval(hours=F.lit(max(0, n)))
 
-    A sighting of a live row refreshes `last_seen` and may add a city; any other opens a new row.
-    All sightings of one scan share its clock. One full outer join on the key does both; the window
-    that finds the live row uses the same partitioning, so the snapshot is shuffled once.
-    """
+
+def live_rows(snapshot: DataFrame, scan_ts: datetime | Column, hours: int) -> DataFrame:
+    """The rows a sighting at `scan_ts` would merge into: at most one per key."""
     ts = scan_ts if isinstance(scan_ts, Column) else F.lit(scan_ts)
-    old = mark_live(snapshot.select(*VACANCY.fieldNames()), ts, hours).alias("old")
-    new = first_per_key(keyed, order).alias("new")
+    return mark_latest(snapshot.filter(F.col("last_seen") >= ts - _hours(hours))).filter(
+        "is_latest").drop("is_latest")
+
+
+def _combine(snapshot: DataFrame, seen: DataFrame, hours: int, priority: Sequence[str]) -> DataFrame:
+    """Full outer join of the table with (vacancy_key, gen, first_seen, last_seen, first, cities).
+
+    Only the earliest new generation of a key can continue the latest row of the key. The window that
+    finds that row is partitioned by the join key, so the table is shuffled once.
+    """
+    old = mark_latest(snapshot.select(*VACANCY.fieldNames())).alias("old")
+    new = seen.alias("new")
     both = old.join(
-        new, (F.col("old.vacancy_key") == F.col("new.vacancy_key")) & F.col("old.is_live"),
+        new,
+        (F.col("old.vacancy_key") == F.col("new.vacancy_key")) & F.col("old.is_latest")
+        & (F.col("new.gen") == 1)
+        & (F.col("new.first_seen") <= F.col("old.last_seen") + _hours(hours)),
         "full_outer")
 
     is_new = F.col("old.job_id").isNull()
@@ -83,8 +91,9 @@ def merge_scan(
         .otherwise(F.col("old.locations"))
     )
     fresh = {
-        "job_id": job_id(F.col("new.vacancy_key"), ts), "vacancy_key": F.col("new.vacancy_key"),
-        "status": F.lit("new"), "first_seen": ts, "last_seen": ts,
+        "job_id": job_id(F.col("new.vacancy_key"), F.col("new.first_seen")),
+        "vacancy_key": F.col("new.vacancy_key"), "status": F.lit("new"),
+        "first_seen": F.col("new.first_seen"), "last_seen": F.col("new.last_seen"),
         **{c: F.col(f"new.first.{c}") for c in CONTENT},
     }
 
@@ -93,7 +102,7 @@ def merge_scan(
             return locations
         kept = F.col(f"old.{name}")
         if name == "last_seen":
-            kept = F.when(is_hit, ts).otherwise(kept)
+            kept = F.when(is_hit, F.greatest(kept, F.col("new.last_seen"))).otherwise(kept)
         return F.when(is_new, fresh.get(name, F.lit(None))).otherwise(kept)
 
     change = F.when(is_new, "new").when(is_hit, "merged").otherwise("kept")
@@ -103,6 +112,30 @@ def merge_scan(
     )
 
 
+def merge_scan(
+    snapshot: DataFrame, keyed: DataFrame, scan_ts: datetime | Column, hours: int,
+    priority: Sequence[str] = DEFAULT_PRIORITY, order: Sequence[str] = ORDER,
+) -> DataFrame:
+    """Merge the kept sightings of one scan; adds `change` = kept | merged | new.
+
+    A sighting of a live row refreshes `last_seen` and may add a city; any other opens a new row.
+    All sightings of one scan share its clock.
+    """
+    ts = scan_ts if isinstance(scan_ts, Column) else F.lit(scan_ts)
+    seen = first_per_key(keyed, order).withColumns(
+        {"gen": F.lit(1), "first_seen": ts, "last_seen": ts})
+    return _combine(snapshot, seen, hours, priority)
+
+
+def merge_log(
+    snapshot: DataFrame, keyed: DataFrame, hours: int, priority: Sequence[str] = DEFAULT_PRIORITY,
+    order: Sequence[str] = ORDER, ts: str = "fetched_at",
+) -> DataFrame:
+    """As `merge_scan` for sightings of any number of scans, none older than the table."""
+    seen = generations(keyed, hours, ts, order, priority=priority).withColumnRenamed("locations", "cities")
+    return _combine(snapshot, seen, hours, priority)
+
+
 def empty_snapshot(spark) -> DataFrame:
     return spark.createDataFrame([], VACANCY)
 
@@ -132,7 +165,7 @@ def generations(
     buckets = log.groupBy(key, bucket.alias("bucket")).agg(*aggs)
 
     along = Window.partitionBy(key).orderBy("bucket")
-    gap = F.col("t0") > F.lag("t1").over(along) + F.make_dt_interval(hours=F.lit(max(0, hours)))
+    gap = F.col("t0") > F.lag("t1").over(along) + _hours(hours)
     cut = buckets.withColumn("opens", F.coalesce(gap, F.lit(True)).cast("int"))
     numbered = cut.withColumn(
         "gen", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
@@ -155,14 +188,14 @@ def generation_rows(gens: DataFrame, content: Sequence[str] = CONTENT) -> DataFr
     )
 
 
-def expire_replayed(rows: DataFrame, scans: DataFrame, hours: int) -> DataFrame:
+def expire_by_scans(rows: DataFrame, scans: DataFrame, hours: int) -> DataFrame:
     """Status after the last scan: expired iff the row's first source scanned past its window.
 
     `scans` is (source, scan_ts) of the scans that succeeded; one row per source reaches the join.
     """
     last = scans.groupBy(F.col("source").alias("_source")).agg(F.max("scan_ts").alias("_last_scan"))
     gone = (F.col("status") == "new") & (
-        F.col("last_seen") < F.col("_last_scan") - F.make_dt_interval(hours=F.lit(max(0, hours))))
+        F.col("last_seen") < F.col("_last_scan") - _hours(hours))
     if hours <= 0:
         return rows
     return (

@@ -90,7 +90,7 @@ def expire_replayed(spark, sf):
     rows = log(spark, sf)
     scans = rows.filter(F.col("source") != "promo").select("source", F.col("fetched_at").alias("scan_ts"))
     gens = merge.generation_rows(merge.generations(rows, WINDOW_HOURS, priority=PRIORITY))
-    out = merge.expire_replayed(gens, scans, WINDOW_HOURS)
+    out = merge.expire_by_scans(gens, scans, WINDOW_HOURS)
     return out.select("vacancy_key", ts_text("first_seen").alias("first_seen"), "status")
 
 
@@ -180,8 +180,8 @@ left join snap j on s.vacancy_key = j.vacancy_key and j.live
 """)
 def live_match(spark, sf):
     """Every sighting of the scan with the live row it belongs to, if any."""
-    live = merge.mark_live(snapshot_before(spark, sf), F.to_timestamp(F.lit(SCAN_TS)), WINDOW_HOURS)
-    live = live.filter("is_live").select("vacancy_key", "job_id")
+    live = merge.live_rows(snapshot_before(spark, sf), F.to_timestamp(F.lit(SCAN_TS)), WINDOW_HOURS)
+    live = live.select("vacancy_key", "job_id")
     kept = scan_rows(spark, sf).filter(_POLICY.keeps()).select("url", "vacancy_key")
     return kept.join(live, "vacancy_key", "left")
 
@@ -287,13 +287,17 @@ def match_verdicts(spark, sf):
 @query("apply_verdicts", f"""
 with {_VERDICTS}
 select b.job_id, case when l.target is not null then l.status else b.status end as status,
-  case when l.target is not null then l.score else b.score end as score, cast(l.report_num as int) as report_num,
-  (select count(*) from hit) as updated
+  case when l.target is not null then l.score else b.score end as score, cast(l.report_num as int) as report_num
 from board b left join lastv l on b.job_id = l.target
 """)
 def apply_verdicts(spark, sf):
-    out, hits = lifecycle.apply_verdicts(fx.board(spark, sf), verdict_rows(spark, sf))
-    return out.select("job_id", "status", "score", "report_num").crossJoin(F.broadcast(hits))
+    out, _ = lifecycle.apply_verdicts(fx.board(spark, sf), verdict_rows(spark, sf))
+    return out.select("job_id", "status", "score", "report_num")
+
+
+@query("verdicts_applied", f"with {_VERDICTS} select count(*) as updated from hit")
+def verdicts_applied(spark, sf):
+    return lifecycle.apply_verdicts(fx.board(spark, sf), verdict_rows(spark, sf))[1]
 
 
 def status_events(spark, sf) -> DataFrame:

@@ -213,12 +213,17 @@ def capped_view(spark, sf):
 
 
 @query("triage_candidates", _with_board(f"""
-select job_id, company, n as candidates, greatest(0, n - 200) as skipped from (
-  select *, count(*) over () n from board where status = 'new' and evaluated_at is null order by {_NEWEST} limit 200)
+select job_id, company from board where status = 'new' and evaluated_at is null order by {_NEWEST} limit 200
 """))
 def triage_candidates(spark, sf):
-    board = fx.board(spark, sf)
-    return views.candidates(board).select("job_id", "company").crossJoin(F.broadcast(views.skipped(board)))
+    return views.candidates(fx.board(spark, sf)).select("job_id", "company")
+
+
+@query("triage_skipped", _with_board("""
+select count(*) as candidates, greatest(0, count(*) - 200) as skipped from board where status = 'new' and evaluated_at is null
+"""))
+def triage_skipped(spark, sf):
+    return views.skipped(fx.board(spark, sf))
 
 
 @query("recent_runs", f"""
