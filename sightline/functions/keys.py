@@ -13,21 +13,30 @@ TRACKING_KEYS = (
     "gh_src", "source", "ref", "referrer",
 )
 
-_PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?([^?#]*)"
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+# A query of `key=value` pairs that need no re-encoding, and its tracking pairs.
+_PLAIN_PAIR = "[A-Za-z0-9_.~-]+=[A-Za-z0-9_.~-]*"
+_PLAIN = rf"^{_PLAIN_PAIR}(?:&{_PLAIN_PAIR})*\z"
+_TRACKING = rf"(?i)(?:^|&)(?:utm_[^=&]*|{'|'.join(TRACKING_KEYS)})=[^&]*"
 
 
 def _trimmed(url: Column) -> Column:
-    return F.regexp_replace(strip(F.coalesce(url, F.lit(""))), r"[\t\r\n]", "")
+    return F.translate(strip(F.coalesce(url, F.lit(""))), "\t\r\n", "")
 
 
-def _scheme_and_host(u: Column) -> Column:
-    return F.concat(F.lower(F.regexp_extract(u, _PARTS, 1)), F.regexp_extract(u, _PARTS, 2))
+def _base(u: Column) -> Column:
+    """Everything before query and fragment, with a lower-case scheme."""
+    base = F.substring_index(F.substring_index(u, "#", 1), "?", 1)
+    scheme = F.substring_index(base, ":", 1)
+    rest = F.substring(base, F.length(scheme) + 1, F.length(base))
+    return F.when(base.rlike(_SCHEME), F.concat(F.lower(scheme), rest)).otherwise(base)
 
 
 def canonical_url(url: Column) -> Column:
     """Without query, fragment and trailing slashes."""
-    u = _trimmed(url)
-    return F.concat(_scheme_and_host(u), F.rtrim(F.regexp_extract(u, _PARTS, 3), F.lit("/")))
+    base = _base(_trimmed(url))
+    # `https://` alone keeps its slashes: they are not a path.
+    return F.when(base.endswith("://"), base).otherwise(F.rtrim(base, F.lit("/")))
 
 
 def _decode(c: Column) -> Column:
@@ -40,10 +49,8 @@ def _encode(c: Column) -> Column:
     return F.replace(c, F.lit("%7E"), F.lit("~"))
 
 
-def clean_url(url: Column) -> Column:
-    """The link to keep: fragment and tracking keys dropped, other query pairs in order."""
-    u = _trimmed(url)
-
+def _any_query(query: Column) -> Column:
+    """Decode every pair, drop tracking ones, encode again."""
     def pair(p: Column) -> Column:
         cut = F.instr(p, "=")
         return F.struct(
@@ -55,13 +62,23 @@ def clean_url(url: Column) -> Column:
         key = F.lower(p["k"])
         return ~key.isin(*TRACKING_KEYS) & ~key.startswith("utm_")
 
-    raw = F.split(F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1), "&")
-    pairs = F.filter(F.transform(F.filter(raw, lambda p: p != ""), pair), useful)
-    query = F.array_join(
-        F.transform(pairs, lambda p: F.concat(_encode(p["k"]), F.lit("="), _encode(p["v"]))), "&"
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), pair)
+    return F.array_join(F.transform(
+        F.filter(pairs, useful), lambda p: F.concat(_encode(p["k"]), F.lit("="), _encode(p["v"]))), "&")
+
+
+def clean_url(url: Column) -> Column:
+    """The link to keep: fragment and tracking keys dropped, other query pairs in order."""
+    u = _trimmed(url)
+    whole = F.substring_index(u, "#", 1)
+    bare = F.substring_index(whole, "?", 1)
+    query = F.substring(whole, F.length(bare) + 2, F.length(whole))
+    kept = (
+        F.when(query == "", "")
+        .when(query.rlike(_PLAIN), F.ltrim(F.regexp_replace(query, _TRACKING, ""), F.lit("&")))
+        .otherwise(_any_query(query))
     )
-    base = F.concat(_scheme_and_host(u), F.regexp_extract(u, _PARTS, 3))
-    return F.when(query == "", base).otherwise(F.concat(base, F.lit("?"), query))
+    return F.concat(_base(u), F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)))
 
 
 def host_tenant(host: Column, name: Column | None = None) -> Column:
@@ -87,8 +104,9 @@ def norm_role(c: Column) -> Column:
 
 def vacancy_text(company: Column, title: Column) -> Column:
     """`company|role`, or null when either side has nothing left to compare."""
-    c, r = norm_company(company), norm_role(title)
-    return F.when((c != "") & (r != ""), F.concat(c, F.lit("|"), r))
+    # `nullif` evaluates its argument once; a `when` over both sides would normalise twice.
+    none = F.lit("")
+    return F.concat(F.nullif(norm_company(company), none), F.lit("|"), F.nullif(norm_role(title), none))
 
 
 def vacancy_key(company: Column, title: Column, url: Column) -> Column:

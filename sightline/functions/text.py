@@ -7,14 +7,16 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Unicode white space plus the four ASCII separators that Java's \s leaves out.
-_WS = r"[\s\x1c-\x1f]"
+# All characters that count as white space.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007" \
+        "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
     """Trim white space of any kind; `trim` alone takes only the blank."""
-    return F.regexp_replace(c, rf"(?U)^{_WS}+|{_WS}+\z", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def strip_tags(c: Column) -> Column:
@@ -22,7 +24,7 @@ def strip_tags(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U){_WS}+", " ")
+    return F.regexp_replace(c, f"[{WHITE}]+", " ")
 
 
 def unescape_basic(c: Column) -> Column:
@@ -33,7 +35,7 @@ def unescape_basic(c: Column) -> Column:
     return c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape_full(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 

@@ -18,19 +18,22 @@ from .lifecycle import STAGES
 # Rows per list, per page (chat, page), per digest.
 LIST_LIMIT, CHAT_PAGE, WEB_PAGE, DIGEST_CARDS = 500, 8, 25, 10
 
-NEWEST = (F.desc_nulls_last("first_seen"), F.asc("job_id"))
+
+def newest_first() -> tuple[Column, ...]:
+    return F.desc_nulls_last("first_seen"), F.asc("job_id")
+
 
 
 def newest(df: DataFrame, limit: int | None = LIST_LIMIT, query: str | None = None) -> DataFrame:
     """Newest first. With a query the description is searched but not returned."""
     rows = search_text(df, query)
-    rows = rows.select(*[c for c in LIST_COLS if c in rows.columns]).orderBy(*NEWEST)
+    rows = rows.select(*[c for c in LIST_COLS if c in rows.columns]).orderBy(*newest_first())
     return rows if limit is None else rows.limit(limit)
 
 
 def best_score(df: DataFrame) -> DataFrame:
     """Scored rows of any status, best first, newest breaks ties."""
-    return df.filter(F.col("score").isNotNull()).orderBy(F.desc("score"), *NEWEST)
+    return df.filter(F.col("score").isNotNull()).orderBy(F.desc("score"), *newest_first())
 
 
 def primary_place() -> Column:
@@ -50,10 +53,10 @@ def sort_by(df: DataFrame, key: str, collation: str | None = "UNICODE") -> DataF
         "location": [words(primary_place()).asc()],
         "score": [F.coalesce(F.col("score"), F.lit(-1.0)).desc()],
     }[key]
-    return df.orderBy(*first, *NEWEST)
+    return df.orderBy(*first, *newest_first())
 
 
-def page(df: DataFrame, number: int, size: int, order: Sequence = NEWEST) -> DataFrame:
+def page(df: DataFrame, number: int, size: int, order: Sequence | None = None) -> DataFrame:
     """Page `number` (0-based, clamped to the last one) plus `total`, `pages` and `page`.
 
     One aggregate gives the total; the slice itself is a top-k of the rows up to its end.
@@ -61,13 +64,13 @@ def page(df: DataFrame, number: int, size: int, order: Sequence = NEWEST) -> Dat
     total = df.count()
     pages = max(1, -(-total // size))
     at = max(0, min(number, pages - 1))
-    rows = df.orderBy(*order).offset(at * size).limit(size)
+    rows = df.orderBy(*(order or newest_first())).offset(at * size).limit(size)
     return rows.withColumns({"total": F.lit(total), "pages": F.lit(pages), "page": F.lit(at + 1)})
 
 
 def capped(df: DataFrame, cap: int | None) -> DataFrame:
     """The newest `cap` rows, to be filtered afterwards; None looks at the whole table."""
-    return df if cap is None else df.orderBy(*NEWEST).limit(cap)
+    return df if cap is None else df.orderBy(*newest_first()).limit(cap)
 
 
 def candidates(df: DataFrame, only_unscored: bool = True, max_jobs: int = 200) -> DataFrame:
@@ -75,7 +78,7 @@ def candidates(df: DataFrame, only_unscored: bool = True, max_jobs: int = 200) -
     rows = df.filter(F.col("status") == "new")
     if only_unscored:
         rows = rows.filter(F.col("evaluated_at").isNull())
-    rows = rows.orderBy(*NEWEST)
+    rows = rows.orderBy(*newest_first())
     return rows.limit(max_jobs) if max_jobs > 0 else rows
 
 
@@ -166,12 +169,13 @@ def write_pending(df: DataFrame, path: str, section: str = "Pending") -> None:
         [(0, f"## {section}"), (1, "")], "pos int, line string"
     ).select("pos", F.lit(None).cast("timestamp").alias("first_seen"), F.lit("").alias("job_id"), "line")
     body = lines.select(F.lit(2).alias("pos"), "first_seen", "job_id", "line")
-    (header.unionByName(body).orderBy("pos", *NEWEST)
+    (header.unionByName(body).orderBy("pos", *newest_first())
      .select("line").write.mode("errorifexists").text(path))
 
 
-def digest(new_rows: DataFrame, order: Sequence = NEWEST, most: int = DIGEST_CARDS) -> DataFrame:
+def digest(new_rows: DataFrame, order: Sequence | None = None, most: int = DIGEST_CARDS) -> DataFrame:
     """(pos, line): count line, the first cards, how many more. No rows in, no rows out."""
+    order = order or newest_first()
     total = new_rows.agg(F.count("*").alias("n")).filter("n > 0")
     head = total.select(
         F.lit(0).alias("pos"),

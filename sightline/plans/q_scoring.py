@@ -79,14 +79,14 @@ select ran.run_id, any_value(jobs) as jobs, count(*) filter (where outcome = 'sc
   count(*) filter (where outcome = 'other') as errors,
   cast(coalesce(sum(case when outcome = 'scored' then k end), 0) as bigint) as input_tokens,
   cast(coalesce(sum(case when outcome = 'scored' then k * 2 end), 0) as bigint) as output_tokens,
-  round(coalesce(sum(case when outcome = 'scored' then cost end), 0), 6) as cost_usd,
+  round(coalesce(sum(case when outcome = 'scored' then cost end), 0), 3) as cost_usd,
   max(case when outcome = 'auth' then 'auth failed' else '' end) || max(case when outcome = 'budget' then 'rate/usage limit' else '' end) as note
 from ran join j on ran.run_id = j.run_id group by ran.run_id
 """)
 def run_summary(spark, sf):
     rows = scoring.run_summary(scoring.judge(attempt_log(spark, sf)))
     return rows.select("run_id", "jobs", "scored", "errors", "input_tokens", "output_tokens",
-                       F.round("cost_usd", 6).alias("cost_usd"), "note")
+                       F.round("cost_usd", 3).alias("cost_usd"), "note")
 
 
 @query("request_dedup", """

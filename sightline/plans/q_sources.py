@@ -22,8 +22,11 @@ _OUT = ("source", "company", "title", "url", "location", "description", "jd_full
 
 
 # A text key that both engines can form.
-_KEY = F.concat_ws("-", *[F.col(f"pos.{c}").cast("string") for c in (
-    "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")])
+def _key():
+    return F.concat_ws("-", *[F.col(f"pos.{c}").cast("string") for c in (
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")])
+
+
 _SQL_KEY = "concat_ws('-', o1, o2, o3, o4, o5)"
 
 
@@ -61,14 +64,15 @@ def _day(fmt="yyyy-MM-dd"):
 
 
 # Markup and entities around the plain description, as the providers send them.
-_MARKUP = F.concat(F.lit(" <p>"), F.col("description"), F.lit("</p>\n"))
+def _markup():
+    return F.concat(F.lit(" <p>"), F.col("description"), F.lit("</p>\n"))
 
 
 def adzuna_replies(rows: DataFrame) -> DataFrame:
     item = _obj(
         redirect_url=F.col("url"), title=F.concat(F.lit("<strong>"), "title", F.lit("</strong>")),
         company=_obj(display_name=F.col("company")), location=_obj(display_name=F.col("location")),
-        description=_MARKUP, created=F.concat(_day(), F.lit("T09:00:00Z")),
+        description=_markup(), created=F.concat(_day(), F.lit("T09:00:00Z")),
         salary_min=F.col("salary_min"), salary_max=F.col("salary_max"))
     no_link = _obj(
         redirect_url=F.lit(""), title=F.col("title"), company=_obj(display_name=F.col("company")),
@@ -87,7 +91,7 @@ def reed_replies(rows: DataFrame) -> DataFrame:
     day = F.when(F.col("l_linestatus") == "F", _day("dd/MM/yyyy")).otherwise(_day())
     item = _obj(
         jobId=F.xxhash64("pos"), jobUrl=F.col("url"), jobTitle=F.col("title"), employerName=F.col("company"),
-        locationName=F.col("location"), jobDescription=_MARKUP, date=day,
+        locationName=F.col("location"), jobDescription=_markup(), date=day,
         minimumSalary=F.col("salary_min"), maximumSalary=F.col("salary_max"))
     return _payloads(rows, "reed", F.to_json(_obj(results=F.array(item))), kind=F.lit("search"))
 
@@ -101,7 +105,7 @@ def src_reed(spark, sf):
 def reed_details(rows: DataFrame) -> DataFrame:
     """A third of the replies has no text, another part cannot be read."""
     flag = F.col("l_returnflag")
-    body = F.when(flag == "R", F.lit("<br/> ")).otherwise(_MARKUP)
+    body = F.when(flag == "R", F.lit("<br/> ")).otherwise(_markup())
     payload = F.when((flag == "N") & (F.col("l_linestatus") == "F"), "<html>busy</html>").otherwise(
         F.to_json(_obj(jobDescription=body)))
     return _payloads(rows, "reed", payload, kind=F.lit("detail"), listing_id=F.col("url"))
@@ -123,7 +127,7 @@ def indeed_replies(rows: DataFrame) -> DataFrame:
         unitOfWork=F.lit(unit), range=_obj(min=F.col("salary_min"), max=F.col("salary_max"))))
     job = lambda key, title: _obj(job=_obj(
         key=key, title=title, datePublished=F.unix_millis(F.col("posted_at").cast("timestamp")),
-        employer=_obj(name=F.col("company")), description=_obj(html=_MARKUP),
+        employer=_obj(name=F.col("company")), description=_obj(html=_markup()),
         location=_obj(
             city=F.col("n_name"), admin1Code=F.lit(""), countryName=F.col("r_name"),
             formatted=_obj(long=F.when(flag == "A", F.col("location")))),
@@ -132,7 +136,7 @@ def indeed_replies(rows: DataFrame) -> DataFrame:
             estimated=_obj(currencyCode=F.lit("EUR"), baseSalary=pay("year", line == "F")),
             currencyCode=F.col("currency")),
         attributes=F.array(_obj(label=F.when(flag == "N", "Work from home").otherwise("Full time")))))
-    key = _KEY
+    key = _key()
     results = F.array(job(F.lit(""), F.col("title")), job(key, F.col("title")), job(key, F.lit("again")))
     return _payloads(rows, "indeed", F.to_json(_obj(data=_obj(jobSearch=_obj(results=results)))))
 
@@ -151,7 +155,7 @@ def src_indeed(spark, sf):
 
 
 def linkedin_replies(rows: DataFrame) -> DataFrame:
-    link = F.concat(F.lit("https://uk.linkedin.com/jobs/view/"), _KEY)
+    link = F.concat(F.lit("https://uk.linkedin.com/jobs/view/"), _key())
     card = lambda title: F.concat(
         F.lit('<li>\n<a href="'), link, F.lit('?trk=x"></a><h3 class="base-search-card__title"> '), title,
         F.lit(' </h3><h4 class="base-search-card__subtitle"><a href="#">'), F.col("company"),
@@ -210,7 +214,7 @@ def workable_replies(rows: DataFrame) -> DataFrame:
     item = _obj(
         url=F.when(flag == "A", F.col("url")).otherwise(""), shortlink=F.when(flag == "N", F.col("url")),
         application_url=F.col("url"), title=F.col("title"), city=F.col("n_name"),
-        state=F.lit(""), country=F.col("r_name"), description=_MARKUP, published_on=_day(),
+        state=F.lit(""), country=F.col("r_name"), description=_markup(), published_on=_day(),
         telecommuting=F.when(flag != "R", line == "F"))
     payload = F.to_json(_obj(name=F.when(line == "F", F.col("company")), jobs=F.array(item)))
     return _payloads(rows, "workable", payload, slug=F.lit("slug"))
@@ -226,11 +230,11 @@ def src_workable(spark, sf):
 def workday_replies(rows: DataFrame) -> DataFrame:
     """A list reply that names its posting twice, and for most postings a detail reply."""
     flag = F.col("l_returnflag")
-    path = F.concat(F.lit("/job/"), _KEY)
+    path = F.concat(F.lit("/job/"), _key())
     posting = lambda t: _obj(title=t, externalPath=path, locationsText=F.col("location"))
     listed = F.to_json(_obj(jobPostings=F.array(posting(F.col("title")), posting(F.lit("again"))), total=F.lit(2)))
     info = _obj(
-        title=F.when(flag == "A", F.upper("title")), jobDescription=_MARKUP, startDate=_day(),
+        title=F.when(flag == "A", F.upper("title")), jobDescription=_markup(), startDate=_day(),
         location=F.when(flag == "A", F.col("n_name")),
         additionalLocations=F.when(flag == "A", F.array(F.col("s_nation"), F.lit(""))),
         externalUrl=F.when(flag == "A", F.col("url")))
@@ -259,7 +263,7 @@ def oracle_replies(rows: DataFrame) -> DataFrame:
     """Other places are objects in some replies and plain text in others."""
     flag = F.col("l_returnflag")
     req = lambda others: F.to_json(_obj(items=F.array(_obj(TotalJobsCount=F.lit(1), requisitionList=F.array(_obj(
-        Id=F.col("p_size"), Title=F.col("title"), PostedDate=_day(), ShortDescriptionStr=_MARKUP,
+        Id=F.col("p_size"), Title=F.col("title"), PostedDate=_day(), ShortDescriptionStr=_markup(),
         PrimaryLocation=F.when(flag != "R", F.col("n_name")), secondaryLocations=others))))))
     payload = (
         F.when(flag == "A", req(F.array(_obj(Name=F.col("s_nation")))))

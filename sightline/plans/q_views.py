@@ -159,7 +159,7 @@ from board where score is not null order by score desc, first_seen desc nulls la
 def top_scored(spark, sf):
     """The chat list: best first, as many as the list holds, numbered after the cut."""
     rows = views.best_score(fx.board(spark, sf)).limit(1000)
-    return _numbered(rows, [F.desc("score"), *views.NEWEST]).select("job_id", "score", "status", "place")
+    return _numbered(rows, [F.desc("score"), *views.newest_first()]).select("job_id", "score", "status", "place")
 
 
 def _numbered(df, order):
@@ -182,18 +182,18 @@ _BEST_PLACE = "coalesce(nullif(locations[1], ''), nullif(location, ''), '—')"
 
 @query("sort_score", _page_sql(f"coalesce(score, -1) desc, {_NEWEST}", 1, 25))
 def sort_score(spark, sf):
-    return views.page(fx.board(spark, sf), 1, 25, [F.coalesce("score", F.lit(-1.0)).desc(), *views.NEWEST]).select(
+    return views.page(fx.board(spark, sf), 1, 25, [F.coalesce("score", F.lit(-1.0)).desc(), *views.newest_first()]).select(
         "job_id", "total", "pages", "page")
 
 
 @query("sort_company", _page_sql(f"company, {_NEWEST}", 0, 25))
 def sort_company(spark, sf):
-    return views.page(fx.board(spark, sf), 0, 25, [F.asc("company"), *views.NEWEST]).select("job_id", "total", "pages", "page")
+    return views.page(fx.board(spark, sf), 0, 25, [F.asc("company"), *views.newest_first()]).select("job_id", "total", "pages", "page")
 
 
 @query("sort_location", _page_sql(f"{_BEST_PLACE}, {_NEWEST}", 2, 25))
 def sort_location(spark, sf):
-    return views.page(fx.board(spark, sf), 2, 25, [views.primary_place().asc(), *views.NEWEST]).select(
+    return views.page(fx.board(spark, sf), 2, 25, [views.primary_place().asc(), *views.newest_first()]).select(
         "job_id", "total", "pages", "page")
 
 
