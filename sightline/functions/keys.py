@@ -13,10 +13,10 @@ TRACKING_KEYS = (
     "gh_src", "source", "ref", "referrer",
 )
 
-_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+_SCHEME = "[A-Za-z][A-Za-z0-9+.-]*:"
 # A query of `key=value` pairs that need no re-encoding, and its tracking pairs.
-_PLAIN_PAIR = "[A-Za-z0-9_.~-]+=[A-Za-z0-9_.~-]*"
-_PLAIN = rf"^{_PLAIN_PAIR}(?:&{_PLAIN_PAIR})*\z"
+_PAIR = "[A-Za-z0-9_.~-]+=[A-Za-z0-9_.~-]*"
+_PLAIN = rf"^[^?#]*\?{_PAIR}(?:&{_PAIR})*(?:#|\z)"
 _TRACKING = rf"(?i)(?:^|&)(?:utm_[^=&]*|{'|'.join(TRACKING_KEYS)})=[^&]*"
 
 
@@ -24,19 +24,19 @@ def _trimmed(url: Column) -> Column:
     return F.translate(strip(F.coalesce(url, F.lit(""))), "\t\r\n", "")
 
 
-def _base(u: Column) -> Column:
-    """Everything before query and fragment, with a lower-case scheme."""
-    base = F.substring_index(F.substring_index(u, "#", 1), "?", 1)
-    scheme = F.substring_index(base, ":", 1)
-    rest = F.substring(base, F.length(scheme) + 1, F.length(base))
-    return F.when(base.rlike(_SCHEME), F.concat(F.lower(scheme), rest)).otherwise(base)
+def _scheme(u: Column) -> Column:
+    return F.lower(F.regexp_extract(u, f"^({_SCHEME})?", 1))
+
+
+def _rest(u: Column) -> Column:
+    """Host and path."""
+    return F.regexp_extract(u, f"^(?:{_SCHEME})?([^?#]*)", 1)
 
 
 def canonical_url(url: Column) -> Column:
-    """Without query, fragment and trailing slashes."""
-    base = _base(_trimmed(url))
-    # `https://` alone keeps its slashes: they are not a path.
-    return F.when(base.endswith("://"), base).otherwise(F.rtrim(base, F.lit("/")))
+    """Without query, fragment and trailing slashes; the two slashes before a host are not a path."""
+    u = _trimmed(url)
+    return F.concat(_scheme(u), F.regexp_replace(_rest(u), r"(?<=[^/])/+\z|^/\z", ""))
 
 
 def _decode(c: Column) -> Column:
@@ -70,15 +70,14 @@ def _any_query(query: Column) -> Column:
 def clean_url(url: Column) -> Column:
     """The link to keep: fragment and tracking keys dropped, other query pairs in order."""
     u = _trimmed(url)
-    whole = F.substring_index(u, "#", 1)
-    bare = F.substring_index(whole, "?", 1)
-    query = F.substring(whole, F.length(bare) + 2, F.length(whole))
+    query = F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1)
     kept = (
-        F.when(query == "", "")
-        .when(query.rlike(_PLAIN), F.ltrim(F.regexp_replace(query, _TRACKING, ""), F.lit("&")))
+        F.when(~F.contains(u, F.lit("?")), "")
+        .when(u.rlike(_PLAIN), F.ltrim(F.regexp_replace(query, _TRACKING, ""), F.lit("&")))
         .otherwise(_any_query(query))
     )
-    return F.concat(_base(u), F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)))
+    tail = F.coalesce(F.concat(F.lit("?"), F.nullif(kept, F.lit(""))), F.lit(""))
+    return F.concat(_scheme(u), _rest(u), tail)
 
 
 def host_tenant(host: Column, name: Column | None = None) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import SETTABLE
+from ..session import as_local
 
 # Fixed value: board stages and the moves each one offers.
 MOVES = {
@@ -120,8 +121,8 @@ def expire_stale(
 ) -> DataFrame:
     """New rows of succeeded sources, not seen for more than `hours`, become `expired`.
 
-    The row's first source counts, whoever refreshed it since. No shuffle: the source names are a
-    literal list, or a table of at most one row per registered source.
+    The row's first source counts, whoever refreshed it since. No shuffle of the table: the source
+    names are a literal list, or a table of one row per source.
     """
     if hours <= 0:
         return snapshot
@@ -129,7 +130,7 @@ def expire_stale(
     old = F.col("last_seen") < ts - F.make_dt_interval(hours=F.lit(hours))
     stale = (F.col("status") == "new") & old
     if isinstance(live_sources, DataFrame):
-        live = live_sources.select(F.col("source").alias("_live")).distinct()
+        live = as_local(live_sources.select(F.col("source").alias("_live")).distinct())
         joined = snapshot.join(live, F.col("source") == F.col("_live"), "left")
         stale = stale & F.col("_live").isNotNull()
     elif not live_sources:

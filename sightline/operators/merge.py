@@ -20,17 +20,17 @@ from pyspark.sql import functions as F
 from ..functions.keys import clean_url, job_id, vacancy_key
 from ..functions.places import DEFAULT_PRIORITY, Gazetteer, clean_city, order_cities
 from ..schema import CONTENT, VACANCY
+from ..session import as_local
 
 ORDER = ("source_rank", "pos")
 
 
 def with_identity(sightings: DataFrame, gazetteer: Gazetteer) -> DataFrame:
-    """Add `vacancy_key` and `city`, and put the link into its stored form."""
+    """Add `vacancy_key` and `city`."""
     return (
         sightings
         .withColumn("vacancy_key", vacancy_key(F.col("company"), F.col("title"), F.col("url")))
         .withColumn("city", clean_city(F.col("location"), gazetteer))
-        .withColumn("url", clean_url(F.col("url")))
     )
 
 
@@ -66,6 +66,11 @@ def live_rows(snapshot: DataFrame, scan_ts: datetime | Column, hours: int) -> Da
         "is_latest").drop("is_latest")
 
 
+def _stored(name: str) -> Column:
+    """A content field as the table keeps it. Links are cleaned here: only first sightings get so far."""
+    return clean_url(F.col(name)) if name.endswith(".url") else F.col(name)
+
+
 def _combine(snapshot: DataFrame, seen: DataFrame, hours: int, priority: Sequence[str]) -> DataFrame:
     """Full outer join of the table with (vacancy_key, gen, first_seen, last_seen, first, cities).
 
@@ -94,7 +99,7 @@ def _combine(snapshot: DataFrame, seen: DataFrame, hours: int, priority: Sequenc
         "job_id": job_id(F.col("new.vacancy_key"), F.col("new.first_seen")),
         "vacancy_key": F.col("new.vacancy_key"), "status": F.lit("new"),
         "first_seen": F.col("new.first_seen"), "last_seen": F.col("new.last_seen"),
-        **{c: F.col(f"new.first.{c}") for c in CONTENT},
+        **{c: _stored(f"new.first.{c}") for c in CONTENT},
     }
 
     def value(name: str) -> Column:
@@ -141,7 +146,9 @@ def empty_snapshot(spark) -> DataFrame:
 
 
 def _bucket(ts: Column, hours: int) -> Column:
-    return F.floor(F.unix_micros(ts) / F.lit(hours * 3_600_000_000))
+    """Start of the time bucket; whole numbers, so no rounding."""
+    us = F.unix_micros(ts)
+    return us - F.pmod(us, F.lit(hours * 3_600_000_000))
 
 
 def generations(
@@ -183,7 +190,7 @@ def generation_rows(gens: DataFrame, content: Sequence[str] = CONTENT) -> DataFr
     fields = [f for f in gens.schema["first"].dataType.fieldNames()]
     return gens.select(
         job_id(F.col("vacancy_key"), F.col("first_seen")).alias("job_id"), "vacancy_key",
-        *[F.col(f"first.{c}").alias(c) for c in content if c in fields],
+        *[_stored(f"first.{c}").alias(c) for c in content if c in fields],
         "locations", F.lit("new").alias("status"), "first_seen", "last_seen", "sightings",
     )
 
@@ -193,11 +200,12 @@ def expire_by_scans(rows: DataFrame, scans: DataFrame, hours: int) -> DataFrame:
 
     `scans` is (source, scan_ts) of the scans that succeeded; one row per source reaches the join.
     """
-    last = scans.groupBy(F.col("source").alias("_source")).agg(F.max("scan_ts").alias("_last_scan"))
-    gone = (F.col("status") == "new") & (
-        F.col("last_seen") < F.col("_last_scan") - _hours(hours))
     if hours <= 0:
         return rows
+    last = as_local(
+        scans.groupBy(F.col("source").alias("_source")).agg(F.max("scan_ts").alias("_last_scan")))
+    gone = (F.col("status") == "new") & (
+        F.col("last_seen") < F.col("_last_scan") - _hours(hours))
     return (
         rows.join(last, F.col("source") == F.col("_source"), "left")
         .withColumn("status", F.when(gone, "expired").otherwise(F.col("status")))

@@ -69,38 +69,43 @@ def score_batch(candidates: DataFrame, scorer: Scorer, prices=PRICES) -> DataFra
     return judge(attempts(candidates, scorer), prices)
 
 
-def cut_off(judged: DataFrame, run: str = "run_id", seq: str = "seq") -> DataFrame:
-    """Attempts of each run up to its first auth or budget error, that one included.
+def _with_ran(judged: DataFrame, run: str, seq: str) -> DataFrame:
+    """Add `_ran`: the attempt comes no later than the first auth or budget error of its run.
 
     First the smallest fatal position per run (map-side combined), then a join back: a run of any
     length never has to be sorted in one task.
     """
     fatal = judged.filter(F.col("outcome").isin("auth", "budget")).groupBy(
         F.col(run).alias("_run")).agg(F.min(seq).alias("_stop"))
+    ran = F.col("_stop").isNull() | (F.col(seq) <= F.col("_stop"))
     return (
         judged.join(fatal, F.col(run) == F.col("_run"), "left")
-        .filter(F.col("_stop").isNull() | (F.col(seq) <= F.col("_stop")))
-        .drop("_run", "_stop")
+        .withColumn("_ran", ran).drop("_run", "_stop")
     )
 
 
+def cut_off(judged: DataFrame, run: str = "run_id", seq: str = "seq") -> DataFrame:
+    """Attempts of each run up to its first auth or budget error, that one included."""
+    return _with_ran(judged, run, seq).filter("_ran").drop("_ran")
+
+
 def run_summary(judged: DataFrame, run: str = "run_id", halted=None) -> DataFrame:
     """One ledger row per run. `halted` is a flag column for runs stopped by request."""
-    ran = cut_off(judged, run)
-    ok = F.col("outcome") == "scored"
-    jobs = judged.groupBy(run).agg(F.count("*").alias("jobs"))
-    auth = F.max(F.when(F.col("outcome") == "auth", True).otherwise(False))
-    budget = F.max(F.when(F.col("outcome") == "budget", True).otherwise(False))
+    ran = F.col("_ran")
+    ok = ran & (F.col("outcome") == "scored")
+    auth = F.max(ran & (F.col("outcome") == "auth"))
+    budget = F.max(ran & (F.col("outcome") == "budget"))
     stop = F.lit(False) if halted is None else F.max(halted)
-    done = ran.groupBy(run).agg(
-        F.count_if(ok).alias("scored"), F.count_if(F.col("outcome") == "other").alias("errors"),
+    done = _with_ran(judged, run, "seq").groupBy(run).agg(
+        F.count("*").alias("jobs"),
+        F.count_if(ok).alias("scored"), F.count_if(ran & (F.col("outcome") == "other")).alias("errors"),
         *[F.coalesce(F.sum(F.when(ok, F.col(t))), F.lit(0)).alias(t) for t in TOKENS],
-        F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost_usd"),
+        F.coalesce(F.sum(F.when(ok, F.col("cost"))), F.lit(0.0)).alias("cost_usd"),
         auth.alias("auth_failed"), budget.alias("budget_hit"), stop.alias("halted"),
     )
     note = (F.when(F.col("auth_failed"), "auth failed").when(F.col("budget_hit"), "rate/usage limit")
             .when(F.col("halted"), "halted").otherwise(""))
-    return jobs.join(done, run).withColumn("note", note)
+    return done.withColumn("note", note)
 
 
 def dedup_requests(log: DataFrame, bucket_hours: int = 24) -> DataFrame:
@@ -112,7 +117,8 @@ def dedup_requests(log: DataFrame, bucket_hours: int = 24) -> DataFrame:
     a bucket starts with a request already waiting.
     """
     ask, done = F.col("kind") == "ask", F.col("kind") == "done"
-    day = F.floor(F.unix_micros("at") / F.lit(bucket_hours * 3_600_000_000))
+    us = F.unix_micros("at")
+    day = us - F.pmod(us, F.lit(bucket_hours * 3_600_000_000))
     local = Window.partitionBy("key", "bucket").orderBy("at", "seq")
     before = local.rowsBetween(Window.unboundedPreceding, -1)
     rows = log.withColumn("bucket", day).withColumn(

@@ -175,7 +175,7 @@ def upsert_snapshot(spark, sf):
 
 @query("live_match", f"""
 with {_MERGE}
-select s.clean_url as url, s.vacancy_key, j.job_id from scan s
+select s.url, s.vacancy_key, j.job_id from scan s
 left join snap j on s.vacancy_key = j.vacancy_key and j.live
 """)
 def live_match(spark, sf):

@@ -16,7 +16,7 @@ from ..schema import NEW_COLS, SCAN_RUN
 from ..sources.policy import fresh_only, within_window
 from ..sources.registry import REGISTRY, live_sources, read_sources, source_errors
 from ..sources.search_apis import reed_detail
-from ..session import cut_lineage
+from ..session import as_local, cut_lineage
 from .snapshot import SnapshotTable
 
 
@@ -67,7 +67,7 @@ def sightings_of(payloads: DataFrame, policy: ScanPolicy, scan_ts: datetime, *,
 
     registry = {name: windowed(name, adapter) for name, adapter in policy.registry.items()}
     rows = read_sources(payloads, policy.enabled, only, registry)
-    live = live_sources(payloads).select("source", "fetched_at")
+    live = as_local(live_sources(payloads).select("source", "fetched_at"))
     return rows.join(live, ["source", "fetched_at"], "left_semi")
 
 

@@ -42,6 +42,16 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def as_local(df, most: int = 10_000):
+    """A table that should be tiny, as a local one, whose exact size the planner then knows.
+
+    Joins against it need no shuffle. If it has more than `most` rows it is returned as it came, and
+    the planner treats it like any other table.
+    """
+    rows = df.limit(most + 1).collect()
+    return df if len(rows) > most else df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def cut_lineage(df, purpose: str = "step"):
     """Write `df` to the shared folder and read it back: a plan cut that survives lost executors."""
     path = shared_dir(df.sparkSession, purpose)
