@@ -37,7 +37,7 @@ def unescape_basic(c: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def _unescape_full(s: pd.Series) -> pd.Series:
-    return s.map(html.unescape, na_action="ignore")
+    return s.astype(object).map(html.unescape, na_action="ignore")
 
 
 def unescape_all(c: Column) -> Column:

@@ -17,6 +17,7 @@ ATTEMPT = (
     "input_tokens bigint, output_tokens bigint, cache_read_tokens bigint, cache_write_tokens bigint, "
     "cost_usd double"
 )
+_TEXTS = ("job_id", "model", "reply", "error_kind", "error_message")
 TOKENS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")
 
 
@@ -41,7 +42,14 @@ def keyword_scorer(words: dict[str, int], model: str = "keywords") -> Scorer:
 def attempts(candidates: DataFrame, scorer: Scorer) -> DataFrame:
     """Send every candidate to the scorer; partitions run side by side."""
     prompts = candidates.select("job_id", "seq", build_prompt(F.col).alias("prompt"))
-    return prompts.mapInPandas(scorer, ATTEMPT)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for out in scorer(frames):
+            # Chunked Arrow strings, which pandas may hand back, do not convert; plain objects do.
+            texts = [c for c in _TEXTS if c in out]
+            plain = out[texts].astype(object)
+            yield out.assign(**{c: plain[c].where(plain[c].notna(), None) for c in texts})
+    return prompts.mapInPandas(run, ATTEMPT)
 
 
 def judge(tried: DataFrame, prices=PRICES) -> DataFrame:

@@ -39,7 +39,8 @@ def condense(hours: int):
             grouped = pdf.assign(bucket=us // width if width else us).groupby(["key", "bucket"], sort=False)
             out = grouped.agg(t0=("ts", "min"), t1=("ts", "max"), sightings=("ts", "size"),
                               cities=("city", lambda c: sorted(set(c.dropna()))))
-            yield out.reset_index().drop(columns="bucket")
+            out = out.reset_index().drop(columns="bucket")
+            yield out.assign(key=out["key"].astype(object))
     return run
 
 
