@@ -30,6 +30,11 @@ BUDGET_PHRASES = (
 # Longest description and longest error text handed on.
 PROMPT_CHARS, ERROR_CHARS = 6000, 300
 
+# The wording of a prompt.
+NO_PLACE, NO_TEXT = "unspecified", "(no description captured for this source)"
+ASK = 'Return ONLY JSON: {"score": <integer 0-10 fit>, "reason": "<one line>"}.'
+
+# Our token columns and the names a reply gives them.
 USAGE_FIELDS = {
     "input_tokens": "input_tokens",
     "output_tokens": "output_tokens",
@@ -44,16 +49,15 @@ def build_prompt(j) -> Column:
     places = F.coalesce(
         F.when(F.size(j("locations")) > 0, F.nullif(F.array_join(j("locations"), ", "), F.lit(""))),
         F.nullif(j("location"), F.lit("")),
-        F.lit("unspecified"),
+        F.lit(NO_PLACE),
     )
     return F.concat(
         F.lit("Company: "), F.coalesce(j("company"), F.lit("None")),
         F.lit("\nTitle: "), F.coalesce(j("title"), F.lit("None")),
         F.lit("\nLocation(s): "), places,
         F.lit("\n<job_description>\n"),
-        F.when(text == "", "(no description captured for this source)").otherwise(text),
-        F.lit('\n</job_description>\nReturn ONLY JSON: '
-              '{"score": <integer 0-10 fit>, "reason": "<one line>"}.'),
+        F.when(text == "", NO_TEXT).otherwise(text),
+        F.lit(f"\n</job_description>\n{ASK}"),
     )
 
 

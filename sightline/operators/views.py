@@ -148,6 +148,12 @@ def facet(df: DataFrame, column: str) -> DataFrame:
 
 # --- texts ----------------------------------------------------------------------------------------
 
+# The wording of a digest and of a pending line.
+NEW_HEAD, NEW_TAIL = "🆕 <b>", "</b> new job match(es):"
+MORE_HEAD, MORE_TAIL = "…and ", " more — send /jobs to browse all"
+BOX = "- [ ] "
+
+
 def cards(df: DataFrame) -> Column:
     return card_text(lambda name: F.col(name) if name in df.columns else F.lit(None).cast("string"))
 
@@ -155,7 +161,7 @@ def cards(df: DataFrame) -> Column:
 def pending_lines(df: DataFrame) -> DataFrame:
     """One unchecked box per new row: (job_id, first_seen, line)."""
     part = lambda name: F.coalesce(F.col(name), F.lit(""))
-    line = F.concat(F.lit("- [ ] "), part("url"), F.lit(" | "), part("company"), F.lit(" | "), part("title"))
+    line = F.concat(F.lit(BOX), part("url"), F.lit(" | "), part("company"), F.lit(" | "), part("title"))
     return df.filter(F.col("status") == "new").select("job_id", "first_seen", line.alias("line"))
 
 
@@ -179,14 +185,13 @@ def digest(new_rows: DataFrame, order: Sequence | None = None, most: int = DIGES
     total = new_rows.agg(F.count("*").alias("n")).filter("n > 0")
     head = total.select(
         F.lit(0).alias("pos"),
-        F.concat(F.lit("🆕 <b>"), F.col("n").cast("string"), F.lit("</b> new job match(es):")).alias("line"))
+        F.concat(F.lit(NEW_HEAD), F.col("n").cast("string"), F.lit(NEW_TAIL)).alias("line"))
     top = new_rows.orderBy(*order).limit(most)
     spot = F.row_number().over(_single_window(order))
     body = top.select(spot.alias("pos"), cards(top).alias("line"))
     more = total.filter(F.col("n") > most).select(
         F.lit(most + 1).alias("pos"),
-        F.concat(F.lit("…and "), (F.col("n") - most).cast("string"),
-                 F.lit(" more — send /jobs to browse all")).alias("line"))
+        F.concat(F.lit(MORE_HEAD), (F.col("n") - most).cast("string"), F.lit(MORE_TAIL)).alias("line"))
     return head.unionByName(body).unionByName(more)
 
 
