@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from ..sources.search_apis import annual_salary, location_text, remote_flag
 from . import fixtures as fx
-from .fixtures import BOARD, BOARD_CLOCK, EVENT_CLOCK, REPLIES, RUNS, SIGHTINGS
+from .fixtures import BOARD, EVENT_CLOCK, REPLIES, RUNS, SIGHTINGS
 from .registry import query
 
 _UNESCAPED = ("replace(replace(replace(regexp_replace({0}, '&amp;?', chr(1), 'g'), '&middot;', '·'), "

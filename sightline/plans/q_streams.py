@@ -10,7 +10,6 @@ from ..streaming.generations import stream_generations
 from ..streaming.landing import each_batch, read_landing, write_available
 from ..streaming.merge import alert_batches, merge_batches
 from ..streaming.upsert import EVENT, stream_upsert
-from . import fixtures as fx
 from .fixtures import PRIORITY, WINDOW_HOURS, ts_text
 from .q_merge import _GAPS, _H, log
 from .registry import query
