@@ -7,10 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import op8_bpe, op9_exact, op10_chosen_path
+from sightline.llm import op7_lines, op8_bpe, op9_exact, op10_chosen_path
 from sightline.llm.common import read
 
 
+def op7_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, the lines that stay, and the SHA-256 of the text they make."""
+    out = op7_lines.dedup_lines(read(spark, sf_dir, "documents"), counts=True)
+    return out.select("doc_id", "n_lines", "n_kept", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
+OP7_SQL = """
+with pieces as (
+  select doc_id, unnest(string_split(text, chr(10))) as line,
+         generate_subscripts(string_split(text, chr(10)), 1) as pos
+  from documents where text is not null),
+lines as (select *, trim(line, chr(32) || chr(9) || chr(13)) as s from pieces),
+numbered as (
+  select *, length(s) as n, row_number() over (partition by s order by doc_id, pos) as nth from lines),
+firsts as (select s, n, doc_id, pos from numbered where nth = 1 and n >= 40),
+-- One edit leaves the first or the second half of the shorter line whole, at the same end of the longer one.
+halves as (
+  select a.s, a.n, k.less, k.tail, a.doc_id, a.pos,
+         case when k.tail then right(a.s, a.n - k.less - (a.n - k.less) // 2) else left(a.s, (a.n - k.less) // 2) end as half
+  from firsts a, (values (0, false), (0, true), (1, false), (1, true)) k(less, tail)),
+near as (
+  select distinct case when (x.doc_id, x.pos) < (y.doc_id, y.pos) then y.s else x.s end as s
+  from halves x join halves y on x.less = 0 and x.n = y.n - y.less and x.tail = y.tail and x.half = y.half and x.s <> y.s
+  where levenshtein(x.s, y.s) <= 1),
+judged as (
+  select *, n < 20 or (nth = 1 and s not in (select s from near)) as stays from numbered),
+texts as (
+  select doc_id, count(*) as n_lines, count(*) filter (stays) as n_kept,
+         coalesce(string_agg(line, chr(10) order by pos) filter (stays), '') as kept
+  from judged group by doc_id)
+select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_kept, 0) as n_kept, sha256(coalesce(kept, '')) as text_sha256
+from documents d left join texts t on d.doc_id = t.doc_id
+"""
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,11 +75,13 @@ def op10_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_line_edit_join": op7_line_edit_join,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_fuse_dedup": op9_fuse_dedup,
     "op10_chosen_path_dedup": op10_chosen_path_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op7_line_edit_join": OP7_SQL,
     "op9_fuse_dedup": OP9_SQL,
 }
 
