@@ -7,10 +7,74 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import op7_lines, op8_bpe, op9_exact, op10_chosen_path
+from sightline.llm import op3_mixture, op7_lines, op8_bpe, op9_exact, op10_chosen_path
 from sightline.llm.common import read
 
 
+#: Target weights of the mixture: curated sources count double, and languages by how much of each is wanted.
+WEIGHTS = {"web": 2, "curated": 3,
+           "web/en": 4, "web/de": 2, "web/fr": 2, "web/es": 1,
+           "curated/en": 3, "curated/de": 2, "curated/fr": 2, "curated/es": 2}
+SEED, PERCENT, EPOCHS = 2024, 60, 2
+
+
+def domain_of_source(source: str = "source"):
+    """Sources numbered below ten are the web, the others curated."""
+    number = F.regexp_extract(F.col(source), r"([0-9]+)$", 1)
+    return F.when(F.length(number) == 1, F.lit("web")).otherwise(F.lit("curated"))
+
+
+def op3_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_mixture.mix(read(spark, sf_dir, "documents"), domain_of_source(), WEIGHTS, PERCENT, SEED, EPOCHS, report=True)
+
+
+def _level_sql(depth: int) -> str:
+    """Budgets of one level of the tree, by the same closed form."""
+    cols = ["domain", "lang", "source"][:depth]
+    parent = " || '/' || ".join(["''", *cols[:-1]])
+    node = " || '/' || ".join(["''", *cols])
+    known = " ".join(f"when '{k}' then {v}" for k, v in WEIGHTS.items())
+    return f"""
+n{depth} as (
+  select {", ".join(cols)}, {parent} as parent, {node} as node,
+         case {" || '/' || ".join(cols)} {known} else 1 end as weight, sum(tokens) * {EPOCHS} as held
+  from leaves group by all),
+q{depth} as (
+  select n{depth}.*, (budget - coalesce(sum(held) over before, 0))::double / (sum(weight) over onward)::double as level
+  from n{depth} join b{depth - 1} on n{depth}.parent = b{depth - 1}.node
+  window before as (partition by n{depth}.parent order by held / weight, n{depth}.node rows between unbounded preceding and 1 preceding),
+         onward as (partition by n{depth}.parent order by held / weight, n{depth}.node rows between current row and unbounded following)),
+b{depth} as (
+  select {", ".join(cols)}, node,
+         least(held, floor(weight::double * max(level) over (partition by parent)))::bigint as budget
+  from q{depth})"""
+
+
+OP3_SQL = f"""
+with d as (
+  select doc_id, case when length(regexp_extract(coalesce(source, ''), '([0-9]+)$', 1)) = 1 then 'web' else 'curated' end as domain,
+         coalesce(lang, '') as lang, coalesce(source, '') as source,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as n_tokens
+  from documents),
+leaves as (select domain, lang, source, sum(n_tokens)::bigint as tokens from d group by all),
+b0 as (select '' as node, (sum(tokens) * {PERCENT} // 100)::bigint as budget from leaves),
+{_level_sql(1)},
+{_level_sql(2)},
+{_level_sql(3)},
+plan as (
+  select l.domain, l.lang, l.source, case when tokens > 0 then budget // tokens else 0 end as epochs,
+         case when tokens > 0 then budget % tokens else budget end as rest
+  from leaves l join b3 on l.domain = b3.domain and l.lang = b3.lang and l.source = b3.source),
+placed as (
+  select d.*, epochs, rest, sum(n_tokens) over (
+           partition by d.domain, d.lang, d.source order by md5('{SEED}:' || epochs || ':' || coalesce(doc_id::varchar, ''))) as upto
+  from d join plan p on d.domain = p.domain and d.lang = p.lang and d.source = p.source),
+taken as (select *, epochs + case when rest > 0 and upto <= rest then 1 else 0 end as copies from placed)
+select doc_id, domain, lang, source, n_tokens, unnest(range(copies))::int as epoch
+from taken where copies > 0
+"""
+
+
 def op7_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, the lines that stay, and the SHA-256 of the text they make."""
     out = op7_lines.dedup_lines(read(spark, sf_dir, "documents"), counts=True)
@@ -75,12 +139,14 @@ def op10_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_source_mixture": op3_source_mixture,
     "op7_line_edit_join": op7_line_edit_join,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_fuse_dedup": op9_fuse_dedup,
     "op10_chosen_path_dedup": op10_chosen_path_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op3_source_mixture": OP3_SQL,
     "op7_line_edit_join": OP7_SQL,
     "op9_fuse_dedup": OP9_SQL,
 }
