@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import op3_mixture, op7_lines, op8_bpe, op9_exact, op10_chosen_path
+from sightline.llm import op3_mixture, op5_language, op7_lines, op8_bpe, op9_exact, op10_chosen_path
 from sightline.llm.common import read
 
 
@@ -75,6 +75,11 @@ from taken where copies > 0
 """
 
 
+def op5_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language column is what a document declares; its source stands for the host."""
+    return op5_language.identify(read(spark, sf_dir, "documents"), F.col("lang"), F.col("source"))
+
+
 def op7_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, the lines that stay, and the SHA-256 of the text they make."""
     out = op7_lines.dedup_lines(read(spark, sf_dir, "documents"), counts=True)
@@ -140,6 +145,7 @@ def op10_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mixture": op3_source_mixture,
+    "op5_language_fusion": op5_language_fusion,
     "op7_line_edit_join": op7_line_edit_join,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_fuse_dedup": op9_fuse_dedup,
