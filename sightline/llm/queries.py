@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import op3_mixture, op5_language, op7_lines, op8_bpe, op9_exact, op10_chosen_path
+from sightline.llm import op1_lsh, op3_mixture, op5_language, op7_lines, op8_bpe, op9_exact, op10_chosen_path
 from sightline.llm.common import read
 
 
+def op1_multiprobe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_lsh.search(read(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0, k=20)
+
+
 #: Target weights of the mixture: curated sources count double, and languages by how much of each is wanted.
 WEIGHTS = {"web": 2, "curated": 3,
            "web/en": 4, "web/de": 2, "web/fr": 2, "web/es": 1,
@@ -144,6 +148,7 @@ def op10_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_multiprobe_search": op1_multiprobe_search,
     "op3_source_mixture": op3_source_mixture,
     "op5_language_fusion": op5_language_fusion,
     "op7_line_edit_join": op7_line_edit_join,
@@ -159,8 +164,12 @@ ORACLES: dict[str, str] = {
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    from corpus_pipeline import run
+
+    return QUERIES | {"pipeline": run}
 
 
 def llm_oracles() -> dict[str, str]:
-    return dict(ORACLES)
+    from corpus_pipeline import ORACLE_SQL
+
+    return ORACLES | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
