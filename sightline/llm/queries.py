@@ -7,14 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import op1_lsh, op3_mixture, op5_language, op7_lines, op8_bpe, op9_exact, op10_chosen_path
-from sightline.llm.common import read
+from sightline.llm import op1_lsh, op2_warc, op3_mixture, op5_language, op7_lines, op8_bpe, op9_exact, op10_chosen_path
+from sightline.llm.common import cut_lineage, read, shared_dir
 
 
 def op1_multiprobe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_lsh.search(read(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0, k=20)
 
 
+def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as archives in the shared folder, read back, assembled to captures, revisits resolved."""
+    path = shared_dir(spark, "warc")
+    op2_warc.write_archives(read(spark, sf_dir, "pages"), path)
+    records = cut_lineage(op2_warc.read_archives(spark, path, payload=False).drop("payload"), "warc-records")
+    return op2_warc.resolve(op2_warc.assemble(records)).drop("capture")
+
+
+OP2_SQL = """
+with p as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest
+  from pages),
+q as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) else page_id end as first from p)
+select page_id, payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id <> first then first end as refers_to, 1 as n_requests, 1 as n_metadata
+from q
+"""
+
+
 #: Target weights of the mixture: curated sources count double, and languages by how much of each is wanted.
 WEIGHTS = {"web": 2, "curated": 3,
            "web/en": 4, "web/de": 2, "web/fr": 2, "web/es": 1,
@@ -149,6 +168,7 @@ def op10_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_multiprobe_search": op1_multiprobe_search,
+    "op2_warc_transactions": op2_warc_transactions,
     "op3_source_mixture": op3_source_mixture,
     "op5_language_fusion": op5_language_fusion,
     "op7_line_edit_join": op7_line_edit_join,
@@ -157,6 +177,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chosen_path_dedup": op10_chosen_path_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op2_warc_transactions": OP2_SQL,
     "op3_source_mixture": OP3_SQL,
     "op7_line_edit_join": OP7_SQL,
     "op9_fuse_dedup": OP9_SQL,
