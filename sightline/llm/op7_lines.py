@@ -211,17 +211,17 @@ def _segments(edits: int, near_chars: int, keys):
     return run, "key long, ref long"
 
 
-def _slots(refs: np.ndarray) -> list[np.ndarray]:
+def slots(refs: np.ndarray) -> list[np.ndarray]:
     h = mix(refs)
     return [(h * _U(s) >> _U(32)) % _U(FILTER_BITS) for s in (0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0xB564EF22EC7AECE5)]
 
 
-def _filter_of(refs: DataFrame) -> np.ndarray:
+def filter_of(refs: DataFrame) -> np.ndarray:
     """The bitmap of refs (ref long): set per task, joined by bitwise or. Its size is fixed, whatever refs hold."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER_BITS // 64, _U)
         for part in parts:
-            for at in _slots(part.column(0).to_numpy().view(_U)):
+            for at in slots(part.column(0).to_numpy().view(_U)):
                 np.bitwise_or.at(bits, (at // _U(64)).astype(np.int64), _U(1) << at % _U(64))
         words = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(bits[words].view(np.int64))], names=["word", "bits"])
@@ -240,7 +240,7 @@ def _find_texts(shared, near_chars: int):
         for rows in _near_lines(parts, near_chars):
             refs = Lines([r[0] for r in rows]).refs()
             ok = np.ones(len(refs), bool)
-            for at in _slots(refs):
+            for at in slots(refs):
                 ok &= (bits[(at // _U(64)).astype(np.int64)] >> at % _U(64) & _U(1)).astype(bool)
             out = []
             for k in np.flatnonzero(ok).tolist():
@@ -273,7 +273,7 @@ def similar_lines(rows: DataFrame, max_edits: int, near_chars: int) -> DataFrame
     pairs = index.join(probe, "key").where((F.col("a") != F.col("b")) & (moved <= 2 * max_edits))
     pairs = cut_lineage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("ref"))
-    shared = rows.sparkSession.sparkContext.broadcast(_filter_of(ends))
+    shared = rows.sparkSession.sparkContext.broadcast(filter_of(ends))
     found = rows.mapInArrow(*_find_texts(shared, near_chars)).join(ends.distinct(), "ref", "left_semi")
     found = cut_lineage(found.groupBy("ref", "line").agg(F.min(F.struct("ord", "pos")).alias("at"), F.first("text").alias("text")), "line-texts")
     one = found.select(F.col("ref").alias("a"), F.col("line").alias("a_line"), F.col("at").alias("a_at"), F.col("text").alias("a_text"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import op1_lsh, op2_warc, op3_mixture, op5_language, op7_lines, op8_bpe, op9_exact, op10_chosen_path
+from sightline.llm import op1_lsh, op2_warc, op3_mixture, op4_pii, op5_language, op7_lines, op8_bpe, op9_exact, op10_chosen_path
 from sightline.llm.common import cut_lineage, read, shared_dir
 
 
@@ -98,6 +98,10 @@ from taken where copies > 0
 """
 
 
+def op4_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_pii.digests(op4_pii.annotate(read(spark, sf_dir, "documents")))
+
+
 def op5_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language column is what a document declares; its source stands for the host."""
     return op5_language.identify(read(spark, sf_dir, "documents"), F.col("lang"), F.col("source"))
@@ -170,6 +174,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_multiprobe_search": op1_multiprobe_search,
     "op2_warc_transactions": op2_warc_transactions,
     "op3_source_mixture": op3_source_mixture,
+    "op4_pii_disclosure": op4_pii_disclosure,
     "op5_language_fusion": op5_language_fusion,
     "op7_line_edit_join": op7_line_edit_join,
     "op8_byte_bpe": op8_byte_bpe,
