@@ -3,7 +3,8 @@
 Documents are sets of word shingles. TREES independent trees branch them: at a node, the node's own hash chooses one or
 (in 18 of 100 nodes) two coordinates of the minwise signature, about 1 / 0.85 on average, and a set goes to the child of
 its token there. A node of at most NODE sets is compared exhaustively, by signature sketches; a larger one branches on,
-down to DEPTH tokens. What is still larger then is not compared but linked whole to one of its sets.
+down to DEPTH tokens. A large node is not compared but linked whole to one of its sets if half of it agrees with that
+set (it is one group of near copies, which branching would only drag along), or if it is still large at the end.
 
 These links only say which sets have to be looked at together. Their components are then clustered exactly, on the full
 shingle sets: a link counts if 100 * intersection >= percent * union. A component too large for a task is cut into
@@ -13,7 +14,8 @@ link per set, never all pairs.
 
 Recall. Two sets of similarity 0.85 meet in one tree with probability 0.87 at one level, 0.78, 0.70 and 0.64 at two to
 four; 14 trees miss them with probability 6e-7 at most, as a rule (nodes end at the first level) below 1e-12. A sketch
-of 128 one-byte tokens passes from 0.68 on, over five standard deviations below 0.85.
+of 128 one-byte tokens passes from 0.68 on, over five standard deviations below 0.85. At 0.8 the figures are 2e-5 at most
+and below 1e-10 as a rule.
 
 Equal sets (copies, changes of case or spacing) are one set from the start. Sets are told apart by 64 bits of a BLAKE2
 digest of the set.
@@ -27,6 +29,7 @@ Only the id and text columns are read. Empty tables give empty tables.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +43,8 @@ from sightline.llm.shingles import shingle_sets
 SIGNATURE, TREES, DEPTH, NODE = 128, 14, 4, 200
 #: Nodes of 100 that choose two coordinates: 1 + 0.18 is 1 / 0.85.
 TWICE = 18
-#: A sketch agrees from this share on.
-SKETCH = 0.68
+#: Standard deviations below the similarity asked for from which on sketches agree.
+SKETCH_SLACK = 5.3
 #: Shingles in one block of the exact step.
 BLOCK = 2_000_000
 
@@ -88,7 +91,13 @@ def _children(rows: DataFrame) -> DataFrame:
     return rows.select("sid", F.explode(F.array_compact(F.array(child(1), second))).alias("node"))
 
 
-def _compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def agreeing(percent: int) -> int:
+    """Tokens of two sketches that have to be equal for their sets to be looked at together."""
+    p = percent / 100
+    return math.floor(SIGNATURE * (p - SKETCH_SLACK * math.sqrt(p * (1 - p) / SIGNATURE)))
+
+
+def _compare(parts: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Rows (node, sid, sketch) sorted by node -> links that connect what agrees by its sketch."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -97,10 +106,10 @@ def _compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(sids)
             sk = np.frombuffer(b"".join(sketches), np.uint8).reshape(n, SIGNATURE)
             if n == 2:
-                if (sk[0] == sk[1]).sum() >= SKETCH * SIGNATURE:
+                if (sk[0] == sk[1]).sum() >= least:
                     yield sids[0], sids[1]
                 continue
-            same = np.stack([(sk == x).sum(axis=1) for x in sk]) >= SKETCH * SIGNATURE
+            same = np.stack([(sk == x).sum(axis=1) for x in sk]) >= least
             root = list(range(n))
             for i, j in np.argwhere(np.triu(same, 1)).tolist():
                 x, y = _find(root, i), _find(root, j)
@@ -136,8 +145,9 @@ def _find(root: list[int], i: int) -> int:
     return i
 
 
-def candidates(reps: DataFrame) -> DataFrame:
+def candidates(reps: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between sets (sid, sig) that have to be looked at together."""
+    least = agreeing(percent)
     first = []
     for t in range(TREES):
         first.append((t, t))
@@ -146,25 +156,40 @@ def candidates(reps: DataFrame) -> DataFrame:
     sig = reps.select("sid", "sig")
     rows = sig.select("sid", F.explode(F.array(*(
         F.xxhash64(F.lit(t), F.lit(c), F.get("sig", F.lit(c))) for t, c in first))).alias("node"))
-    leaves, links = [], None
+    leaves, links, sigs = [], [], None
     for level in range(1, DEPTH + 1):
         counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("head")).where("n > 1")
         shared = cut_lineage(rows.join(counts, "node"), "paths")
         leaves.append(shared.where(F.col("n") <= NODE).select("node", "sid"))
         large = shared.where(F.col("n") > NODE)
-        if level == DEPTH:
-            links = large.select(F.col("head").alias("a"), F.col("sid").alias("b")).where("a <> b")
-        elif large.isEmpty():
+        if large.isEmpty():
             break
-        else:
-            rows = _children(large.select("node", "sid").join(sig, "sid"))
+        if sigs is None:
+            sigs = cut_lineage(sig.hint("merge").join(large.select("sid").distinct(), "sid", "left_semi"), "paths")
+        if level < DEPTH:
+            alike = _alike(large, sigs, least)
+            rows = _children(large.join(alike, "node", "left_anti").select("node", "sid").join(sigs, "sid"))
+            large = large.join(alike, "node", "left_semi")
+        links.append(large.select(F.col("head").alias("a"), F.col("sid").alias("b")).where("a <> b"))
     sketch = reps.select("sid", "sketch")
     small = leaves[0]
     for more in leaves[1:]:
         small = small.unionByName(more)
     found = (small.join(sketch, "sid").select("node", "sid", "sketch").repartition("node").sortWithinPartitions("node")
-             .mapInArrow(_compare, "a long, b long"))
-    return found if links is None else found.unionByName(links)
+             .mapInArrow(lambda parts: _compare(parts, least), "a long, b long"))
+    for more in links:
+        found = found.unionByName(more)
+    return found
+
+
+def _alike(large: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
+    """(node) of the large nodes in which at least half of the sets agree with the node's head."""
+    heads = (large.select("node", "head").distinct().join(sigs.withColumnRenamed("sid", "head"), "head")
+             .select("node", F.col("sig").alias("head_sig")))
+    rows = large.select("node", "sid").join(sigs, "sid").join(heads, "node")
+    same = F.aggregate(F.zip_with("sig", "head_sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    return (rows.groupBy("node").agg(F.avg((same >= least).cast("double")).alias("share"))
+            .where("share >= 0.5").select("node"))
 
 
 def cluster(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -225,7 +250,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, id_col:
     with_words = sets.where(F.col("sid").isNotNull())
     reps = cut_lineage(with_words.select("sid", "sig").dropDuplicates(["sid"]).mapInArrow(
         _with_sketch, "sid long, sig array<int>, sketch binary"), "near-sets")
-    coarse = components(candidates(reps), "near-coarse")
+    coarse = components(candidates(reps, percent), "near-coarse")
 
     # One row that has each set: with its mark the join finds it even among rows that repeat an id.
     one = with_words.groupBy("sid").agg(F.min(F.struct("doc_id", "mark")).alias("at"), F.min("doc_id").alias("least"),
@@ -240,7 +265,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, id_col:
             lambda k: F.xxhash64("root", F.least(k, "own"), F.greatest(k, "own")))).alias("place")))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     p = placed.withColumnRenamed("doc_id", "of").withColumnRenamed("mark", "of_mark")
-    exact = (texts.join(p, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")))
+    # The members grow with the corpus, so they are never broadcast, however few they are.
+    exact = (texts.join(p.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")))
              .select("place", "sid", "text").repartition("place").sortWithinPartitions("place")
              .mapInArrow(_exact(percent, words), "a long, b long"))
     comps = components(exact, "near-exact")
