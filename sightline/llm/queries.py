@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import op1_lsh, op2_warc, op3_mixture, op4_pii, op5_language, op7_lines, op8_bpe, op9_exact, op10_chosen_path
+from sightline.llm import op1_lsh, op2_warc, op3_mixture, op4_pii, op5_language, op6_urls, op7_lines, op8_bpe, op9_exact, op10_chosen_path
 from sightline.llm.common import cut_lineage, read, shared_dir
 
 
@@ -107,6 +107,14 @@ def op5_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_language.identify(read(spark, sf_dir, "documents"), F.col("lang"), F.col("source"))
 
 
+#: The block and allow list.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op6_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_urls.judge(read(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, the lines that stay, and the SHA-256 of the text they make."""
     out = op7_lines.dedup_lines(read(spark, sf_dir, "documents"), counts=True)
@@ -176,6 +184,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mixture": op3_source_mixture,
     "op4_pii_disclosure": op4_pii_disclosure,
     "op5_language_fusion": op5_language_fusion,
+    "op6_url_templates": op6_url_templates,
     "op7_line_edit_join": op7_line_edit_join,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_fuse_dedup": op9_fuse_dedup,
