@@ -92,8 +92,8 @@ def mix(docs: DataFrame, domain: Column, weights: Mapping[str, int], percent: in
     rows = cut_lineage(base.select(*path, "doc", words(col[text_col]).alias("tokens")), "mix-rows")
     leaves = leaf_budgets(rows.groupBy(*path).agg(F.sum("tokens").alias("tokens")), weights, percent, max_epochs)
     leaves = cut_lineage(leaves.select(
-        *path, F.coalesce(F.expr("budget div tokens"), F.lit(0)).cast("int").alias("epochs"),
-        (F.col("budget") - F.coalesce(F.expr("budget div tokens"), F.lit(0)) * F.col("tokens")).alias("rest")), "mix-leaves")
+        *path, F.expr("case when tokens > 0 then budget div tokens else 0 end").cast("int").alias("epochs"),
+        F.expr("case when tokens > 0 then budget % tokens else 0 end").alias("rest")), "mix-leaves")
 
     def place(df: DataFrame) -> DataFrame:
         return df.withColumn("place", F.md5(F.concat_ws(":", F.lit(seed), "epochs", "doc")))

@@ -192,7 +192,8 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text")
               .groupBy("term").agg(F.sum("n").alias("n_t")))
     total = docs.count()
     pmi = F.log2(F.col("n_te") * F.lit(float(total)) / (F.greatest("n_t", "n_te") * F.col("n_e")))
-    rows = pairs.join(counts, "term").withColumn("disclosure", pmi / F.log2(F.lit(float(total)) / F.col("n_e")))
+    # An entity that all documents show is no secret, and dividing by its zero information gives null.
+    rows = pairs.join(counts, "term").withColumn("disclosure", F.try_divide(pmi, F.log2(F.lit(float(total)) / F.col("n_e"))))
     return cut_lineage(rows.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= GENERALISE),
                        "pii-terms")
 

@@ -6,10 +6,10 @@ rule decides, and any whose label is given.
 * Segments that vary by themselves (they hold a digit, or are longer than LONG) are wildcards; so is all below DEPTH
   segments, as one. That leaves a shape per path. Rows are grouped by host and shape first; all further steps work on that
   table, and a host with a third of all pages has no more rows in it than it has shapes.
-* Top down, level by level, the branches of a node are compared. A branch with less than RARE of the node's rows, or with
-  a label rate that does not differ from that of the node's other labelled branches (two-proportion test, |z| at most
-  SIMILAR), is merged with its like under a wildcard: rare branches under one, similar ones under another. Branches
-  without any label are not evidence and are left as they are, unless rare.
+* Top down, level by level, the branches of a node are compared. Those with less than RARE of the node's rows are merged
+  under a wildcard. The other labelled branches are put in the order of their bad share; neighbours that do not differ
+  (two-proportion test, z at most SIMILAR) are merged, so similar branches form runs, named (0), (1), ... Branches
+  without any label are no evidence and are left as they are, unless rare.
 * The leaves are the templates. One is rejected if it has at least MIN_LABELS labelled rows and its share of bad ones,
   smoothed by SMOOTH rows of its host's share, which is smoothed by SMOOTH rows of the share overall, is at least REJECT.
 
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.llm.common import cut_lineage
@@ -69,17 +69,22 @@ def templates(shapes: DataFrame) -> DataFrame:
         rows = rows.withColumn("seg", F.get("shape", F.lit(level)))
         branches = rows.where(F.col("seg").isNotNull()).groupBy("host", "node", "seg").agg(
             F.sum("n").alias("b_n"), F.sum("labelled").alias("b_l"), F.sum("bad").alias("b_b"))
-        nodes = branches.groupBy("host", "node").agg(
-            F.sum("b_n").alias("n_n"), F.sum("b_l").alias("n_l"), F.sum("b_b").alias("n_b"))
-        others = F.col("n_l") - F.col("b_l")
-        pooled = F.col("n_b") / F.col("n_l")
-        spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("b_l") + 1 / others))
-        gap = F.abs(F.col("b_b") / F.col("b_l") - (F.col("n_b") - F.col("b_b")) / others)
-        similar = (F.col("b_l") > 0) & (others > 0) & F.coalesce(gap <= SIMILAR * spread, F.lit(False))
-        named = branches.join(nodes, ["host", "node"]).select(
-            "host", "node", "seg",
-            F.when(F.col("seg").isin("*", "**"), F.col("seg"))
-            .when(F.col("b_n") < RARE * F.col("n_n"), F.lit("*")).when(similar, F.lit("(*)")).otherwise(F.col("seg")).alias("as"))
+        nodes = branches.groupBy("host", "node").agg(F.sum("b_n").alias("n_n"))
+        split = branches.join(nodes, ["host", "node"]).withColumn(
+            "wild", F.col("seg").isin("*", "**") | (F.col("b_n") < RARE * F.col("n_n")))
+        # At most 1 / RARE branches of a node are left here, so its window is small.
+        order = Window.partitionBy("host", "node").orderBy(F.col("b_b") / F.col("b_l"), "seg")
+        ranked = split.where(~F.col("wild") & (F.col("b_l") > 0)).withColumns({"p_l": F.lag("b_l").over(order), "p_b": F.lag("b_b").over(order)})
+        pooled = (F.col("b_b") + F.col("p_b")) / (F.col("b_l") + F.col("p_l"))
+        spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("b_l") + 1 / F.col("p_l")))
+        apart = F.col("b_b") / F.col("b_l") - F.col("p_b") / F.col("p_l") > SIMILAR * spread
+        ranked = ranked.withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int")).withColumn("group", F.sum("apart").over(order))
+        size = F.count(F.lit(1)).over(Window.partitionBy("host", "node", "group"))
+        alike = ranked.withColumn("size", size).where("size > 1").select(
+            "host", "node", "seg", F.concat(F.lit("("), F.col("group").cast("string"), F.lit(")")).alias("like"))
+        named = split.join(alike, ["host", "node", "seg"], "left").select(
+            "host", "node", "seg", F.when(F.col("seg") == "**", F.col("seg")).when(F.col("wild"), F.lit("*"))
+            .otherwise(F.coalesce("like", "seg")).alias("as"))
         rows = (rows.join(named, ["host", "node", "seg"], "left")
                 .withColumn("node", F.when(F.col("as").isNull(), F.col("node")).otherwise(F.concat_ws("/", "node", "as")))
                 .drop("as", "seg"))
