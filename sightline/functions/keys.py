@@ -40,6 +40,8 @@ def canonical_url(url: Column) -> Column:
 
 
 def _decode(c: Column) -> Column:
+    # A percent sign that starts no escape stands for itself.
+    c = F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25")
     return F.coalesce(F.try_url_decode(c), F.replace(c, F.lit("+"), F.lit(" ")))
 
 

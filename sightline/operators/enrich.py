@@ -7,27 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 
-# Fixed value: rows asked for in one scan.
-ENRICH_LIMIT = 500
 
+def needs_detail(snapshot: DataFrame) -> DataFrame:
+    """Rows whose description is a snippet."""
+    return snapshot.filter(~F.col("jd_full"))
 
-def needs_detail(snapshot: DataFrame, limit: int | None = ENRICH_LIMIT) -> DataFrame:
-    """Rows whose description is a snippet, newest first; `limit` None takes all."""
-    rows = snapshot.filter(~F.col("jd_full"))
-    if limit is not None:
-        rows = rows.orderBy(F.desc("first_seen"), "job_id").limit(limit)
-    return rows
 
-
-def enrich_detail(
-    snapshot: DataFrame, details: DataFrame, listing_id, source: str = "reed",
-    limit: int | None = ENRICH_LIMIT,
-) -> DataFrame:
+def enrich_detail(snapshot: DataFrame, details: DataFrame, listing_id, source: str = "reed") -> DataFrame:
     """Put the full description where a detail reply has text; otherwise the row is left to retry.
 
+    The replies have landed already, so all of them are used; how many are asked for is up to the job that lands them.
+
     `listing_id` gives the provider's id of a snapshot row, `details` is (listing_id, description).
     """
-    wanted = needs_detail(snapshot, limit).filter(F.col("source") == source)
+    wanted = needs_detail(snapshot).filter(F.col("source") == source)
     texts = details.filter(F.coalesce(F.col("description"), F.lit("")) != "")
     texts = texts.groupBy("listing_id").agg(F.max("description").alias("_text"))
     found = (

@@ -69,7 +69,7 @@ def api_cost(runs: DataFrame, engines: Sequence[str] = API_ENGINES) -> DataFrame
     return paid.agg(F.round(_sum("cost_usd"), 4).alias("api_cost"))
 
 
-def recent_runs(runs: DataFrame, limit: int = RUNS_SHOWN) -> DataFrame:
+def recent_runs(runs: DataFrame, limit: int) -> DataFrame:
     return runs.orderBy(F.desc_nulls_last("started_at"), "run_id").limit(limit)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import card_text
 from ..schema import LIST_COLS
+from ..session import cut_lineage
 from .filters import LANES, RECENT_HOURS, lane, search_text
 from .lifecycle import STAGES
 
@@ -24,7 +25,7 @@ def newest_first() -> tuple[Column, ...]:
 
 
 
-def newest(df: DataFrame, limit: int | None = LIST_LIMIT, query: str | None = None) -> DataFrame:
+def newest(df: DataFrame, limit: int | None = None, query: str | None = None) -> DataFrame:
     """Newest first. With a query the description is searched but not returned."""
     rows = search_text(df, query)
     rows = rows.select(*[c for c in LIST_COLS if c in rows.columns]).orderBy(*newest_first())
@@ -42,7 +43,7 @@ def primary_place() -> Column:
         F.nullif(F.col("location"), F.lit("")), F.lit("—"))
 
 
-def sort_by(df: DataFrame, key: str, collation: str | None = "UNICODE") -> DataFrame:
+def sort_order(key: str, collation: str | None = "UNICODE") -> list[Column]:
     """`recent`, `company`, `location` or `score` (unscored count as -1); ties are newest first."""
     def words(c: Column) -> Column:
         return F.collate(c, collation) if collation else c
@@ -53,42 +54,59 @@ def sort_by(df: DataFrame, key: str, collation: str | None = "UNICODE") -> DataF
         "location": [words(primary_place()).asc()],
         "score": [F.coalesce(F.col("score"), F.lit(-1.0)).desc()],
     }[key]
-    return df.orderBy(*first, *newest_first())
+    return [*first, *newest_first()]
+
+
+def sort_by(df: DataFrame, key: str, collation: str | None = "UNICODE") -> DataFrame:
+    return df.orderBy(*sort_order(key, collation))
 
 
 def page(df: DataFrame, number: int, size: int, order: Sequence | None = None) -> DataFrame:
     """Page `number` (0-based, clamped to the last one) plus `total`, `pages` and `page`.
 
-    One aggregate gives the total; the slice itself is a top-k of the rows up to its end.
+    The rows are numbered by `numbered`, so a late page costs what the first one costs.
     """
-    total = df.count()
+    rows = numbered(df, order or newest_first())
+    total = rows.count()
     pages = max(1, -(-total // size))
     at = max(0, min(number, pages - 1))
-    rows = df.orderBy(*(order or newest_first())).offset(at * size).limit(size)
+    rows = rows.filter(F.col("place").between(at * size + 1, (at + 1) * size)).orderBy("place").drop("place")
     return rows.withColumns({"total": F.lit(total), "pages": F.lit(pages), "page": F.lit(at + 1)})
 
 
+def numbered(df: DataFrame, order: Sequence) -> DataFrame:
+    """Adds `place`, 1 for the first row in `order`.
+
+    The rows are range-sorted and written; each partition counts its own, and the counts before it (one row per
+    partition) are added. No task sees more than its range.
+    """
+    pid, mid = F.spark_partition_id(), F.monotonically_increasing_id()
+    rows = cut_lineage(df.orderBy(*order).withColumns({"_pid": pid, "_at": mid - F.shiftleft(pid.cast("bigint"), 33)}), "numbered")
+    before = rows.groupBy("_pid").agg(F.count("*").alias("_n")).withColumn(
+        "_before", F.sum("_n").over(_single_window(["_pid"])) - F.col("_n")).drop("_n")
+    return rows.join(before, "_pid").withColumn("place", F.col("_before") + F.col("_at") + 1).drop("_pid", "_at", "_before")
+
+
 def capped(df: DataFrame, cap: int | None) -> DataFrame:
     """The newest `cap` rows, to be filtered afterwards; None looks at the whole table."""
     return df if cap is None else df.orderBy(*newest_first()).limit(cap)
 
 
-def candidates(df: DataFrame, only_unscored: bool = True, max_jobs: int = 200) -> DataFrame:
-    """New rows to score, newest first, at most `max_jobs` (0 = all)."""
+def candidates(df: DataFrame, only_unscored: bool = True, max_jobs: int | None = None) -> DataFrame:
+    """New rows to score, newest first, at most `max_jobs` (None = all, in no order)."""
     rows = df.filter(F.col("status") == "new")
     if only_unscored:
         rows = rows.filter(F.col("evaluated_at").isNull())
-    rows = rows.orderBy(*newest_first())
-    return rows.limit(max_jobs) if max_jobs > 0 else rows
+    return rows.orderBy(*newest_first()).limit(max_jobs) if max_jobs else rows
 
 
-def skipped(df: DataFrame, only_unscored: bool = True, max_jobs: int = 200) -> DataFrame:
+def skipped(df: DataFrame, only_unscored: bool = True, max_jobs: int | None = None) -> DataFrame:
     """How many candidates the cap left out."""
     rows = df.filter(F.col("status") == "new")
     if only_unscored:
         rows = rows.filter(F.col("evaluated_at").isNull())
     n = F.count("*")
-    over = F.greatest(F.lit(0), n - max_jobs) if max_jobs > 0 else F.lit(0)
+    over = F.greatest(F.lit(0), n - max_jobs) if max_jobs else F.lit(0)
     return rows.agg(n.alias("candidates"), over.cast("bigint").alias("skipped"))
 
 
@@ -149,8 +167,8 @@ def facet(df: DataFrame, column: str) -> DataFrame:
 # --- texts ----------------------------------------------------------------------------------------
 
 # The wording of a digest and of a pending line.
-NEW_HEAD, NEW_TAIL = "🆕 <b>", "</b> new job match(es):"
-MORE_HEAD, MORE_TAIL = "…and ", " more — send /jobs to browse all"
+NEW_LINE = "🆕 <b>%d</b> new job match(es):"
+MORE_LINE = "…and %d more — send /jobs to browse all"
 BOX = "- [ ] "
 
 
@@ -180,22 +198,26 @@ def write_pending(df: DataFrame, path: str, section: str = "Pending") -> None:
 
 
 def digest(new_rows: DataFrame, order: Sequence | None = None, most: int = DIGEST_CARDS) -> DataFrame:
-    """(pos, line): count line, the first cards, how many more. No rows in, no rows out."""
-    order = order or newest_first()
+    """(pos, line): count line, the first cards, how many more. No rows in, no rows out.
+
+    A blank line follows the first and precedes the last. Cards come in the order in which they were found where the
+    rows carry it (`found_at`: source rank and position), else newest first.
+    """
+    order = order or ([F.asc("found_at"), F.asc("job_id")] if "found_at" in new_rows.columns else newest_first())
     total = new_rows.agg(F.count("*").alias("n")).filter("n > 0")
     head = total.select(
         F.lit(0).alias("pos"),
-        F.concat(F.lit(NEW_HEAD), F.col("n").cast("string"), F.lit(NEW_TAIL)).alias("line"))
+        F.format_string(NEW_LINE + "\n", F.col("n")).alias("line"))
     top = new_rows.orderBy(*order).limit(most)
     spot = F.row_number().over(_single_window(order))
     body = top.select(spot.alias("pos"), cards(top).alias("line"))
     more = total.filter(F.col("n") > most).select(
         F.lit(most + 1).alias("pos"),
-        F.concat(F.lit(MORE_HEAD), (F.col("n") - most).cast("string"), F.lit(MORE_TAIL)).alias("line"))
+        F.format_string("\n" + MORE_LINE, F.col("n") - most).alias("line"))
     return head.unionByName(body).unionByName(more)
 
 
 def _single_window(order: Sequence):
-    """Numbering over at most `most` rows, which a limit has already put into one partition."""
+    """Numbering over a few rows: those a limit has left, or one per partition."""
     from pyspark.sql import Window
     return Window.partitionBy(F.lit(0)).orderBy(*order)

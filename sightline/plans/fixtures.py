@@ -20,19 +20,9 @@ BOARD_CLOCK = "2024-03-01 00:00:00"
 EVENT_CLOCK = "2024-02-01 00:00:00"
 
 
-_FACTS = ("lineitem", "documents", "events", "pages", "conversations")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table, clocks as timestamps.
-
-    A fact table that arrives in fewer splits than there are cores (one row group per file here) is
-    spread once; one that comes in many files is left as it is.
-    """
+    """A test table, clocks as timestamps."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in _FACTS and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
     for f in df.schema.fields:
         if f.dataType.typeName() == "timestamp_ntz":
             df = df.withColumn(f.name, F.col(f.name).cast("timestamp"))

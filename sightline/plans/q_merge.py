@@ -392,7 +392,7 @@ def enrich_detail(spark, sf):
         F.when(F.col("lang").isin("en", "de"), F.concat(F.lit("full "), F.col("doc_id").cast("string")))
         .when(F.col("lang") == "fr", "").alias("description"))
     out = enrich.enrich_detail(
-        fx.board(spark, sf), details, F.col("doc_id").cast("string"), source="src0", limit=None)
+        fx.board(spark, sf), details, F.col("doc_id").cast("string"), source="src0")
     return out.select("job_id", "description", "jd_full")
 
 

@@ -27,7 +27,7 @@ select job_id, cast(greatest(0, least(10, case when contains(prompt, 'license')
 """)
 def score_batch(spark, sf):
     """All candidates, scored by the keyword scorer that ships with the package."""
-    rows = views.candidates(fx.board(spark, sf), max_jobs=0).withColumn("seq", F.lit(0).cast("bigint"))
+    rows = views.candidates(fx.board(spark, sf)).withColumn("seq", F.lit(0).cast("bigint"))
     out = scoring.score_batch(rows, scoring.keyword_scorer(_WORDS))
     return out.select("job_id", "score", "reason", "outcome")
 

@@ -147,25 +147,19 @@ select job_id, source, company, title, url, location, array_to_string(locations,
   eval_reason, salary_min, salary_max, currency, {_SEEN} from board order by {_NEWEST.replace('first_seen', 'board.first_seen')} limit 500
 """))
 def list_newest(spark, sf):
-    rows = views.newest(fx.board(spark, sf))
+    rows = views.newest(fx.board(spark, sf), views.LIST_LIMIT)
     return rows.withColumn("locations", F.array_join("locations", ", ")).withColumn(
         "first_seen", ts_text("first_seen")).drop("last_seen")
 
 
 @query("top_scored", _with_board("""
 select job_id, score, status, row_number() over (order by score desc, first_seen desc nulls last, job_id) as place
-from board where score is not null order by score desc, first_seen desc nulls last, job_id limit 1000
+from board where score is not null
 """))
 def top_scored(spark, sf):
-    """The chat list: best first, as many as the list holds, numbered after the cut."""
-    rows = views.best_score(fx.board(spark, sf)).limit(1000)
-    return _numbered(rows, [F.desc("score"), *views.newest_first()]).select("job_id", "score", "status", "place")
-
-
-def _numbered(df, order):
-    """Number the rows of a list that a limit has already made short."""
-    from pyspark.sql import Window
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+    """All scored rows, best first, numbered."""
+    rows = fx.board(spark, sf).filter(F.col("score").isNotNull())
+    return views.numbered(rows, [F.desc("score"), *views.newest_first()]).select("job_id", "score", "status", "place")
 
 
 def _page_sql(order: str, number: int, size: int, where: str = "true") -> str:
@@ -182,18 +176,18 @@ _BEST_PLACE = "coalesce(nullif(locations[1], ''), nullif(location, ''), '—')"
 
 @query("sort_score", _page_sql(f"coalesce(score, -1) desc, {_NEWEST}", 1, 25))
 def sort_score(spark, sf):
-    return views.page(fx.board(spark, sf), 1, 25, [F.coalesce("score", F.lit(-1.0)).desc(), *views.newest_first()]).select(
+    return views.page(fx.board(spark, sf), 1, 25, views.sort_order("score")).select(
         "job_id", "total", "pages", "page")
 
 
 @query("sort_company", _page_sql(f"company, {_NEWEST}", 0, 25))
 def sort_company(spark, sf):
-    return views.page(fx.board(spark, sf), 0, 25, [F.asc("company"), *views.newest_first()]).select("job_id", "total", "pages", "page")
+    return views.page(fx.board(spark, sf), 0, 25, views.sort_order("company", None)).select("job_id", "total", "pages", "page")
 
 
 @query("sort_location", _page_sql(f"{_BEST_PLACE}, {_NEWEST}", 2, 25))
 def sort_location(spark, sf):
-    return views.page(fx.board(spark, sf), 2, 25, [views.primary_place().asc(), *views.newest_first()]).select(
+    return views.page(fx.board(spark, sf), 2, 25, views.sort_order("location", None)).select(
         "job_id", "total", "pages", "page")
 
 
@@ -216,14 +210,14 @@ def capped_view(spark, sf):
 select job_id, company from board where status = 'new' and evaluated_at is null order by {_NEWEST} limit 200
 """))
 def triage_candidates(spark, sf):
-    return views.candidates(fx.board(spark, sf)).select("job_id", "company")
+    return views.candidates(fx.board(spark, sf), max_jobs=200).select("job_id", "company")
 
 
 @query("triage_skipped", _with_board("""
 select count(*) as candidates, greatest(0, count(*) - 200) as skipped from board where status = 'new' and evaluated_at is null
 """))
 def triage_skipped(spark, sf):
-    return views.skipped(fx.board(spark, sf))
+    return views.skipped(fx.board(spark, sf), max_jobs=200)
 
 
 @query("recent_runs", f"""
@@ -232,7 +226,7 @@ select run_id, engine, strftime(started_at, '%Y-%m-%d %H:%M:%S') as started_at f
 order by runs.started_at desc, run_id limit 50
 """)
 def recent_runs(spark, sf):
-    return ledger.recent_runs(fx.runs(spark, sf)).select("run_id", "engine", ts_text("started_at").alias("started_at"))
+    return ledger.recent_runs(fx.runs(spark, sf), ledger.RUNS_SHOWN).select("run_id", "engine", ts_text("started_at").alias("started_at"))
 
 
 # --- counts -----------------------------------------------------------------------------------------------
@@ -374,9 +368,9 @@ def escape(spark, sf):
 
 @query("new_digest", f"""
 with {_CARDS}, n as (select * from cards where status = 'new'), c as (select count(*) n from n)
-select 0 as pos, concat('🆕 <b>', cast(n as varchar), '</b> new job match(es):') as line from c where n > 0
+select 0 as pos, concat('🆕 <b>', cast(n as varchar), '</b> new job match(es):', chr(10)) as line from c where n > 0
 union all select rn, card from (select *, row_number() over (order by {_NEWEST}) rn from n) where rn <= 10
-union all select 11, concat('…and ', cast(n - 10 as varchar), ' more — send /jobs to browse all') from c where n > 10
+union all select 11, concat(chr(10), '…and ', cast(n - 10 as varchar), ' more — send /jobs to browse all') from c where n > 10
 """)
 def new_digest(spark, sf):
     return views.digest(fx.board(spark, sf).filter(F.col("status") == "new"))

@@ -14,9 +14,9 @@ from ..operators import enrich, ledger, lifecycle, merge
 from ..operators.filters import KeywordPolicy
 from ..schema import NEW_COLS, SCAN_RUN
 from ..sources.policy import fresh_only, within_window
-from ..sources.registry import REGISTRY, live_sources, read_sources, source_errors
+from ..sources.registry import REGISTRY, failed_sources, read_sources, source_status
 from ..sources.search_apis import reed_detail
-from ..session import as_local, cut_lineage
+from ..session import cut_lineage
 from .snapshot import SnapshotTable
 
 
@@ -38,7 +38,6 @@ class ScanPolicy:
     windows: dict[str, Window] = field(default_factory=dict)
     recent_days: int | None = None
     fetch_full_text: bool = True
-    enrich_limit: int | None = enrich.ENRICH_LIMIT
     registry: dict[str, Callable[[DataFrame], DataFrame]] = field(default_factory=lambda: REGISTRY)
 
 
@@ -53,9 +52,9 @@ class ScanResult:
     totals: DataFrame
 
 
-def sightings_of(payloads: DataFrame, policy: ScanPolicy, scan_ts: datetime, *,
+def sightings_of(payloads: DataFrame, policy: ScanPolicy, scan_ts: datetime, status: DataFrame, *,
                  only: str | None = None, deep: bool = False) -> DataFrame:
-    """Sightings of the sources whose every reply came through, within each source's window."""
+    """Sightings of the sources that did not fail by `status`, within each source's window."""
     def windowed(name, adapter):
         window = policy.windows.get(name)
         if window is None:
@@ -67,7 +66,7 @@ def sightings_of(payloads: DataFrame, policy: ScanPolicy, scan_ts: datetime, *,
 
     registry = {name: windowed(name, adapter) for name, adapter in policy.registry.items()}
     rows = read_sources(payloads, policy.enabled, only, registry)
-    live = as_local(live_sources(payloads).select("source", "fetched_at"))
+    live = status.filter(F.col("failed") == 0).select("source", "fetched_at")
     return rows.join(live, ["source", "fetched_at"], "left_semi")
 
 
@@ -80,11 +79,13 @@ def run_scan(
     The sightings and the merged table are each written once to the shared folder, because the
     counters read them again; nothing is collected.
     """
+    # A row per source, judged once: every later step reads this.
+    status = cut_lineage(source_status(payloads), "status")
     seen = merge.with_identity(
-        sightings_of(payloads, policy, scan_ts, only=only, deep=deep), policy.gazetteer)
+        sightings_of(payloads, policy, scan_ts, status, only=only, deep=deep), policy.gazetteer)
     seen = cut_lineage(seen, "sightings")
     kept = seen.filter(policy.keywords.keeps())
-    errors = source_errors(payloads)
+    errors = failed_sources(status)
 
     if dry_run:
         new = merge.first_per_key(kept, content=NEW_COLS).select("first.*")
@@ -100,8 +101,8 @@ def run_scan(
     if policy.fetch_full_text:
         listing = F.try_variant_get("raw", "$.jobId", "string")
         rows = enrich.enrich_detail(
-            rows, reed_detail(payloads), listing, limit=policy.enrich_limit)
-    live = live_sources(payloads)
+            rows, reed_detail(payloads), listing)
+    live = status.filter(F.col("failed") == 0).select("source", "fetched_at")
     if only is not None:
         live = live.filter(F.col("source") == only)
     elif policy.enabled is not None:

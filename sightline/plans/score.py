@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from ..functions.replies import PRICES
 from ..operators import enrich, lifecycle, scoring, views
 from ..schema import SCORE_RUN
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_dir
 
-# Fixed value: most rows one run sends to the scorer.
-MAX_JOBS = 200
+# Rows that go to the scorer before the run looks whether to go on.
+BATCH_ROWS = 500
 
 
 @dataclass(frozen=True)
@@ -29,37 +29,37 @@ class ScoringResult:
 
 def run_scoring(
     rows: DataFrame, scorer: scoring.Scorer, *, run_id: str, model: str, engine: str, started: datetime,
-    job_ids: DataFrame | None = None, only_unscored: bool = True, max_jobs: int = MAX_JOBS,
-    batch_rows: int | None = None, should_stop: Callable[[], bool] | None = None, prices=PRICES,
+    job_ids: DataFrame | None = None, only_unscored: bool = True, max_jobs: int | None = None,
+    batch_rows: int = BATCH_ROWS, should_stop: Callable[[], bool] | None = None, prices=PRICES,
 ) -> ScoringResult:
     """Score the newest candidates and write the scores; statuses stay as they are.
 
     A failed row is counted and passed over. The first auth or budget error ends the run: scores
-    before it are kept, rows after it are left for the next run. With `batch_rows` a capped run goes
-    to the scorer in batches, and no batch is sent once one has failed for good or `should_stop`
-    says so; without it all candidates go out side by side and the cut is made afterwards.
+    before it are kept, rows after it are left for the next run. Rows go to the scorer newest first,
+    in batches of `batch_rows`, and no batch is sent once one has failed for good or `should_stop`
+    says so, whether the run is capped by `max_jobs` or not.
     """
     pool = rows if job_ids is None else enrich.only_ids(rows, job_ids)
-    picked = views.candidates(pool, only_unscored, max_jobs)
-    # Ids follow the sort order; they are written down so that every later step sees the same ones.
-    picked = cut_lineage(picked.withColumn("seq", F.monotonically_increasing_id()), "candidates")
+    picked = views.numbered(views.candidates(pool, only_unscored, max_jobs), views.newest_first())
+    # Written by batch, so that a batch reads its own rows only.
+    place = F.col("place") - 1
+    path = shared_dir(rows.sparkSession, "candidates")
+    picked = picked.withColumns({"seq": place, "batch": F.floor(place / batch_rows)}).drop("place")
+    picked.write.partitionBy("batch").parquet(path)
+    picked = rows.sparkSession.read.schema(picked.schema).parquet(path)
 
     halted, parts = False, []
-    if batch_rows is None or max_jobs <= 0:
-        halted = bool(should_stop and should_stop())
-        if not halted:
-            parts.append(cut_lineage(scoring.score_batch(picked, scorer, prices), "scored"))
-    else:
-        # A capped run is one sorted partition, so its ids are 0, 1, 2, ...
-        for start in range(0, picked.count(), batch_rows):
-            if should_stop and should_stop():
-                halted = True
-                break
-            batch = picked.filter(F.col("seq").between(start, start + batch_rows - 1))
-            part = cut_lineage(scoring.score_batch(batch, scorer, prices), "scored")
-            parts.append(part)
-            if not part.filter(F.col("outcome").isin("auth", "budget")).isEmpty():
-                break
+    last = picked.agg(F.max("batch").alias("b")).first()["b"]
+    for number in range(0 if last is None else last + 1):
+        if should_stop and should_stop():
+            halted = True
+            break
+        batch = picked.filter(F.col("batch") == number).drop("batch")
+        part = cut_lineage(scoring.score_batch(batch, scorer, prices), "scored")
+        parts.append(part)
+        if not part.filter(F.col("outcome").isin("auth", "budget")).isEmpty():
+            break
+    picked = picked.drop("batch")
     if not parts:
         parts = [scoring.score_batch(picked.filter(F.lit(False)), scorer, prices)]
     judged = reduce(DataFrame.unionByName, parts).withColumn("run_id", F.lit(run_id))

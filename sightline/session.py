@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -31,27 +30,17 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the shared checkpoint folder of the cluster.
+    """A new folder that the driver and all executors see.
 
-    `spark.checkpoint.dir` names it. Only a session without one (tests, a laptop) falls back to a
-    temporary folder of this machine.
+    Below `spark.checkpoint.dir`; where that is unset, below the warehouse, which is on the cluster's own file system.
+    Never a temporary folder of one machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir", None)
     if not base:
-        return tempfile.mkdtemp(prefix=f"sightline-{purpose}-")
+        raise ValueError("neither spark.checkpoint.dir nor spark.sql.warehouse.dir is set")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def as_local(df, most: int = 10_000):
-    """A table that should be tiny, as a local one, whose exact size the planner then knows.
-
-    Joins against it need no shuffle. If it has more than `most` rows it is returned as it came, and
-    the planner treats it like any other table.
-    """
-    rows = df.limit(most + 1).collect()
-    return df if len(rows) > most else df.sparkSession.createDataFrame(rows, df.schema)
-
-
 def cut_lineage(df, purpose: str = "step"):
     """Write `df` to the shared folder and read it back: a plan cut that survives lost executors."""
     path = shared_dir(df.sparkSession, purpose)

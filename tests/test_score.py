@@ -53,13 +53,13 @@ def test_cap_reports_what_it_left_out(rows):
     assert scored(result) == ["j0", "j1", "j2"] and result.skipped.first()["skipped"] == 5
 
 
-@pytest.mark.parametrize("batch_rows", [None, 2])
+@pytest.mark.parametrize("batch_rows", [500, 2])
 def test_budget_ends_the_run(rows, batch_rows):
     result = run_scoring(rows, scorer({3: "usage limit reached"}), batch_rows=batch_rows, **RUN)
     assert scored(result) == ["j0", "j1", "j2"]
     row = result.ledger.first()
     assert (row["scored"], row["errors"], row["budget_hit"], row["note"]) == (3, 0, True, "rate/usage limit")
-    assert result.judged.count() == (8 if batch_rows is None else 4)
+    assert result.judged.count() == (8 if batch_rows == 500 else 4)
 
 
 def test_auth_and_halt(rows):

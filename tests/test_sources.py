@@ -143,6 +143,20 @@ def test_failed_sources(landed):
     assert src.read_sources(payloads, only="lever").count() == 0
 
 
+def test_one_bad_detail_or_closed_board_does_not_fail_a_source(landed):
+    from sightline.sources.registry import live_sources, skipped_replies
+    payloads = landed(
+        ("reed", {"results": []}, {}), ("reed", "<html>", {"kind": "detail"}), ("workday", {"jobPostings": []}, {"kind": "list", "host": "h"}),
+        ("workday", None, {"kind": "detail", "host": "h", "error": "500"}), ("workday", None, {"kind": "list", "host": "k"}),
+        ("greenhouse", None, {"slug": "closed", "status": "404"}), ("lever", "<html>", {"slug": "odd"}), ("ashby", None, {"error": "timeout"}), ("linkedin", None, {"error": "429"}),
+        ("oracle", None, {"host": "o"}), ("adzuna", None, {"error": "401"}))
+    assert {r["source"] for r in live_sources(payloads).collect()} == {"reed", "workday", "greenhouse", "linkedin", "oracle"}
+    assert {r["source"] for r in src.source_errors(payloads).collect()} == {"lever", "adzuna", "ashby"}
+    assert sorted((r["source"], r["kind"], r["site"], r["error_detail"]) for r in skipped_replies(payloads).collect() if r["site"]) == [
+        ("greenhouse", "list", "closed", "no reply"), ("oracle", "list", "o", "no reply"), ("workday", "detail", "h", "500"),
+        ("workday", "list", "k", "no reply")]
+
+
 def test_windows(spark):
     assert src.within_window(max_days=7, recent_days=1) == 24
     assert src.within_window(max_hours=168, recent_days=1) == 24

@@ -84,7 +84,7 @@ def test_counts(board):
 
 def test_digest_and_export(spark, board, tmp_path):
     lines = [r["line"] for r in views.digest(board, most=2).orderBy("pos").collect()]
-    assert lines[0] == "🆕 <b>7</b> new job match(es):" and len(lines) == 4 and lines[-1].startswith("…and 5 more")
+    assert lines[0] == "🆕 <b>7</b> new job match(es):\n" and len(lines) == 4 and lines[-1].startswith("\n…and 5 more")
     assert lines[1] == '⚪ <a href="https://x/1">Data Engineer</a>\n   <i>C1 · London · reed</i>'
     assert views.digest(board.filter("false")).count() == 0
     views.write_pending(board, str(tmp_path / "out"))
@@ -105,7 +105,7 @@ def test_usage(spark):
 
 
 def test_scoring_run(spark, board):
-    cand = views.candidates(board, max_jobs=0).withColumn("seq", F.monotonically_increasing_id())
+    cand = views.candidates(board).withColumn("seq", F.monotonically_increasing_id())
     got = {r["job_id"]: (r["score"], r["outcome"]) for r in scoring.score_batch(cand, scoring.keyword_scorer({"spark": 8, "data": 5})).collect()}
     assert got == {"j1": (10.0, "scored"), "j3": (5.0, "scored"), "j5": (5.0, "scored")}
 
