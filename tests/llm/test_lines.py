@@ -63,7 +63,7 @@ def brute(docs, edits, min_chars, near_chars):
                 first[s] = (i, pos)
                 order.append(s)
     near = {s for k, s in enumerate(order) if len(s) >= near_chars
-            and any(len(o) >= near_chars and distance(o, s) <= edits for o in order[:k])}
+            and any(len(o) >= near_chars and abs(len(o) - len(s)) <= edits and distance(o, s) <= edits for o in order[:k])} if edits else set()
     return {i: None if t is None else "\n".join(
         x for pos, x in enumerate(ln.lines_of(t))
         if len(s := x.strip(ln.BLANK)) < min_chars or first[s] == (i, pos) and s not in near) for i, t in docs}
