@@ -3,8 +3,8 @@
 Four sources of evidence, each a factor of the posterior over languages: the text (letter trigrams, naive Bayes), the
 declared markup language, the suffix of the address, and where the page comes from (host).
 
-* The text model is trained on a bounded sample: the TRAIN_ROWS labelled rows with the smallest id hash. Trigrams are
-  hashed to FEATURES counters. Trigrams of one text depend on each other, so its evidence counts as that of at most
+* The text model is trained on a bounded sample: about TRAIN_ROWS labelled rows, those whose id hash is below a
+  threshold, or all if there are fewer. Trigrams are hashed to FEATURES counters. Trigrams of one text depend on each other, so its evidence counts as that of at most
   EVIDENCE trigrams. Besides the languages there is a class "unknown", under which all trigrams are equally likely.
 * Declared language and suffix: P(value | language) from counts over all rows of value by the language the text speaks
   for, smoothed by SMOOTH of each value's overall share.
@@ -66,14 +66,16 @@ class Model:
 
 def train(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Counts trigrams per label in the tasks; the driver gets one counter array per language."""
-    rows = (docs.where(F.col(label_col).isNotNull() & (F.length(F.coalesce(F.col(text_col), F.lit(""))) > 0))
-            .select(F.col(label_col).cast("string").alias("label"), F.xxhash64(id_col).alias("at"), F.col(text_col).alias("text"))
-            .orderBy("at", "label", F.xxhash64("text")).limit(TRAIN_ROWS))
+    labelled = docs.where(F.col(label_col).isNotNull())
+    # Rows below a threshold of the id hash: nothing is sorted or gathered to find them.
+    share = min(1.0, TRAIN_ROWS / max(labelled.count(), 1))
+    rows = (labelled.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 32)) < F.lit(int(share * (1 << 32))))
+            .select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text")))
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             labels = part.column(0).to_pylist()
-            feature, ends = trigrams(part.column(2).to_pylist())
+            feature, ends = trigrams(part.column(1).to_pylist())
             for lang in sorted(set(labels)):
                 own = np.repeat([x == lang for x in labels], np.diff(ends))
                 hit, n = np.unique(feature[own], return_counts=True)
