@@ -11,7 +11,7 @@ exact inner product, in double precision on the original vectors; the best `k` p
 buckets and tables.
 
 Scale. A bucket is cut into blocks of about BLOCK vectors, its probes go to each block, and blocks are dealt to shards of
-about SHARD vectors in all, which are the groups of the join; a query's vector goes to a shard once. What goes on per
+about SHARD_BYTES in all, which are the groups of the join; a query's vector goes to a shard once. What goes on per
 query and shard is at most `k` rows. The driver gets M and a count. The number of functions grows with log2 of the count,
 so that buckets keep their size. Measured recall at 20 neighbours: see the README.
 
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from sightline.llm.common import cut_lineage, small_batches
 
 TABLES, PROBES = 8, 100
-#: The number of functions is log2(vectors / BUCKET). Vectors per block of a bucket, and per shard.
-BUCKET, BLOCK, SHARD = 200, 4000, 20_000
+#: The number of functions is log2(vectors / BUCKET). Vectors per block of a bucket; bytes of the vectors of a shard.
+BUCKET, BLOCK, SHARD_BYTES = 200, 4000, 32_000_000
 #: Width of a step in units of the largest norm.
 WIDTH = 2.0
 
@@ -107,7 +107,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     dim, n, most = (dims["dim"], dims["n"], dims["most"]) if dims else (1, 0, 1.0)
     rows = rows.where(F.size("vec") == dim)
     hashes = max(1, round(math.log2(max(n, 2) / BUCKET)))
-    shards = -(-n * tables // SHARD) or 1
+    shards = -(-n * tables * dim * 8 // SHARD_BYTES) or 1
     kind = dict(rows.dtypes)["vec"]
     family = Hashes(dim + 1, tables, hashes, WIDTH * most)
 

@@ -43,7 +43,7 @@ def test_perturbations_come_in_order_of_cost(inside, n):
 @pytest.mark.parametrize("normed", [True, False])
 def test_recall_and_scores(spark, monkeypatch, normed):
     monkeypatch.setattr(lsh, "BLOCK", 300)  # buckets are cut into blocks
-    monkeypatch.setattr(lsh, "SHARD", 2000)
+    monkeypatch.setattr(lsh, "SHARD_BYTES", 500_000)
     rng = np.random.default_rng(2)
     x = rng.standard_normal((3000, 32)).astype(np.float32)
     x = (x / np.linalg.norm(x, axis=1)[:, None] if normed else x * rng.random(3000)[:, None]).astype(np.float32)
