@@ -78,9 +78,9 @@ def expire_stream(spark, sf):
 
 @query("stream_alerts", f"""
 with {_SESSIONS}, r as (select *, row_number() over (order by first_seen desc, key) rn from s), c as (select count(*) n from s)
-select 0 as pos, concat('🆕 <b>', cast(n as varchar), '</b> new job match(es):') as line from c
+select 0 as pos, concat('🆕 <b>', cast(n as varchar), '</b> new job match(es):', chr(10)) as line from c
 union all select rn, concat('⚪ <a href="">', key, '</a>', chr(10), '   <i>', split_part(key, '|', 2), '</i>') from r where rn <= 10
-union all select 11, concat('…and ', cast(n - 10 as varchar), ' more — send /jobs to browse all') from c where n > 10
+union all select 11, concat(chr(10), '…and ', cast(n - 10 as varchar), ' more — send /jobs to browse all') from c where n > 10
 """)
 def alerts(spark, sf):
     path, checkpoint = shared_dir(spark, "alerts"), shared_dir(spark, "alerts-state")
