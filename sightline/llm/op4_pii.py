@@ -5,14 +5,19 @@ reveal an entity that has been masked if the corpus shows the two together: with
 
     disclosure(t; e) = log2(p(t, e) / (p(t) p(e))) / log2(1 / p(e))
 
-is 1 if t occurs with e only and 0 if they are independent. Terms are the words up to NEAR words around an occurrence of
-e. Occurrences with the same surroundings (copies of a document) count once, and a pair needs SUPPORT of them. A term that
-discloses some entity by GENERALISE or more is replaced by what kind of word it is, by REMOVE or more it is taken out,
-wherever it occurs.
+is 1 if t occurs with e only and 0 if they are independent. Terms of a document are all its words outside of the entities
+in it, and p counts documents, each copy as one, in all three places. A term is judged by
 
-Counts run over all documents. Surroundings, pairs and terms are grouped with partial aggregation, so an address that
-a third of all documents show is one row per task and term. Two scans of the texts look for terms with a filter bitmap of
-fixed size; what it lets pass is joined exactly.
+    judged(t; e) = 1 + log2(q) / log2(1 / p(e)),    q = (p(e|t) d_t + PRIOR p(e)) / (d_t + PRIOR)
+
+which is the disclosure with p(e|t) drawn towards p(e) by PRIOR documents that know nothing. d_t counts the documents with t
+less what copies add: n_t times the share of distinct texts in the documents with both. So every pair is judged, however
+rare; copies of one text are no more evidence than one. A term judged to disclose some entity by GENERALISE or more is
+replaced by what kind of word it is, by REMOVE or more it is taken out, wherever it occurs.
+
+Counts run over all documents. Entities, pairs and terms are grouped with partial aggregation, copies of a text before
+their pairs are made. Two scans of the texts look for terms with a filter bitmap of fixed size; what it lets pass is joined
+exactly.
 
 Defined results: null texts count as empty and have no spans. Rows that repeat an id each have a result of their own, a
 null id is an id like others. Only the id and text columns are read. Empty tables give empty tables. Offsets are code
@@ -36,9 +41,9 @@ from sightline.llm.common import batches, cut_lineage, small_batches
 from sightline.llm.op7_lines import filter_of, slots
 
 KINDS = ("email", "ip", "card", "phone")
-NEAR, SUPPORT = 8, 3
+#: Documents by which a share is drawn towards independence.
+PRIOR = 3.0
 GENERALISE, REMOVE = 0.7, 0.9
-MIN_TERM = 3
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -96,46 +101,50 @@ def _hash(value: str) -> int:
 
 def words(text: str) -> Iterator[tuple[str, int, int]]:
     for m in _WORD.finditer(text):
-        if m.end() - m.start() >= MIN_TERM:
-            yield m[0].lower(), *m.span()
-
-
-def surroundings(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, list[str]]]:
-    """(entity, hash of the surroundings, terms) of each span: up to NEAR words before and after, none of a span."""
-    covered = sorted((a, b) for _, a, b in spans)
-    found, at = [], 0
+        yield m[0].lower(), *m.span()
+
+
+def terms_of(text: str, spans: list[tuple[str, int, int]]) -> set[str]:
+    """The words of a document that overlap none of its spans."""
+    if not spans:
+        return {w.lower() for w in set(_WORD.findall(text))}
+    covered: list[list[int]] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if covered and a <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], b)
+        else:
+            covered.append([a, b])
+    found, at = set(), 0
     for w, a, b in words(text):
         while at < len(covered) and covered[at][1] <= a:
             at += 1
         if at == len(covered) or covered[at][0] >= b:
-            found.append((w, a, b))
-    starts = np.array([x[1] for x in found])
-    for kind, a, b in spans:
-        i, j = int(np.searchsorted(starts, a)), int(np.searchsorted(starts, b))
-        near = [x[0] for x in found[max(0, i - NEAR):i]] + ["\0"] + [x[0] for x in found[j:j + NEAR]]
-        yield entity_key(kind, text[a:b]), _hash(" ".join(near)), sorted({x for x in near if x != "\0"})
+            found.add(w)
+    return found
 
 
 def _find(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.null()), ("mark", pa.int64()), ("spans", pa.list_(pa.struct(
-        [("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))), ("around", pa.list_(pa.struct(
-            [("entity", pa.int64()), ("place", pa.int64()), ("terms", pa.list_(pa.string()))])))])
+        [("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))),
+        ("entities", pa.list_(pa.int64())), ("terms", pa.list_(pa.string()))])
     for part in parts:
-        spans, around = [], []
+        spans, entities, terms = [], [], []
         for text in part.column(2).to_pylist():
             got = base_spans(text or "")
             spans.append([{"kind": k, "start": a, "end": b} for k, a, b in got])
-            around.append([{"entity": e, "place": p, "terms": t} for e, p, t in surroundings(text, got)] if got else [])
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(spans, schema.field(2).type),
-                                          pa.array(around, schema.field(3).type)], names=schema.names)
+            entities.append(sorted({entity_key(k, text[a:b]) for k, a, b in got}))
+            terms.append(sorted(terms_of(text, got)) if got else [])
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, schema.field(i).type) for i, x in (
+            (2, spans), (3, entities), (4, terms)))], names=schema.names)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, mark, spans, around) per row: base spans, and the surroundings of each. mark: hash of the text."""
+    """(doc_id, mark, spans, entities, terms) per row: base spans, the distinct entities in them, and where there are some,
+    the document's terms. mark: hash of the text."""
     kind = docs.schema[id_col].dataType.simpleString()
     return small_batches(docs).select(id_col, F.xxhash64(text_col), text_col).mapInArrow(
         _find, f"doc_id {kind}, mark long, spans array<struct<kind:string,start:int,end:int>>, "
-               "around array<struct<entity:long,place:long,terms:array<string>>>")
+               "entities array<long>, terms array<string>")
 
 
 def _count_terms(shared):
@@ -146,7 +155,7 @@ def _count_terms(shared):
         for part in parts:
             held: Counter[str] = Counter()
             for text in part.column(0).to_pylist():
-                held.update({w for w, _, _ in words(text or "")})
+                held.update(terms_of(text or "", base_spans(text or "")))
             terms = list(held)
             ok = _passes(shared.value, terms)
             yield from batches(((t, held[t]) for t, good in zip(terms, ok, strict=True) if good), schema)
@@ -176,26 +185,31 @@ def _locate_terms(shared, kind: pa.DataType):
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, disclosure) of the terms that disclose some entity by GENERALISE or more."""
+    """(term, disclosure, judged) of the terms that are judged to disclose some entity by GENERALISE or more; the largest of each."""
     spark = docs.sparkSession
-    around = found.select(F.explode("around").alias("a")).select("a.*").dropDuplicates(["entity", "place"])
-    around = cut_lineage(around, "pii-around")
-    entities = around.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    pairs = (around.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term")
-             .agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= SUPPORT))
+    texts = found.where(F.size("entities") > 0).groupBy("mark").agg(
+        F.count(F.lit(1)).alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+    texts = cut_lineage(texts, "pii-texts")
+    held = texts.select("copies", "terms", F.explode("entities").alias("entity"))
+    entities = held.groupBy("entity").agg(F.sum("copies").alias("n_e"))
+    pairs = (held.select("entity", "copies", F.explode("terms").alias("term")).groupBy("entity", "term")
+             .agg(F.sum("copies").alias("n_te"), F.count(F.lit(1)).alias("d_te")))
     pairs = cut_lineage(pairs.join(entities, "entity"), "pii-pairs")
-    empty = spark.createDataFrame([], "term string, disclosure double")
+    empty = spark.createDataFrame([], "term string, disclosure double, judged double")
     if pairs.isEmpty():
         return empty
-    shared = spark.sparkContext.broadcast(_bitmap(pairs.select("term").distinct()))
+    shared = spark.sparkContext.broadcast(_bitmap(texts.select(F.explode("terms").alias("term")).distinct()))
     counts = (small_batches(docs).select(text_col).mapInArrow(_count_terms(shared), "term string, n long")
               .groupBy("term").agg(F.sum("n").alias("n_t")))
-    total = docs.count()
-    pmi = F.log2(F.col("n_te") * F.lit(float(total)) / (F.greatest("n_t", "n_te") * F.col("n_e")))
+    total = F.lit(float(docs.count()))
+    share, seen = F.col("n_e") / total, F.col("d_te") * F.col("n_t") / F.col("n_te")
+    q = (F.col("n_te") / F.col("n_t") * seen + PRIOR * share) / (seen + PRIOR)
     # An entity that all documents show is no secret, and dividing by its zero information gives null.
-    rows = pairs.join(counts, "term").withColumn("disclosure", F.try_divide(pmi, F.log2(F.lit(float(total)) / F.col("n_e"))))
-    return cut_lineage(rows.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= GENERALISE),
-                       "pii-terms")
+    rows = pairs.join(counts, "term").withColumns({
+        "disclosure": F.try_divide(F.log2(F.col("n_te") * total / (F.col("n_t") * F.col("n_e"))), F.log2(1 / share)),
+        "judged": 1 + F.try_divide(F.log2(q), F.log2(1 / share))})
+    return cut_lineage(rows.groupBy("term").agg(F.max("disclosure").alias("disclosure"), F.max("judged").alias("judged"))
+                       .where(F.col("judged") >= GENERALISE), "pii-terms")
 
 
 def _bitmap(terms: DataFrame) -> np.ndarray:
@@ -220,7 +234,7 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     seen = at.mapInArrow(_locate_terms(shared, to_arrow_type(kind)),
                          f"doc_id {kind.simpleString()}, mark long, term string, start int, end int")
     more = (seen.join(terms, "term").select("doc_id", "mark", F.struct(
-        F.when(F.col("disclosure") >= REMOVE, F.lit("remove")).otherwise(F.lit("general")).alias("kind"), "start", "end").alias("s"))
+        F.when(F.col("judged") >= REMOVE, F.lit("remove")).otherwise(F.lit("general")).alias("kind"), "start", "end").alias("s"))
         .groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("s")).alias("more")))
     m = more.withColumnsRenamed({"doc_id": "of", "mark": "of_mark"})
     free = F.filter("more", lambda s: ~F.exists("spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))

@@ -56,6 +56,32 @@ def test_terms_that_disclose(spark, no_docs):
     assert pii.annotate(no_docs).collect() == [] and pii.sanitise(no_docs).collect() == []
 
 
+def test_every_document_of_an_entity_counts(spark):
+    """Terms far from the address, of two code points, or of an entity with a single document are judged by the same formula."""
+    import math
+    from collections import Counter
+
+    far = " ".join(f"filler{i}" for i in range(30))
+    rows = [(i, f"plain {far} talk number{i}") for i in range(400)]
+    rows += [(1000 + i, f"Zq {far} write to twin@corp.example.com") for i in range(2)]
+    rows += [(2000, f"Quokka {far} write to solo@corp.example.com")]
+    rows += [(3000 + i, f"Quokka number{i}") for i in range(20)] + [(4000, "Zq without address")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = [(pii.terms_of(t, s), {t[a:b] for _, a, b in s}, t) for _, t in rows for s in [pii.base_spans(t)]]
+    n_t, n_e = Counter(w for x, _, _ in held for w in x), Counter(e for _, x, _ in held for e in x)
+    n_te = Counter((e, w) for ws, es, _ in held for e in es for w in ws)
+    d_te = Counter((e, w) for ws, es, _ in {t: x for x in held for t in [x[2]]}.values() for e in es for w in ws)
+    want = {}
+    for (e, w), n in n_te.items():
+        p, seen = n_e[e] / len(rows), d_te[e, w] * n_t[w] / n
+        judged = 1 + math.log2((n / n_t[w] * seen + pii.PRIOR * p) / (seen + pii.PRIOR)) / math.log2(1 / p)
+        if judged >= pii.GENERALISE:
+            want[w] = max(want.get(w, 0), judged)
+    got = {r.term: r.judged for r in pii.disclosing_terms(docs, pii.find(docs)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[w] - want[w]) < 1e-9 for w in want)
+    assert {"zq", "write"} <= got.keys() and not {"quokka", "filler1", "plain"} & got.keys()
+
+
 def test_edge_cases(spark, edge_docs):
     rows = pii.digests(pii.annotate(edge_docs)).collect()
     assert len(rows) == 17 and all(r.n_email == r.n_ip == r.n_card == r.n_phone == 0 and r.spans == "" for r in rows)
