@@ -12,8 +12,13 @@ buckets and tables.
 
 Scale. A bucket is cut into blocks of about BLOCK vectors, its probes go to each block, and blocks are dealt to shards of
 about SHARD_BYTES in all, which are the groups of the join; a query's vector goes to a shard once. What goes on per
-query and shard is at most `k` rows. The driver gets M and a count. The number of functions grows with log2 of the count,
-so that buckets keep their size. Measured recall at 20 neighbours: see the README.
+query and shard is at most `k` rows. The number of functions grows with log2 of the count, so that buckets keep their size.
+
+Recall is held by the data. The true neighbours of SAMPLE queries (the smallest hashes of their ids; a bounded sample) are
+found by brute force in blocks; a neighbour is found if one of its buckets is probed. From PROBES on, probes are doubled
+until that share is TARGET; where more probes than buckets would be needed, there is one function less, down to none, which
+is brute force. Queries with fewer than `k` candidates are asked again with half the functions, down to none, so that a
+query has fewer than `k` rows only if there are fewer vectors. The driver gets M, counts, and the sample with its neighbours.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, neither as query
 nor as candidate; nor do vectors of another length than most have, or rows with a null id. Rows that repeat an id are one
@@ -36,6 +41,8 @@ from pyspark.sql import functions as F
 from sightline.llm.common import cut_lineage, small_batches
 
 TABLES, PROBES = 8, 100
+#: Queries whose recall is measured, and the recall from which there are probes enough.
+SAMPLE, TARGET = 100, 0.95
 #: The number of functions is log2(vectors / BUCKET). Vectors per block of a bucket; bytes of the vectors of a shard.
 BUCKET, BLOCK, SHARD_BYTES = 200, 4000, 32_000_000
 #: Width of a step in units of the largest norm.
@@ -69,6 +76,8 @@ def perturbations(inside: np.ndarray, probes: int) -> list[list[int]]:
     sets over the steps sorted by cost; taking one adds it with its last step shifted by one, and with one more step.
     """
     n = len(inside)
+    if not n:
+        return [[]]
     steps = sorted([(float(d) ** 2, i) for i, d in enumerate(inside)] + [(float(1 - d) ** 2, ~i) for i, d in enumerate(inside)])
     out: list[list[int]] = [[]]
     heap = [(steps[0][0], (0,))]
@@ -98,24 +107,118 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def probed(family: Hashes, at: np.ndarray, table: int, probes: int) -> np.ndarray:
+    """Names of the buckets in `table` that a query with projections `at` (hashes) visits."""
+    whole = np.floor(at)
+    sets = perturbations(at - whole, probes)
+    moved = np.repeat(whole[None], len(sets), axis=0)
+    for row, steps in zip(moved, sets, strict=True):
+        for i in steps:
+            row[i if i >= 0 else ~i] += -1 if i >= 0 else 1
+    return family.bucket(moved, table)
+
+
+def _extended(x: np.ndarray, most: float) -> np.ndarray:
+    return np.column_stack([x, np.sqrt(np.maximum(0.0, most**2 - (x**2).sum(axis=1)))])
+
+
+def true_neighbours(rows: DataFrame, queries: DataFrame, k: int, dim: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(query, its k nearest vectors) of the sampled queries, by comparing them with all rows. Each task keeps k per query."""
+    asked = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    if not asked:
+        return []
+    q, own = np.array([r["vec"] for r in asked], np.float64), np.array([r["vec_id"] for r in asked], np.int64)
+
+    def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[dict[int, tuple[float, np.ndarray]]] = [{} for _ in own]
+        for part in parts:
+            ids, x = part.column(0).to_numpy(), _matrix(part.column(1), dim)
+            score = q @ x.T
+            for i, held in enumerate(best):
+                level = min(s for s, _ in held.values()) if len(held) >= k else -np.inf
+                for j in np.flatnonzero((score[i] >= level) & (ids != own[i])).tolist():
+                    if (v := int(ids[j])) not in held or held[v][0] < score[i, j]:
+                        held[v] = (float(score[i, j]), x[j])
+                if len(held) > k:
+                    best[i] = dict(sorted(held.items(), key=lambda h: (-h[1][0], h[0]))[:k])
+        out = [(i, v, s, x.tolist()) for i, held in enumerate(best) for v, (s, x) in held.items()]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (
+                pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64())), strict=True)], names=["q", "vec_id", "score", "vec"])
+
+    found = small_batches(rows).select("vec_id", "vec").mapInArrow(scan, "q int, vec_id long, score double, vec array<double>")
+    found = found.groupBy("q", "vec_id").agg(F.max("score").alias("score"), F.max_by("vec", "score").alias("vec"))
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    near: list[list[list[float]]] = [[] for _ in own]
+    for r in found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q", "vec").collect():
+        near[r["q"]].append(r["vec"])
+    return [(q[i], np.array(v)) for i, v in enumerate(near) if v]
+
+
+def chosen(sample: list[tuple[np.ndarray, np.ndarray]], dim: int, most: float, tables: int, hashes: int) -> tuple[int, int, float]:
+    """(hashes, probes, recall of the sample): the first in the order given above with TARGET or more."""
+    total = sum(len(v) for _, v in sample)
+    for h in range(hashes, 0, -1):
+        family = Hashes(dim + 1, tables, h, WIDTH * most)
+        asked = family.project(np.column_stack([np.array([q for q, _ in sample]), np.zeros(len(sample))])) if sample else []
+        held = [np.floor(family.project(_extended(v, most))) for _, v in sample]
+        missed = [np.ones(len(v), bool) for _, v in sample]
+        probes = PROBES
+        while True:
+            for at, values, left in zip(asked, held, missed, strict=True):
+                for t in range(tables):
+                    # Only a bucket at most one step away in each function can be probed.
+                    if (left & (np.abs(values[:, t] - np.floor(at[t])) <= 1).all(axis=1)).any():
+                        left &= ~np.isin(family.bucket(values[:, t], t), probed(family, at[t], t, probes))
+            recall = 1 - sum(int(left.sum()) for left in missed) / max(total, 1)
+            if recall >= TARGET:
+                return h, probes, recall
+            probes *= 2
+            if probes > max(PROBES, 2**h):
+                break
+    return 0, 1, 1.0
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
-           tables: int = TABLES, probes: int = PROBES) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each row for which `is_query` (over vec_id) holds."""
+           tables: int = TABLES, probes: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found of each row for which `is_query` (over vec_id) holds.
+
+    probes: per table; by default chosen from the data.
+    """
     rows = cut_lineage(usable(vectors, id_col, vec_col), "lsh-vectors")
     dims = rows.groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("most")).orderBy(
         F.desc("n"), "dim").first()
     dim, n, most = (dims["dim"], dims["n"], dims["most"]) if dims else (1, 0, 1.0)
     rows = rows.where(F.size("vec") == dim)
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec"))
     hashes = max(1, round(math.log2(max(n, 2) / BUCKET)))
+    if probes is None:
+        hashes, probes, _ = chosen(true_neighbours(rows, queries, k, dim), dim, most, tables, hashes)
+    wanted = min(k, rows.select("vec_id").distinct().count() - 1)
+    found = cut_lineage(candidates(rows, queries, k, dim, n, most, tables, hashes, probes), "lsh-found")
+    while hashes:
+        enough = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("held")).where(F.col("held") >= wanted)
+        short = cut_lineage(queries.join(enough, queries["vec_id"] == enough["query_id"], "left_anti"), "lsh-short")
+        if wanted < 1 or short.isEmpty():
+            break
+        hashes //= 2
+        found = cut_lineage(found.unionByName(candidates(rows, short, k, dim, n, most, tables, hashes, probes)), "lsh-found")
+    merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def candidates(rows: DataFrame, queries: DataFrame, k: int, dim: int, n: int, most: float, tables: int, hashes: int,
+               probes: int) -> DataFrame:
+    """(query_id, vec_id, score): at least the k best of the vectors in the buckets that a query visits."""
+    tables = tables if hashes else 1
     shards = -(-n * tables * dim * 8 // SHARD_BYTES) or 1
     kind = dict(rows.dtypes)["vec"]
     family = Hashes(dim + 1, tables, hashes, WIDTH * most)
 
     def index(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            x = _matrix(part.column(1), dim)
-            extra = np.sqrt(np.maximum(0.0, most**2 - (x**2).sum(axis=1)))
-            values = np.floor(family.project(np.column_stack([x, extra])))
+            values = np.floor(family.project(_extended(_matrix(part.column(1), dim), most)))
             for t in range(tables):
                 yield pa.RecordBatch.from_arrays([pa.array(family.bucket(values[:, t], t)), part.column(0), part.column(1)],
                                                  names=["bucket", "vec_id", "vec"])
@@ -123,17 +226,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     def probe(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             at = family.project(np.column_stack([_matrix(part.column(1), dim), np.zeros(part.num_rows)]))
-            whole = np.floor(at)
             for q in range(part.num_rows):
-                names = []
-                for t in range(tables):
-                    sets = perturbations(at[q, t] - whole[q, t], probes)
-                    moved = np.repeat(whole[q, t][None], len(sets), axis=0)
-                    for row, steps in zip(moved, sets, strict=True):
-                        for i in steps:
-                            row[i if i >= 0 else ~i] += -1 if i >= 0 else 1
-                    names.append(family.bucket(moved, t))
-                names = np.unique(np.concatenate(names))
+                names = np.unique(np.concatenate([probed(family, at[q, t], t, probes) for t in range(tables)]))
                 yield pa.RecordBatch.from_arrays([pa.array(names), part.column(0).take(pa.array(np.full(len(names), q)))],
                                                  names=["bucket", "query_id"])
 
@@ -141,7 +235,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     indexed = rows.select("vec_id", "vec").mapInArrow(index, f"bucket long, vec_id long, vec {kind}")
     large = cut_lineage(indexed.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > BLOCK)
                         .select("bucket", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks")), "lsh-large")
-    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec"))
     blocks = F.coalesce("blocks", F.lit(1))
     shard = F.pmod(F.xxhash64("bucket", "block"), F.lit(shards)).cast("int").alias("shard")
     left = (indexed.join(large, "bucket", "left").withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int"))
@@ -186,7 +279,4 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         got = got.drop_duplicates(["query_id", "vec_id"])
         return got[got.groupby("query_id").cumcount() < k]
 
-    found = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInPandas(best, "query_id long, vec_id long, score double")
-    merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.groupBy("shard").cogroup(right.groupBy("shard")).applyInPandas(best, "query_id long, vec_id long, score double")

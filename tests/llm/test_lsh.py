@@ -57,6 +57,21 @@ def test_recall_and_scores(spark, monkeypatch, normed):
         assert rows == sorted(rows, key=lambda r: (-r[1], r[0])) and len(rows) == 20
 
 
+def test_probes_follow_the_data(spark, monkeypatch):
+    """With many functions a fixed number of probes misses neighbours; chosen probes do not, and no query gets too few rows."""
+    monkeypatch.setattr(lsh, "BUCKET", 0.5)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((2000, 32)).astype(np.float32)
+    ids = np.arange(2000)
+    want = brute(ids, x.astype(np.float64), 20)
+    recall = lambda got: np.mean([len({v for v, _ in got.get(q, [])} & {v for v, _ in want[q]}) / 20 for q in want])
+    few = search(spark, ids, x, tables=1, probes=1)
+    assert few.keys() == want.keys() and all(len(r) == 20 for r in few.values()) and recall(few) < 0.9
+    assert recall(search(spark, ids, x, tables=2, probes=100)) < 0.9
+    got = search(spark, ids, x, tables=2)
+    assert recall(got) >= 0.9 and all(len(r) == 20 for r in got.values())
+
+
 def test_edge_cases(spark):
     one = [1.0, 0.0]
     rows = [(0, one), (1, one), (2, one), (3, one), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (40, None), (60, [0.0, 0.0]), (80, [float("nan"), 1.0]),
