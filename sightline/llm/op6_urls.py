@@ -3,13 +3,15 @@
 Rules are host suffixes with a path prefix; the longest that fits decides. The tree is learnt from labelled rows: those a
 rule decides, and any whose label is given.
 
-* Segments that vary by themselves (they hold a digit, or are longer than LONG) are wildcards; so is all below DEPTH
-  segments, as one. That leaves a shape per path. Rows are grouped by host and shape first; all further steps work on that
-  table, and a host with a third of all pages has no more rows in it than it has shapes.
-* Top down, level by level, the branches of a node are compared. Those with less than RARE of the node's rows are merged
-  under a wildcard. The other labelled branches are put in the order of their bad share; neighbours that do not differ
+* Segments that vary by themselves (they hold a digit, or are longer than LONG) are wildcards. That leaves a shape per path.
+  Rows are grouped by host and shape first; all further steps work on that table, and a host with a third of all pages has
+  no more rows in it than it has shapes.
+* Top down, the branches of a node are compared, as deep as paths go; what all paths of a branch share is walked at once.
+  Branches are merged under a wildcard if they have less than RARE of the node's rows, or if their node has many values for
+  few rows each: with c the largest number such that at least VARIED * c branches have c rows or fewer, those branches. So
+  words that vary are found at nodes of any size. The other labelled branches are put in the order of their bad share; neighbours that do not differ
   (two-proportion test, z at most SIMILAR) are merged, so similar branches form runs, named (0), (1), ... Branches
-  without any label are no evidence and are left as they are, unless rare.
+  without any label are no evidence and are left as they are, unless merged under a wildcard.
 * The leaves are the templates. One is rejected if it has at least MIN_LABELS labelled rows and its share of bad ones,
   smoothed by SMOOTH rows of its host's share, which is smoothed by SMOOTH rows of the share overall, is at least REJECT.
 
@@ -21,6 +23,7 @@ label columns are read. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,8 +31,9 @@ from pyspark.sql import functions as F
 
 from sightline.llm.common import cut_lineage
 
-LONG, DEPTH = 32, 4
-RARE, SIMILAR = 0.01, 1.64
+#: DEPTH: paths are taken whole.
+LONG, DEPTH = 32, sys.maxsize
+RARE, VARIED, SIMILAR = 0.01, 5, 1.64
 MIN_LABELS, SMOOTH, REJECT = 10, 4.0, 0.9
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -56,22 +60,35 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tu
 
 
 def shape(path: Column) -> Column:
-    """Segments of a path with what varies by itself as wildcards, and everything below DEPTH as one."""
+    """Segments of a path with what varies by itself as wildcards."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    parts = F.transform(parts, lambda s: F.when(s.rlike("[0-9]") | (F.length(s) > LONG), F.lit("*")).otherwise(s))
-    return F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("**")))).otherwise(parts)
+    return F.transform(parts, lambda s: F.when(s.rlike("[0-9]") | (F.length(s) > LONG), F.lit("*")).otherwise(s))
+
+
+def _shared(lo: Column, hi: Column) -> Column:
+    """What the arrays from the smallest to the largest all begin with."""
+    differ = F.array_position(F.zip_with(lo, hi, lambda a, b: a.eqNullSafe(b)), F.lit(False))
+    return F.slice(lo, F.lit(1), F.when(differ > 0, differ - 1).otherwise(F.size(lo)).cast("int"))
 
 
 def templates(shapes: DataFrame) -> DataFrame:
-    """shapes (host, shape, n, labelled, bad) -> (host, shape, template), level by level from the root."""
-    rows = shapes.withColumn("node", F.lit("").cast("string"))
-    for level in range(DEPTH + 1):
-        rows = rows.withColumn("seg", F.get("shape", F.lit(level)))
-        branches = rows.where(F.col("seg").isNotNull()).groupBy("host", "node", "seg").agg(
-            F.sum("n").alias("b_n"), F.sum("labelled").alias("b_l"), F.sum("bad").alias("b_b"))
-        nodes = branches.groupBy("host", "node").agg(F.sum("b_n").alias("n_n"))
-        split = branches.join(nodes, ["host", "node"]).withColumn(
-            "wild", F.col("seg").isin("*", "**") | (F.col("b_n") < RARE * F.col("n_n")))
+    """shapes (host, shape, n, labelled, bad) -> (host, shape, template), from the root down."""
+    rows = shapes.withColumns({"node": F.lit("").cast("string"), "rest": F.col("shape")})
+    placed, rows = rows.where(F.size("rest") == 0), rows.where(F.size("rest") > 0)
+    while not rows.isEmpty():
+        rows = rows.withColumns({"seg": F.get("rest", F.lit(0)), "rest": F.slice("rest", F.lit(2), F.size("rest"))})
+        branches = rows.groupBy("host", "node", "seg").agg(
+            F.sum("n").alias("b_n"), F.sum("labelled").alias("b_l"), F.sum("bad").alias("b_b"),
+            _shared(F.min("rest"), F.max("rest")).alias("lead"))
+        branches = cut_lineage(branches, "url-branches")
+        nodes = branches.groupBy("host", "node").agg(F.sum("b_n").alias("n_n"), F.count(F.lit(1)).alias("n_b"))
+        # A row per node and number of rows, of which a node has few.
+        sizes = branches.where("seg <> '*'").groupBy("host", "node", "b_n").agg(F.count(F.lit(1)).alias("values"))
+        upto = F.sum("values").over(Window.partitionBy("host", "node").orderBy("b_n"))
+        varied = (sizes.withColumn("upto", upto).where(F.col("upto") >= VARIED * F.col("b_n"))
+                  .groupBy("host", "node").agg(F.max("b_n").alias("varied")))
+        split = branches.join(nodes.join(varied, ["host", "node"], "left"), ["host", "node"]).withColumn(
+            "wild", (F.col("seg") == "*") | (F.col("b_n") < RARE * F.col("n_n")) | (F.col("b_n") <= F.coalesce("varied", F.lit(0))))
         # At most 1 / RARE branches of a node are left here, so its window is small.
         order = Window.partitionBy("host", "node").orderBy(F.col("b_b") / F.col("b_l"), "seg")
         ranked = split.where(~F.col("wild") & (F.col("b_l") > 0)).withColumns({"p_l": F.lag("b_l").over(order), "p_b": F.lag("b_b").over(order)})
@@ -82,14 +99,16 @@ def templates(shapes: DataFrame) -> DataFrame:
         size = F.count(F.lit(1)).over(Window.partitionBy("host", "node", "group"))
         alike = ranked.withColumn("size", size).where("size > 1").select(
             "host", "node", "seg", F.concat(F.lit("("), F.col("group").cast("string"), F.lit(")")).alias("like"))
+        alone = (F.col("n_b") == 1) | (~F.col("wild") & F.col("like").isNull())
         named = split.join(alike, ["host", "node", "seg"], "left").select(
-            "host", "node", "seg", F.when(F.col("seg") == "**", F.col("seg")).when(F.col("wild"), F.lit("*"))
-            .otherwise(F.coalesce("like", "seg")).alias("as"))
-        rows = (rows.join(named, ["host", "node", "seg"], "left")
-                .withColumn("node", F.when(F.col("as").isNull(), F.col("node")).otherwise(F.concat_ws("/", "node", "as")))
-                .drop("as", "seg"))
+            "host", "node", "seg", F.when(F.col("wild"), F.lit("*")).otherwise(F.coalesce("like", "seg")).alias("as"),
+            F.when(alone, F.col("lead")).otherwise(F.array().cast("array<string>")).alias("lead"))
+        rows = (rows.join(named, ["host", "node", "seg"])
+                .withColumns({"node": F.concat_ws("/", "node", "as", "lead"),
+                              "rest": F.slice("rest", F.size("lead") + 1, F.size("rest"))}).drop("as", "lead", "seg"))
         rows = cut_lineage(rows, "url-level")
-    return rows.select("host", "shape", F.col("node").alias("template"), "n", "labelled", "bad")
+        placed, rows = placed.unionByName(rows.where(F.size("rest") == 0)), rows.where(F.size("rest") > 0)
+    return placed.select("host", "shape", F.col("node").alias("template"), "n", "labelled", "bad")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url",

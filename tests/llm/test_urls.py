@@ -100,6 +100,20 @@ def test_tree_equals_brute_force(spark):
     assert {v for v, _ in got.values()} == {"allow", "block"} and sum(t.startswith("/(") for _, t in got.values()) > 100
 
 
+def test_words_that_vary_at_a_small_node(spark):
+    """Slugs of words, once or twice each, share a template with their labelled siblings; paths are told apart at any depth."""
+    name = lambda k: "".join(chr(97 + int(d)) for d in str(100 + k))
+    pages = [(k, f"http://h/promo/{name(k)}", True if k < 50 else None) for k in range(60)]
+    pages += [(100 + k, f"http://h/offer/{name(k // 2)}", True if k < 50 else None) for k in range(60)]
+    pages += [(200 + k, f"http://h/a/b/c/d/e/{'bad' if k % 2 else 'good'}/f/{k}", bool(k % 2) if k < 30 else None) for k in range(40)]
+    pages += [(300 + k, f"http://h/about/{x}", None) for k, x in enumerate(["team", "imprint"])]
+    df = spark.createDataFrame(pages, "page_id long, url string, bad boolean")
+    got = {r.page_id: (r.verdict, r.template) for r in urls.judge(df, RULES, bad=F.col("bad")).collect()}
+    assert {got[k][0] for k in range(60)} == {got[100 + k][0] for k in range(60)} == {"block"}
+    assert {got[200 + k][0] for k in range(0, 40, 2)} == {"allow"} and {got[201 + k][0] for k in range(0, 40, 2)} == {"block"}
+    assert {got[300 + k] for k in range(2)} == {("allow", "/about/team"), ("allow", "/about/imprint")}
+
+
 def test_edge_cases(spark):
     rows = [(None, None, "x"), (1, None, "x"), (1, "http://a.net/x", "x"), (1, "http://a.net/x", None), (2, "http://h/" + "a/" * 20000, "y")]
     df = spark.createDataFrame(rows, "page_id long, url string, host string")
