@@ -15,8 +15,8 @@ from sightline.llm.queries import PERCENT, SEED, WEIGHTS, domain_of_source
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified, by text, declared language and source; the others go."""
-    return op5_language.keep_identified(docs, F.col("lang"), F.col("source"))
+    """Documents whose language is identified, by text, declared language and source; the others go. `lang` becomes the one found."""
+    return op5_language.keep_identified(docs, F.col("lang"), F.col("source"), found_col="lang")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

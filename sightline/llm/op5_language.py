@@ -199,8 +199,8 @@ def identify(docs: DataFrame, declared: Column, host: Column, suffix: Column | N
 
 
 def keep_identified(docs: DataFrame, declared: Column, host: Column, suffix: Column | None = None, label_col: str = "lang",
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, with all their columns, whose language is identified.
+                    id_col: str = "doc_id", text_col: str = "text", found_col: str | None = None) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose language is identified. It takes the place of column `found_col`.
 
     Rows are joined to tables of one row per declared value, suffix and host, and are not shuffled while those are small
     enough for Spark to broadcast them by size.
@@ -213,4 +213,4 @@ def keep_identified(docs: DataFrame, declared: Column, host: Column, suffix: Col
     said = with_text_evidence(rows, model, at, "said")
     narrow = cut_lineage(with_text_evidence(rows.select(at, "declared", "suffix", "host"), model, at, "said").drop(at), "language-said")
     judged = Evidence(narrow, model).judge(said).where("kept")
-    return judged.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    return judged.select(*[F.col("lang_found" if c == found_col else f"c{i}").alias(c) for i, c in enumerate(names)])

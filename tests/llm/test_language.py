@@ -65,6 +65,19 @@ def test_channels_and_hosts_equal_brute_force(spark, docs):
             assert r.host_log[k] == pytest.approx(math.log((own.count(k) + lang.SMOOTH * up) / (len(own) + lang.SMOOTH)))
 
 
+def test_pipeline_goes_on_with_the_language_found(spark, docs):
+    """Rows that declare another language than they are written in, or none, leave the first stage with the one found."""
+    import corpus_pipeline
+
+    declared = F.when(F.col("doc_id") % 50 == 7, None).otherwise(F.col("declared"))
+    rows = docs.select("doc_id", "text", declared.alias("lang"), F.col("host").alias("source"), F.length("text").alias("n_chars"))
+    kept = corpus_pipeline.language(spark, rows, "")
+    assert kept.columns == rows.columns
+    truth = {r.doc_id: r.truth for r in docs.collect()}
+    got = {r.doc_id: r.lang for r in kept.collect()}
+    assert len(got) >= 0.97 * len(truth) and sum(truth[i] == la for i, la in got.items()) >= 0.97 * len(got)
+
+
 def test_edge_cases(spark, edge_docs, no_docs):
     got = lang.identify(edge_docs, F.col("lang"), F.col("source"))
     rows = got.collect()
