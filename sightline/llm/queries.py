@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import op1_lsh, op2_warc, op3_mixture, op4_pii, op5_language, op6_urls, op7_lines, op8_bpe, op9_exact, op10_chosen_path
+from sightline.llm import (op1_lsh, op2_warc, op3_mixture, op4_pii, op5_language, op6_urls, op7_lines, op8_bpe, op9_exact,
+                           op10_chosen_path, op11_runs, op12_records, op13_align)
 from sightline.llm.common import cut_lineage, read, shared_dir
 
 
@@ -178,6 +179,31 @@ def op10_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_chosen_path.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the task's planted period, its runs of words and the text they collapse to."""
+    return op11_runs.periodic_runs(read(spark, sf_dir, "documents"))
+
+
+#: The id appended to every document by op12 (a fixed value of the task).
+END_ID = 2
+
+
+def op12_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as token-id records in the shared folder, read back record by record."""
+    import public_tokenizers
+
+    path = shared_dir(spark, "records")
+    op12_records.write_records(read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return op12_records.read_back(spark, path)
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return op13_align.align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                            public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_multiprobe_search": op1_multiprobe_search,
     "op2_warc_transactions": op2_warc_transactions,
@@ -189,6 +215,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_fuse_dedup": op9_fuse_dedup,
     "op10_chosen_path_dedup": op10_chosen_path_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_token_records": op12_token_records,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 ORACLES: dict[str, str] = {
     "op2_warc_transactions": OP2_SQL,
