@@ -28,7 +28,7 @@ _TIMES = """strftime(first_seen, '%Y-%m-%d %H:%M:%S') as first_seen, strftime(la
 
 
 def event_stream(spark, sf: str) -> DataFrame:
-    rows = read_landing(spark, sf, _RAW, pathGlobFilter="events.parquet")
+    rows = read_landing(spark, f"{sf}/events.parquet", _RAW)
     return rows.select(
         F.concat(F.col("user_id").cast("string"), F.lit("|"), "event_type").alias("key"),
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("city"), "event_id")

@@ -12,7 +12,18 @@ def read_landing(
     spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet",
     files_per_batch: int | None = None, **options: str,
 ) -> DataFrame:
-    """New files only, each read once; `files_per_batch` bounds a micro-batch."""
+    """New files only, each read once; `files_per_batch` bounds a micro-batch.
+
+    `path` is a table as it lies: one file or a folder of files. A path that holds no file raises, so that a stream
+    over a mistyped or empty landing cannot pass as a stream over no rows.
+    """
+    listed = spark.read.format(fmt).schema(schema).options(**options).load(path).inputFiles()
+    if not listed:
+        raise FileNotFoundError(f"no {fmt} file lies at {path}")
+    if len(listed) == 1 and listed[0].rstrip("/").endswith(path.rstrip("/")):
+        # A stream reads folders: a table of one file is its folder, filtered to that file's name.
+        parent, _, name = path.rstrip("/").rpartition("/")
+        path, options = parent, {**options, "pathGlobFilter": name}
     reader = spark.readStream.format(fmt).schema(schema).options(**options)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)

@@ -62,3 +62,21 @@ def test_sessions_over_batches(spark, tmp_path):
     got = {(r["key"], r["first_seen"], r["last_seen"]) for r in spark.read.schema(out.schema).parquet(str(tmp_path / "out")).collect()}
     want, end = model(batches), max(r[1] for b in batches for r in b)
     assert got == {(r["key"], r["first"], r["last"]) for r in want if r["last"] + dt.timedelta(hours=25) <= end}
+
+
+def test_streams_read_a_table_as_file_or_folder(spark, tmp_path):
+    """The same rows whether `events` is one file or a folder of eight; an empty landing raises."""
+    import pytest
+
+    from sightline.plans.q_streams import expire_stream, generations_stream, stream_landing, upsert_stream
+
+    src = "/root/testdata/sf0.001"
+    folder = tmp_path / "sf"
+    spark.read.parquet(f"{src}/events.parquet").repartition(8).write.parquet(str(folder / "events.parquet"))
+    assert len(spark.read.parquet(str(folder / "events.parquet")).inputFiles()) == 8
+    for q in (stream_landing, generations_stream, upsert_stream, expire_stream):
+        one, many = q(spark, src).collect(), q(spark, str(folder)).collect()
+        assert one and sorted(map(tuple, one)) == sorted(map(tuple, many)), q.__name__
+    (tmp_path / "empty" / "events.parquet").mkdir(parents=True)
+    with pytest.raises(Exception):
+        stream_landing(spark, str(tmp_path / "empty"))
