@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, shared_dir
 from ..streaming.generations import stream_generations
+from ..streaming.late import current, stream_late
 from ..streaming.landing import each_batch, read_landing, write_available
 from ..streaming.merge import alert_batches, merge_batches
 from ..streaming.upsert import EVENT, stream_upsert
@@ -76,6 +77,37 @@ def expire_stream(spark, sf):
     return gone.select("key", ts_text("first_seen").alias("first_seen"), ts_text("last_seen").alias("last_seen"), "sightings")
 
 
+#: Files the events land in for the late stream, each read as a micro-batch of its own.
+LATE_FILES = 8
+
+
+def late_changes(spark, sf: str) -> DataFrame:
+    """The events dealt over LATE_FILES files by a hash of their id, so every file after the first brings rows older
+    than generations already formed; the change log of the stream over them."""
+    land = shared_dir(spark, "late-landing")
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.repartition(LATE_FILES, F.xxhash64("event_id")).write.parquet(land)
+    rows = read_landing(spark, land, events.schema, files_per_batch=1).select(
+        F.concat(F.col("user_id").cast("string"), F.lit("|"), "event_type").alias("key"),
+        F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("city"))
+    return _run(spark, stream_late(rows, HOURS), "late")
+
+
+@query("stream_late", f"with {_SESSIONS} select key, {_TIMES}, sightings from s")
+def late_stream(spark, sf):
+    """Every generation as the batch rule has it, from a stream whose files come out of order."""
+    now = current(late_changes(spark, sf))
+    return now.select("key", ts_text("first_seen").alias("first_seen"), ts_text("last_seen").alias("last_seen"), "sightings")
+
+
+@query("stream_late_changes")
+def late_stream_changes(spark, sf):
+    """What the late stream did: changes by kind, and how many of them late rows caused."""
+    changes = late_changes(spark, sf)
+    return changes.groupBy("kind").agg(F.count(F.lit(1)).alias("changes"),
+                                       F.count(F.when(F.col("corrected"), True)).alias("corrected"))
+
+
 @query("stream_alerts", f"""
 with {_SESSIONS}, r as (select *, row_number() over (order by first_seen desc, key) rn from s), c as (select count(*) n from s)
 select 0 as pos, concat('🆕 <b>', cast(n as varchar), '</b> new job match(es):', chr(10)) as line from c

@@ -80,3 +80,41 @@ def test_streams_read_a_table_as_file_or_folder(spark, tmp_path):
     (tmp_path / "empty" / "events.parquet").mkdir(parents=True)
     with pytest.raises(Exception):
         stream_landing(spark, str(tmp_path / "empty"))
+
+
+def test_late_rows_are_laid_in_as_the_batch_rule_has_them():
+    """Sightings in random batches and random order give the generations of the batch rule."""
+    from sightline.streaming.late import lay
+
+    def batch_rule(times, window):
+        out = []
+        for t in sorted(times):
+            out[-1:] = [(out[-1][0], t, out[-1][2] + 1)] if out and t - out[-1][1] <= window else [*out[-1:], (t, t, 1)]
+        return out
+
+    rng = random.Random(5)
+    for _ in range(300):
+        times = [rng.randrange(400) for _ in range(rng.randint(1, 40))]
+        gens, nxt, kinds = {}, 0, set()
+        cuts = sorted(rng.sample(range(len(times) + 1), min(rng.randint(1, 6), len(times) + 1)))
+        for a, b in zip([0, *cuts], [*cuts, len(times)], strict=True):
+            gens, gone, made, nxt = lay(gens, [(t, t, 1) for t in times[a:b]], 24, nxt)
+            kinds |= {k for k, _ in made.values()}
+        assert sorted(gens.values()) == batch_rule(times, 24)
+    assert lay({0: (0, 10, 2), 1: (50, 60, 3)}, [(30, 30, 1)], 24, 2) == ({2: (0, 60, 6)}, [0, 1], {2: ("remerged", True)}, 3)
+
+
+def test_stream_late_equals_the_batch_rule(spark):
+    import duckdb
+
+    from sightline.plans.q_streams import late_stream, late_stream_changes
+    from sightline.plans.registry import all_oracles
+
+    src = "/root/testdata/sf0.001"
+    got = sorted(map(tuple, late_stream(spark, src).collect()))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{src}/events.parquet'")
+    want = sorted(con.execute(all_oracles()["stream_late"]).fetchall())
+    assert got == want and len(got) > 100
+    changes = {r.kind: (r.changes, r.corrected) for r in late_stream_changes(spark, src).collect()}
+    assert changes["remerged"][0] > 0 and changes["extended"][1] > 0
