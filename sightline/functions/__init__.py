@@ -5,7 +5,7 @@ from .keys import canonical_url, clean_url, host_tenant, job_id, norm_company, n
 from .keys import vacancy_key, vacancy_text
 from .labels import age_label, card_text, escape_html, is_fresh, location_chip, location_list
 from .labels import salary_label, score_band, score_dot
-from .places import Gazetteer, clean_city, order_cities
+from .places import Gazetteer, clean_city, clean_city_table, order_cities
 from .replies import build_prompt, error_class, parse_reply, reply_envelope, token_cost
 from .text import collapse, html_text, strip, strip_tags, unescape_all, unescape_basic
 

@@ -20,8 +20,8 @@ REGIONS = (
 )
 REMOTE, COUNTRY, UNKNOWN = "Remote", "UK", "Unknown"
 
-# A pattern is a literal inside the plan, so the name list has to stay a reference table.
-MAX_NAMES = 100_000
+#: Word runs and the runs between them, as Java's Unicode-aware \b sees them.
+_RUNS = r"(?U)(?<=\w)(?=\W)|(?<=\W)(?=\w)"
 
 
 @dataclass(frozen=True)
@@ -38,14 +38,9 @@ class Gazetteer:
         object.__setattr__(self, "priority", wanted or DEFAULT_PRIORITY)
 
     @classmethod
-    def from_table(cls, df: DataFrame, country: str | None = "GB", priority=()) -> "Gazetteer":
-        """Read `(name, country_code)`. Larger tables than MAX_NAMES go through `gazetteer_join`."""
-        if country is not None:
-            df = df.filter(F.col("country_code") == country)
-        rows = df.select("name").distinct().limit(MAX_NAMES + 1).collect()
-        if len(rows) > MAX_NAMES:
-            raise ValueError(f"more than {MAX_NAMES} names: use gazetteer_join")
-        return cls(tuple(sorted(r["name"] for r in rows)), tuple(priority))
+    def from_names(cls, names, priority=()) -> "Gazetteer":
+        """A literal list of names. A table of names of any size goes through `clean_city_table` instead."""
+        return cls(tuple(sorted(set(names))), tuple(priority))
 
     @property
     def pattern(self) -> str:
@@ -113,3 +108,56 @@ def order_cities(cities: Column, priority: tuple[str, ...] = DEFAULT_PRIORITY) -
         cities, lambda c: F.struct(_rank(priority, F.lower(c)).alias("rank"), c.alias("c"))
     ))
     return F.transform(ranked, lambda s: s["c"])
+
+
+def _label(raw: Column) -> Column:
+    """What a location says when it names no city: remote, a region, the country, or unknown."""
+    low = F.lower(raw)
+    label = F.when(F.contains(low, F.lit("remote")), REMOTE)
+    for needle, region in REGIONS:
+        label = label.when(F.contains(low, F.lit(needle)), region)
+    return label.when(F.contains(low, F.lit("united kingdom")) | low.rlike(r"(?U)\buk\b"), COUNTRY).otherwise(UNKNOWN)
+
+
+def clean_city_table(df: DataFrame, raw: str, names: DataFrame, priority=(), out: str = "city") -> DataFrame:
+    """`df` with `out`: what `clean_city` gives, for a table of names (column `name`) of any size.
+
+    A position join: each distinct location is cut into word runs and the runs between them; every stretch from the
+    start of a word to the end of a word, of at most as many words as the longest name has, is a candidate, and an
+    equi-join to the lower-case names keeps those that are names. The leftmost match, the longest at its start, is
+    taken, and the next search starts after it: a fold over the matches sorted by start. Of the matches taken the
+    priority city wins, then the longest, then the leftmost; its spelling is the table's (of several spellings of one
+    lower-case name, the largest). Only distinct locations are cut and joined; rows get their city by an equi-join.
+
+    Names that begin or end with a character other than a letter, digit or underscore never match here.
+    Null and blank locations are `Unknown`; extra columns of `df` are kept.
+    """
+    wanted = tuple(p.strip().lower() for p in priority if p and p.strip()) or DEFAULT_PRIORITY
+    lows = names.select(F.lower(F.col("name")).alias("low"), "name").where(F.col("low").rlike(r"(?U)^\w(.*\w)?$"))
+    lows = lows.groupBy("low").agg(F.max("name").alias("spelling"))
+    words = F.size(F.filter(F.split("low", _RUNS), lambda r: r.rlike(r"(?U)^\w")))
+    longest = lows.agg(F.max(words).alias("k")).first()["k"] or 0
+    places = df.select(F.col(raw).alias("_place")).where(F.col("_place").isNotNull()).distinct()
+    runs = places.select("_place", F.split(F.lower("_place"), _RUNS).alias("runs"))
+    starts = runs.select("_place", "runs", F.posexplode("runs").alias("i", "run")).where(F.col("run").rlike(r"(?U)^\w"))
+    # A stretch of w words spans 2 w - 1 runs.
+    spans = starts.select("_place", "runs", "i", F.explode(F.sequence(F.lit(1), F.lit(max(longest, 1)))).alias("w"))
+    spans = spans.where(F.col("i") + 2 * F.col("w") - 1 <= F.size("runs")).select(
+        "_place", "i", (F.col("i") + 2 * F.col("w") - 2).alias("j"),
+        F.array_join(F.slice("runs", F.col("i") + 1, 2 * F.col("w") - 1), "").alias("low"))
+    hits = spans.join(lows, "low")
+    ordered = hits.groupBy("_place").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("i"), (-F.col("j")).alias("neg_j"), F.col("low"), F.col("spelling")))).alias("hits"))
+    start = F.struct(F.lit(-1).alias("end"), F.array().cast(
+        "array<struct<i:int,neg_j:int,low:string,spelling:string>>").alias("taken"))
+    taken = F.aggregate("hits", start, lambda acc, h: F.when(
+        h["i"] > acc["end"], F.struct((-h["neg_j"]).alias("end"), F.array_append(acc["taken"], h).alias("taken")))
+        .otherwise(acc))["taken"]
+    best = F.array_min(F.transform(taken, lambda h, n: F.struct(
+        _rank(wanted, h["low"]).alias("rank"), (-F.length(h["low"])).alias("len"), n.alias("n"),
+        h["spelling"].alias("spelling"))))["spelling"]
+    found = ordered.select(F.col("_place"), best.alias("_found"))
+    blank = F.coalesce(strip(F.col(raw)), F.lit("")) == ""
+    return (df.join(found, df[raw].eqNullSafe(found["_place"]), "left")
+            .withColumn(out, F.when(blank, UNKNOWN).when(F.col("_found").isNotNull(), F.col("_found")).otherwise(_label(F.col(raw))))
+            .drop("_place", "_found"))

@@ -18,19 +18,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import clean_url, job_id, vacancy_key
-from ..functions.places import DEFAULT_PRIORITY, Gazetteer, clean_city, order_cities
+from ..functions.places import DEFAULT_PRIORITY, Gazetteer, clean_city, clean_city_table, order_cities
 from ..schema import CONTENT, VACANCY
 
 ORDER = ("source_rank", "pos")
 
 
-def with_identity(sightings: DataFrame, gazetteer: Gazetteer) -> DataFrame:
-    """Add `vacancy_key` and `city`."""
-    return (
-        sightings
-        .withColumn("vacancy_key", vacancy_key(F.col("company"), F.col("title"), F.col("url")))
-        .withColumn("city", clean_city(F.col("location"), gazetteer))
-    )
+def with_identity(sightings: DataFrame, gazetteer: Gazetteer | DataFrame, priority=DEFAULT_PRIORITY) -> DataFrame:
+    """Add `vacancy_key` and `city`. `gazetteer`: a literal list, or a table of names of any size with `priority`."""
+    keyed = sightings.withColumn("vacancy_key", vacancy_key(F.col("company"), F.col("title"), F.col("url")))
+    if isinstance(gazetteer, DataFrame):
+        return clean_city_table(keyed, "location", gazetteer, priority)
+    return keyed.withColumn("city", clean_city(F.col("location"), gazetteer))
 
 
 def _content(df: DataFrame, content: Sequence[str]) -> Column:

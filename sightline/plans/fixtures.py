@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.places import Gazetteer
 
 WINDOW_HOURS = 180 * 24
 PRIORITY = ("nation_3", "nation_7")
@@ -29,9 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
-def gazetteer(spark: SparkSession, sf_dir: str) -> Gazetteer:
-    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
-    return Gazetteer.from_table(names, country=None, priority=PRIORITY)
+def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of city names (column `name`); `PRIORITY` goes with it."""
+    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
 
 
 def ts_text(c) -> Column:

@@ -142,8 +142,8 @@ def clean_city(spark, sf):
         .when(flag == "N", F.concat(F.lit("Hybrid: "), "s_nation", F.lit(" or "), "n_name"))
         .when(line == "F", "  ").otherwise(F.concat("n_name", F.lit(", uk")))
     )
-    city = fn.clean_city(F.col("raw"), fx.gazetteer(spark, sf))
-    return rows.select("url", raw.alias("raw")).select("url", "raw", city.alias("city"))
+    located = rows.select("url", raw.alias("raw"))
+    return fn.clean_city_table(located, "raw", fx.gazetteer(spark, sf), fx.PRIORITY).select("url", "raw", "city")
 
 
 @query("order_cities", f"""

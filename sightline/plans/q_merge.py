@@ -39,7 +39,7 @@ def _places(key: str, source: str = "v1") -> str:
 
 
 def log(spark, sf) -> DataFrame:
-    return merge.with_identity(fx.sightings(spark, sf), fx.gazetteer(spark, sf))
+    return merge.with_identity(fx.sightings(spark, sf), fx.gazetteer(spark, sf), fx.PRIORITY)
 
 
 def replayed(spark, sf) -> DataFrame:
