@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..functions.replies import PRICES, build_prompt, error_class, parse_reply, token_cost
 
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
@@ -116,21 +117,23 @@ def run_summary(judged: DataFrame, run: str = "run_id", halted=None) -> DataFram
     return done.withColumn("note", note)
 
 
-def dedup_requests(log: DataFrame, bucket_hours: int = 24) -> DataFrame:
+def dedup_requests(log: DataFrame) -> DataFrame:
     """Requests that get queued, from a log (key, at, seq, kind = ask | done).
 
-    An `ask` is dropped while an earlier one of its key still waits; `done` ends the wait. So of all
-    asks between two `done`s the first is accepted. All batches share one key, hence time buckets:
-    each (key, bucket) is settled on its own, and only one row per bucket goes on to decide whether
-    a bucket starts with a request already waiting.
+    An `ask` is dropped while an earlier one of its key still waits; `done` ends the wait. So of all asks between
+    two `done`s the first is accepted. One key may hold a large share of the log, so the log is cut into ranges by
+    a range partitioning on (key, at, seq): a hot key spans many ranges, each a task of its own. Each range is
+    settled by itself as a transition function of the state at its start, {free, waiting} -> state at its end (its
+    row in `buckets`); those functions, one row per range, are composed along a key's ranges, and each range's
+    asks before its first `done` are accepted only if the key is free at the range's start.
+    Rows are ordered by time, then seq; a null key is a key of its own.
     """
     ask, done = F.col("kind") == "ask", F.col("kind") == "done"
-    us = F.unix_micros("at")
-    day = us - F.pmod(us, F.lit(bucket_hours * 3_600_000_000))
+    ranged = cut_lineage(log.select("key", "at", "seq", "kind").repartitionByRange("key", "at", "seq")
+                         .withColumn("bucket", F.spark_partition_id()), "request-ranges")
     local = Window.partitionBy("key", "bucket").orderBy("at", "seq")
     before = local.rowsBetween(Window.unboundedPreceding, -1)
-    rows = log.withColumn("bucket", day).withColumn(
-        "dones", F.coalesce(F.count_if(done).over(before), F.lit(0)))
+    rows = ranged.withColumn("dones", F.coalesce(F.count_if(done).over(before), F.lit(0)))
     same = Window.partitionBy("key", "bucket", "dones").orderBy("at", "seq").rowsBetween(
         Window.unboundedPreceding, -1)
     firsts = rows.withColumn("earlier", F.coalesce(F.count_if(ask).over(same), F.lit(0)))
@@ -147,5 +150,6 @@ def dedup_requests(log: DataFrame, bucket_hours: int = 24) -> DataFrame:
         .withColumn("waiting", F.coalesce(F.lag("open").over(along), F.lit(False)))
         .select("key", "bucket", "waiting")
     )
-    accepted = firsts.filter(ask & (F.col("earlier") == 0)).join(carried, ["key", "bucket"])
+    accepted = firsts.filter(ask & (F.col("earlier") == 0)).join(carried, firsts.key.eqNullSafe(carried.key)
+                                                                   & (firsts.bucket == carried.bucket)).drop(carried.key, carried.bucket)
     return accepted.filter((F.col("dones") > 0) | ~F.col("waiting")).select("key", "at", "seq")
