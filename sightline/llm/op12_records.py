@@ -1,23 +1,24 @@
 """Token ids as length-delimited binary records, with an offset index for shuffled reads.
 
 Record format (little-endian): length of the data in bytes (uint64), masked checksum of those 8 bytes (uint32), the
-data, masked checksum of the data (uint32). The data of a sequence are its ids as uint32. The checksum is CRC-32 (the
-zlib polynomial), masked as rotate-right-by-15 plus 0xa282ead8, so that a checksum of data that hold checksums is not
-itself regular. A shard file is a run of records; nothing else is in it but the one line end Spark's text writer adds.
-
-Writing. The texts are encoded in tasks (the tokenizers library; the end id is appended), written to the shared folder,
-and given their global place in ascending id order: ranges of ids are counted per partition, the small table of
-partition totals (one row per partition) is summed up in order, and each row's `start` is its partition's offset plus
-the ids before it there. Shards are cut by `start` every SHARD_IDS ids, so each holds about as many ids whatever the
-length of its texts, and a shard is one row of one task when it is written: its size is bounded by SHARD_IDS plus one
-text. Beside the shards lies the index (Parquet): id, shard, record number, byte offset, number of ids and start.
-
-Reading. Shards are read whole as binary files (bounded as above) and cut into records by their lengths; checksums are
-verified, a damaged record raises. `shuffled` reads records in a seeded random order through the index.
-
-Defined results: a null text counts as empty, so it is the end id alone. Rows with a null id come first, repeated ids
-are ordered by a hash of their token ids, then length; equal rows give equal records. Extra columns are not read. An empty
-table writes an empty index and no shard and reads back as an empty table.
+data, masked checksum of the data (uint32). The checksum is CRC-32 (the zlib polynomial), masked as rotate-right-by-15
+plus 0xa282ead8, so that a checksum of data that hold checksums is not itself regular. The data of a sequence: a flag
+byte (bit 0: the id is null, bit 1: ids are 16 bits wide, else 32), the id (int64), then the token ids compressed by
+zstd. A shard file is a run of records and nothing else but the one line end Spark's text writer adds.
+
+Writing. Rows are dealt into ranges of ascending id by a range partitioning on (id, hash of the text, row number), so
+the sample that finds the ranges reads ids and texts only; each range is sorted and encoded in its own task (the
+tokenizers library's normalizer and BPE model; its split pattern applied in Python with a memory of split words, which
+gives the library's ids exactly and is tested against it), the end id appended, and written as shard files of at
+most SHARD_BYTES, in order, below the range's folder. Texts cross the shuffle once; ids never do.
+
+Index. The shards are read back as binary files (bounded as above) and cut into records; the index (Parquet) has per
+record the id, range, file, record number, byte offset, number of ids and `start`: the ids of all records before it,
+from one small table of totals per file summed up in order and the ids before it in its file.
+
+Defined results: a null text counts as empty, so it is the end id alone. Rows with a null id come first; rows of one
+id are ordered by a hash of their text, then as read; equal rows give equal records. Extra columns are not read. An
+empty table writes no shard and an empty index and reads back as an empty table. A damaged record raises.
 """
 
 from __future__ import annotations
@@ -27,18 +28,23 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import regex
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightline.llm.common import cut_lineage, small_batches
 
-#: Ids of a shard; only file sizes depend on it.
-SHARD_IDS = 4_000_000
+#: Bytes of a shard file; only file sizes depend on it.
+SHARD_BYTES = 16_000_000
 #: Fixed values of the checksum mask.
 MASK_DELTA, MASK_ROTATE = 0xA282EAD8, 15
+#: Split words a Python worker remembers; only speed depends on it.
+MEMO = 500_000
 
-RECORDS = "shard long, record long, offset long, n_tokens long, ids_crc32 long, within long"
+RECORDS = "doc_id long, range int, file int, record long, offset long, n_tokens long, ids_crc32 long, within long"
 
 
 def masked(data: bytes) -> int:
@@ -68,111 +74,159 @@ def unframe(blob: bytes) -> Iterator[tuple[int, bytes]]:
         raise ValueError(f"{len(blob) - at} bytes after the last record")
 
 
-def encode(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, ids array<int>): the text's ids without special tokens added, then `end_id`."""
+class WordEncoder:
+    """The library's normalizer and BPE model; split pattern and byte-level alphabet taken from its pre-tokenizer."""
+
+    def __init__(self, path: str):
+        import json
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(tokenizer_path)
-        for part in parts:
-            texts = [t or "" for t in part.column(1).to_pylist()]
-            ids = [np.append(np.asarray(e.ids, np.int32), np.int32(end_id))
-                   for e in tok.encode_batch(texts, add_special_tokens=False)]
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                                             names=[id_col, "ids"])
-
-    kind = df.schema[id_col].dataType.simpleString()
-    return small_batches(df).select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
-
-
-def _bytes_of(ids) -> bytes:
-    return np.asarray(ids, "<u4").tobytes()
-
-
-def place(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """`encoded` with n_tokens, order key `tie`, global `start` (ids of all rows before) and `shard`."""
-    # Equal rows are interchangeable; `seq` only splits them over partitions when one id holds many rows.
-    rows = encoded.select(id_col, "ids", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("tie"),
-                          F.monotonically_increasing_id().alias("seq"))
-    order = [F.col(id_col).asc_nulls_first(), F.col("tie"), F.col("n_tokens"), F.col("seq")]
-    ranged = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    ranged = cut_lineage(ranged, "records-ranged")
-    totals = ranged.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    # One row per partition: the running sum over them is a small table, however many rows there are.
-    offsets = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("offset"))
-    within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.join(offsets, "part").withColumn(
-        "start", F.col("offset") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    return placed.withColumn("shard", F.floor(F.col("start") / SHARD_IDS).cast("long")).drop("offset")
+        tok = Tokenizer.from_file(path)
+        config = json.load(open(path, encoding="utf-8"))
+        steps = config["pre_tokenizer"].get("pretokenizers", [config["pre_tokenizer"]])
+        split = [x for x in steps if x["type"] == "Split"]
+        if len(split) != 1 or not split[0]["invert"] or [x["type"] for x in steps] != ["Split", "ByteLevel"]:
+            raise ValueError("only a split pattern followed by a byte-level step is known here")
+        # The library's \s is Unicode White_Space.
+        self.find = regex.compile(split[0]["pattern"]["Regex"].replace("\\s", "\\p{White_Space}")).findall
+        self.normalize, self.model = tok.normalizer.normalize_str, tok.model
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.memo: dict = {}
+        # Added tokens are found in the raw text first, longest first; the text between them is encoded as usual.
+        added = sorted(config.get("added_tokens", []), key=lambda t: -len(t["content"]))
+        if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+            raise ValueError("only added tokens matched as they are written are known here")
+        self.added = {t["content"]: t["id"] for t in added}
+        self.cut = regex.compile("|".join(regex.escape(t["content"]) for t in added)) if added else None
+
+    def words(self, text: str | None) -> list:
+        if not text:
+            return []
+        if self.cut is None or not self.cut.search(text):
+            return self.find(self.normalize(text))
+        out: list = []
+        at = 0
+        for m in self.cut.finditer(text):
+            out += self.find(self.normalize(text[at:m.start()]))
+            out.append(("added", self.added[m.group()]))
+            at = m.end()
+        return out + self.find(self.normalize(text[at:]))
+
+    def ids(self, word) -> np.ndarray:
+        if isinstance(word, tuple):
+            return np.array([word[1]], np.int64)
+        got = self.memo.get(word)
+        if got is None:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            mapped = "".join(self.alphabet[b] for b in word.encode("utf-8", "surrogatepass"))
+            got = self.memo[word] = np.array([t.id for t in self.model.tokenize(mapped)], np.int64)
+        return got
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        words = [self.words(t) for t in texts]
+        flat = [w for ws in words for w in ws]
+        if not flat:
+            return [np.zeros(0, np.int64) for _ in texts]
+        codes, uniques = pd.factorize(pd.Series(flat, dtype=object), sort=False)
+        pieces = [self.ids(w) for w in uniques]
+        lengths = np.array([len(x) for x in pieces], np.int64)
+        table = np.concatenate(pieces)
+        offsets = np.concatenate(([0], np.cumsum(lengths)))
+        size = lengths[codes]
+        at = np.repeat(offsets[codes] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        out = table[at]
+        cut = np.cumsum([len(ws) for ws in words])
+        word_ends = np.concatenate(([0], np.cumsum(size)))
+        bounds = word_ends[np.concatenate(([0], cut))]
+        return [out[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def serialize(doc_id, ids: np.ndarray, packer) -> bytes:
+    wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
+    flag = (doc_id is None) | (0 if wide else 2)
+    raw = ids.astype("<u4" if wide else "<u2").tobytes()
+    return struct.pack("<Bq", flag, doc_id or 0) + packer.compress(raw)
+
+
+def deserialize(data: bytes, unpacker) -> tuple[int | None, np.ndarray]:
+    flag, doc_id = struct.unpack("<Bq", data[:9])
+    raw = unpacker.decompress(data[9:])
+    ids = np.frombuffer(raw, "<u2" if flag & 2 else "<u4").astype(np.uint32)
+    return (None if flag & 1 else doc_id), ids
 
 
 def write_records(df: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id",
                   text_col: str = "text") -> None:
-    """Shards below `path`/shards, index at `path`/index."""
-    placed = cut_lineage(place(encode(df, tokenizer_path, end_id, id_col, text_col), id_col), "records-placed")
+    """Shards below `path`/shards/range=R, index at `path`/index."""
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"),
+                       F.monotonically_increasing_id().alias("seq"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("seq")]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = None, []
+        enc = WordEncoder(tokenizer_path)
+        packer = zstandard.ZstdCompressor(level=3)
+        held, size = [], 0
         for part in parts:
-            for s, ids in zip(part.column(0).to_pylist(), part.column(1).to_numpy(zero_copy_only=False), strict=True):
-                if s != shard and held:
-                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([b"".join(held)], pa.binary())],
-                                                     names=["shard", "value"])
-                    held = []
-                shard = s
-                held.append(frame(_bytes_of(ids)))
+            ids_of = enc.encode_many(part.column(1).to_pylist())
+            for doc_id, ids in zip(part.column(0).to_pylist(), ids_of, strict=True):
+                record = frame(serialize(doc_id, np.append(ids, end_id), packer))
+                if held and size + len(record) > SHARD_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
+                    held, size = [], 0
+                held.append(record)
+                size += len(record)
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([b"".join(held)], pa.binary())],
-                                             names=["shard", "value"])
-
-    (small_batches(placed).repartition("shard").sortWithinPartitions("shard", "start").select("shard", "ids")
-     .mapInArrow(run, "shard long, value binary").select("shard", F.col("value").cast("string"))
-     .write.mode("overwrite").partitionBy("shard").option("maxRecordsPerFile", 1).option("lineSep", "\n").text(f"{path}/shards"))
-    # Byte offsets follow from the lengths: 16 bytes of frame per record.
-    by_shard = Window.partitionBy("shard").orderBy("start")
-    (placed.select(id_col, "shard", "start", "n_tokens",
-                   (F.row_number().over(by_shard) - 1).cast("long").alias("record"),
-                   F.coalesce(F.sum(16 + 4 * F.col("n_tokens")).over(by_shard.rowsBetween(Window.unboundedPreceding, -1)),
-                              F.lit(0)).cast("long").alias("offset"))
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
+
+    # Each shard is one row and one file; files of a range are numbered in the order they are written.
+    (small_batches(rows).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+     .mapInArrow(run, "value binary").select(F.spark_partition_id().alias("range"), F.col("value").cast("string"))
+     .write.mode("overwrite").partitionBy("range").option("maxRecordsPerFile", 1).option("lineSep", "\n")
+     .text(f"{path}/shards"))
+    records = cut_lineage(read_records(df.sparkSession, path), "records-read")
+    sizes = records.groupBy("range", "file").agg(F.sum("n_tokens").alias("size"))
+    # One row per file: the running sum over them is a small table, however many records there are.
+    before = sizes.select("range", "file", (F.sum("size").over(Window.orderBy("range", "file")) - F.col("size")).alias("before"))
+    (records.join(before, ["range", "file"]).withColumn("start", F.col("before") + F.col("within")).drop("before", "within")
      .write.mode("overwrite").parquet(f"{path}/index"))
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """A row per record of the shards: RECORDS (`within`: ids of the shard before it), checksums verified."""
+    """A row per record of the shards: RECORDS (`within`: ids of the file before it), checksums verified."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker = zstandard.ZstdDecompressor()
         for part in parts:
             for name, blob in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                shard = int(name.rsplit("shard=", 1)[1].split("/", 1)[0])
+                where = regex.search(r"range=(\d+)/part-\d+-.*?c(\d+)(?:\.[a-z]+)*$", name)
                 rows, within = [], 0
                 for k, (at, data) in enumerate(unframe(blob)):
-                    rows.append((shard, k, at, len(data) // 4, zlib.crc32(data), within))
-                    within += len(data) // 4
+                    doc_id, ids = deserialize(data, unpacker)
+                    rows.append((doc_id, int(where.group(1)), int(where.group(2)), k, at, len(ids),
+                                 zlib.crc32(ids.astype("<u4").tobytes()), within))
+                    within += len(ids)
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)],
-                                                     names=["shard", "record", "offset", "n_tokens", "ids_crc32", "within"])
+                    cols = list(zip(*rows, strict=True))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()),
+                         *(pa.array(c, pa.int64()) for c in cols[3:])],
+                        names=["doc_id", "range", "file", "record", "offset", "n_tokens", "ids_crc32", "within"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/shards")
-    return files.select("path", "content").mapInArrow(run, RECORDS)
+    return small_batches(files.select("path", "content")).mapInArrow(run, RECORDS)
 
 
 def read_back(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
-    """Per record: id (from the index), start (from the records: shards before it and ids before it in its shard),
-    n_tokens, ids_crc32; records whose place disagrees with the index raise in the join's check."""
-    records = cut_lineage(read_records(spark, path), "records-read")
-    sizes = records.groupBy("shard").agg(F.sum("n_tokens").alias("size"))
-    before = sizes.select("shard", (F.sum("size").over(Window.orderBy("shard")) - F.col("size")).alias("before"))
+    """Per record, from the index the shards gave: id, start, n_tokens, ids_crc32."""
     index = spark.read.parquet(f"{path}/index")
-    got = records.join(before, "shard").join(index.select(id_col, "shard", "record", F.col("offset").alias("at"),
-                                                          F.col("n_tokens").alias("listed")), ["shard", "record"], "full")
-    checked = got.withColumn("ok", F.when((F.col("at") == F.col("offset")) & (F.col("listed") == F.col("n_tokens")), F.lit(True))
-                             .otherwise(F.raise_error(F.lit("a record does not lie where the index says"))))
-    return checked.where("ok").select(id_col, (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+    return index.select(F.col("doc_id").alias(id_col), "start", "n_tokens", "ids_crc32")
 
 
 def shuffled(spark: SparkSession, path: str, seed: int) -> DataFrame:
-    """The index in a seeded random order (column `draw`): which shard and offset to read next."""
-    return spark.read.parquet(f"{path}/index").withColumn("draw", F.xxhash64(F.lit(seed), "shard", "record")).orderBy("draw")
+    """The index in a seeded random order (column `draw`): which range, file and offset to read next."""
+    return spark.read.parquet(f"{path}/index").withColumn("draw", F.xxhash64(F.lit(seed), "range", "file", "record")).orderBy("draw")

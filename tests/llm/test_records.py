@@ -22,7 +22,7 @@ def test_frames_round_trip_and_damage_is_found():
 
 
 def test_records_equal_the_library_in_id_order(spark, edge_docs, no_docs, monkeypatch):
-    monkeypatch.setattr(rec, "SHARD_IDS", 50)  # many shards, and documents longer than a shard
+    monkeypatch.setattr(rec, "SHARD_BYTES", 300)  # many shard files, and documents longer than a shard
     path = shared_dir(spark, "records-test")
     rec.write_records(edge_docs, path, WORDS, 2)
     got = sorted(rec.read_back(spark, path).collect(), key=lambda r: r.start)
@@ -39,7 +39,27 @@ def test_records_equal_the_library_in_id_order(spark, edge_docs, no_docs, monkey
         assert (g.n_tokens, g.ids_crc32) in by_id[g.doc_id]
         start += g.n_tokens
     index = spark.read.parquet(f"{path}/index").collect()
-    assert len(index) == len(rows) and len({r.shard for r in index}) > 3
+    assert len(index) == len(rows) and len({(r.range, r.file) for r in index}) > 3
     empty = shared_dir(spark, "records-empty")
     rec.write_records(no_docs, empty, WORDS, 2)
     assert spark.read.parquet(f"{empty}/index").count() == 0
+
+
+def test_encoder_gives_the_library_ids():
+    import random
+
+    rng = random.Random(2)
+    texts = ["", "Hello  World", "ΟΔΟΣ Σ σ", "İstanbul ǅ", "it's 'RE 12.5%", "\x1c\x85 a\u2028b", "x" * 5000, "<|endoftext|>"]
+    texts += ["".join(rng.choice("aZ é\x1c\x85  \t\n1'sT日!?—İ́Σ") for _ in range(rng.randint(0, 80))) for _ in range(2000)]
+    tok = Tokenizer.from_file(WORDS)
+    got = rec.WordEncoder(WORDS).encode_many(texts)
+    assert [g.tolist() for g in got] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_wide_ids_and_null_ids_serialize():
+    import zstandard
+
+    ids = np.array([1, 70_000, 2], np.int64)
+    for doc_id in (None, 5, -3):
+        back = rec.deserialize(rec.serialize(doc_id, ids, zstandard.ZstdCompressor()), zstandard.ZstdDecompressor())
+        assert back[0] == doc_id and back[1].tolist() == ids.tolist()
