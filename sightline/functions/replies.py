@@ -27,7 +27,7 @@ BUDGET_PHRASES = (
     "usage limit", "rate limit", "limit reached",
 )
 
-# Longest description and longest error text handed on.
+# The longest description and error text the reference hands on; its parity queries pass them.
 PROMPT_CHARS, ERROR_CHARS = 6000, 300
 
 # The wording of a prompt.
@@ -43,9 +43,14 @@ USAGE_FIELDS = {
 }
 
 
-def build_prompt(j) -> Column:
-    """The text a scorer gets for one listing. `j(name)` gives the column of that name."""
-    text = F.substring(strip(F.coalesce(j("description"), F.lit(""))), 1, PROMPT_CHARS)
+def build_prompt(j, max_chars: int | None = None) -> Column:
+    """The text a scorer gets for one listing. `j(name)` gives the column of that name.
+
+    max_chars: the description is cut to so many characters; None hands on the whole text.
+    """
+    text = strip(F.coalesce(j("description"), F.lit("")))
+    if max_chars is not None:
+        text = F.substring(text, 1, max_chars)
     places = F.coalesce(
         F.when(F.size(j("locations")) > 0, F.nullif(F.array_join(j("locations"), ", "), F.lit(""))),
         F.nullif(j("location"), F.lit("")),
@@ -73,8 +78,11 @@ def parse_reply(reply: Column) -> Column:
         clamped.alias("score"), F.try_variant_get(data, "$.reason", "string").alias("reason")))
 
 
-def reply_envelope(envelope: Column, label: str = "scorer") -> Column:
-    """struct(result, error, four token counts, cost_usd) of a JSON reply envelope."""
+def reply_envelope(envelope: Column, label: str = "scorer", max_error_chars: int | None = None) -> Column:
+    """struct(result, error, four token counts, cost_usd) of a JSON reply envelope.
+
+    max_error_chars: an error text is cut to so many characters; None keeps it whole.
+    """
     env = F.try_parse_json(envelope)
     subtype = F.try_variant_get(env, "$.subtype", "string")
     # A flag counts when it is JSON-true, a non-zero number or a non-empty text.
@@ -85,7 +93,7 @@ def reply_envelope(envelope: Column, label: str = "scorer") -> Column:
     result = F.try_variant_get(env, "$.result", "string")
 
     def message(text: Column) -> Column:
-        return F.concat(F.lit(f"{label}: "), F.substring(text, 1, ERROR_CHARS))
+        return F.concat(F.lit(f"{label}: "), text if max_error_chars is None else F.substring(text, 1, max_error_chars))
 
     said = F.nullif(strip(F.coalesce(envelope, F.lit(""))), F.lit(""))
     error = (

@@ -40,9 +40,9 @@ def keyword_scorer(words: dict[str, int], model: str = "keywords") -> Scorer:
     return run
 
 
-def attempts(candidates: DataFrame, scorer: Scorer) -> DataFrame:
-    """Send every candidate to the scorer; partitions run side by side."""
-    prompts = candidates.select("job_id", "seq", build_prompt(F.col).alias("prompt"))
+def attempts(candidates: DataFrame, scorer: Scorer, prompt_chars: int | None = None) -> DataFrame:
+    """Send every candidate to the scorer; partitions run side by side. prompt_chars: see `build_prompt`."""
+    prompts = candidates.select("job_id", "seq", build_prompt(F.col, prompt_chars).alias("prompt"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for out in scorer(frames):
@@ -74,8 +74,8 @@ def judge(tried: DataFrame, prices=PRICES) -> DataFrame:
     )
 
 
-def score_batch(candidates: DataFrame, scorer: Scorer, prices=PRICES) -> DataFrame:
-    return judge(attempts(candidates, scorer), prices)
+def score_batch(candidates: DataFrame, scorer: Scorer, prices=PRICES, prompt_chars: int | None = None) -> DataFrame:
+    return judge(attempts(candidates, scorer, prompt_chars), prices)
 
 
 def _with_ran(judged: DataFrame, run: str, seq: str) -> DataFrame:

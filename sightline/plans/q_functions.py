@@ -8,6 +8,7 @@ from .. import functions as fn
 from ..sources.search_apis import annual_salary, location_text, remote_flag
 from . import fixtures as fx
 from .fixtures import BOARD, EVENT_CLOCK, REPLIES, RUNS, SIGHTINGS
+from ..functions.replies import ERROR_CHARS, PROMPT_CHARS
 from .registry import query
 
 _UNESCAPED = ("replace(replace(replace(regexp_replace({0}, '&amp;?', chr(1), 'g'), '&middot;', '·'), "
@@ -333,7 +334,7 @@ def envelope(spark, sf):
         .when(form == 2, F.to_json(F.struct(F.lit(True).alias("is_error"), F.col("text").alias("result"))))
         .otherwise('{"subtype": "error_max_turns"}')
     )
-    rows = fx.replies(spark, sf).withColumn("e", fn.reply_envelope(env))
+    rows = fx.replies(spark, sf).withColumn("e", fn.reply_envelope(env, max_error_chars=ERROR_CHARS))
     return rows.select(
         "conv_id", "turn", F.col("e.result").alias("result"), F.col("e.error").alias("error"),
         F.col("e.input_tokens").alias("input_tokens"), F.col("e.output_tokens").alias("output_tokens"))
@@ -379,7 +380,7 @@ select job_id, concat('Company: ', company, chr(10), 'Title: ', title, chr(10),
   'Return ONLY JSON: {{"score": <integer 0-10 fit>, "reason": "<one line>"}}.') as prompt from p
 """)
 def prompt(spark, sf):
-    return fx.board(spark, sf).select("job_id", fn.build_prompt(F.col).alias("prompt"))
+    return fx.board(spark, sf).select("job_id", fn.build_prompt(F.col, PROMPT_CHARS).alias("prompt"))
 
 
 @query("host_tenant", """

@@ -9,6 +9,7 @@ from ..operators import scoring, views
 from . import fixtures as fx
 from .fixtures import BOARD
 from .q_functions import error_columns
+from ..functions.replies import PROMPT_CHARS
 from .registry import query
 
 _WORDS = {"license": 4, "the": 3, "src1": 9, "und": -2}
@@ -28,7 +29,7 @@ select job_id, cast(greatest(0, least(10, case when contains(prompt, 'license')
 def score_batch(spark, sf):
     """All candidates, scored by the keyword scorer that ships with the package."""
     rows = views.candidates(fx.board(spark, sf)).withColumn("seq", F.lit(0).cast("bigint"))
-    out = scoring.score_batch(rows, scoring.keyword_scorer(_WORDS))
+    out = scoring.score_batch(rows, scoring.keyword_scorer(_WORDS), prompt_chars=PROMPT_CHARS)
     return out.select("job_id", "score", "reason", "outcome")
 
 

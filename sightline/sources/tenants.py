@@ -51,7 +51,7 @@ def workday(payloads: DataFrame) -> DataFrame:
                     F.coalesce(meta("lang"), F.lit("en-US")), F.lit("/"), F.col("site"), F.col("path"))
     tenant = first_text(meta("tenant"), host_tenant(F.col("host")))
     return sightings(
-        rows.withColumn("item_no", F.col("item_no") * 1000 + F.col("place_no")), "workday",
+        rows.withColumn("item_no", item_and_place()), "workday",
         url=first_text(vget("info", "$.externalUrl"), link),
         company=first_text(meta("name"), tenant),
         title=first_text(vget("info", "$.title"), vget("item", "$.title")),
@@ -61,6 +61,15 @@ def workday(payloads: DataFrame) -> DataFrame:
     )
 
 
+def item_and_place() -> Column:
+    """Order of an item's places inside the page's order of items, as one number.
+
+    An array holds fewer than 2**31 elements, so item_no * 2**31 + place_no never collides and keeps the order of
+    (item_no, place_no), whatever the number of places.
+    """
+    return F.col("item_no").cast("bigint") * (1 << 31) + F.col("place_no")
+
+
 def oracle(payloads: DataFrame) -> DataFrame:
     """Only the first element of `items` holds requisitions; other places may be text or object."""
     def name(v: Column) -> Column:
@@ -76,7 +85,7 @@ def oracle(payloads: DataFrame) -> DataFrame:
     rows = rows.withColumn("places", F.when(F.size(places) > 0, places).otherwise(F.array(F.lit(""))))
     rows = rows.select("*", F.posexplode("places").alias("place_no", "place"))
     return sightings(
-        rows.withColumn("item_no", F.col("item_no") * 1000 + F.col("place_no")), "oracle",
+        rows.withColumn("item_no", item_and_place()), "oracle",
         url=F.concat(F.lit("https://"), meta("host"), F.lit("/hcmUI/CandidateExperience/en/sites/"),
                      meta("site"), F.lit("/job/"), F.col("id")),
         company=host_tenant(meta("host"), meta("name")),
