@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import clean_url, job_id, vacancy_key
 from ..functions.places import DEFAULT_PRIORITY, Gazetteer, clean_city, clean_city_table, order_cities
 from ..schema import CONTENT, VACANCY
+from ..session import cut_lineage
 
 ORDER = ("source_rank", "pos")
 
@@ -169,11 +170,7 @@ def generations(
     bucket = _bucket(F.col(ts), hours) if hours > 0 else F.unix_micros(F.col(ts))
     buckets = log.groupBy(key, bucket.alias("bucket")).agg(*aggs)
 
-    along = Window.partitionBy(key).orderBy("bucket")
-    gap = F.col("t0") > F.lag("t1").over(along) + _hours(hours)
-    cut = buckets.withColumn("opens", F.coalesce(gap, F.lit(True)).cast("int"))
-    numbered = cut.withColumn(
-        "gen", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = number_gaps(buckets, key, hours)
     out = [F.min("t0").alias("first_seen"), F.max("t1").alias("last_seen"), F.sum("n").alias("sightings")]
     if has_content:
         out += [F.min_by("first", "bucket").alias("first")]
@@ -183,6 +180,34 @@ def generations(
     return numbered.groupBy(key, "gen").agg(*out)
 
 
+def number_gaps(buckets: DataFrame, key: str, hours: int) -> DataFrame:
+    """`buckets` (key, bucket, t0, t1, ...) with `gen`: a bucket opens a generation when it starts more than `hours`
+    after the one before it of its key.
+
+    A gap scan with a carry. The buckets are cut into ranges by a range partitioning on (key, bucket), so a key with a
+    very long history, or a window of zero hours, spans many ranges and tasks. Each range numbers its own gaps; per
+    range only (key, range, last t1, gaps) goes on, and those few rows give each range the last clock of the range
+    before it and the generations opened before it.
+    """
+    ranged = cut_lineage(buckets.repartitionByRange(key, "bucket").withColumn("_range", F.spark_partition_id()),
+                         "generation-ranges")
+    inside = Window.partitionBy(key, "_range").orderBy("bucket")
+    local = ranged.withColumn("_prev", F.lag("t1").over(inside)).withColumn(
+        "_opens", F.when(F.col("_prev").isNull(), 0).otherwise((F.col("t0") > F.col("_prev") + _hours(hours)).cast("int")))
+    local = local.withColumn("_local", F.sum("_opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ranges = local.groupBy(key, "_range").agg(
+        F.max("t1").alias("_last"), F.sum("_opens").alias("_inside"), F.min_by("t0", "bucket").alias("_start"))
+    along = Window.partitionBy(key).orderBy("_range")
+    # The first bucket of a range opens a generation unless the range before it of its key ends within the window.
+    head = F.coalesce(F.col("_start") > F.lag("_last").over(along) + _hours(hours), F.lit(True)).cast("int")
+    carry = ranges.withColumn("_head", head).withColumn(
+        "_before", F.sum(F.col("_head") + F.col("_inside")).over(along.rowsBetween(Window.unboundedPreceding, 0))
+        - F.col("_inside")).select(key, "_range", "_before")
+    return (local.join(carry, local[key].eqNullSafe(carry[key]) & (local["_range"] == carry["_range"]))
+            .drop(carry[key]).drop(carry["_range"])
+            .withColumn("gen", F.col("_before") + F.col("_local")).drop("_range", "_prev", "_opens", "_local", "_before"))
+
+
 def generation_rows(gens: DataFrame, content: Sequence[str] = CONTENT) -> DataFrame:
     """Generations in table shape, status `new`."""
     fields = [f for f in gens.schema["first"].dataType.fieldNames()]

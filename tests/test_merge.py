@@ -163,3 +163,27 @@ def test_status_views_scores(spark):
     ok, bad = lifecycle.split_settable(events.filter("kind = 'set'"))
     assert (ok.count(), bad.count()) == (3, 1)
     assert {r["move"] for r in lifecycle.stage_moves(board.withColumn("status", F.lit("applied"))).collect()} == {"rejected", "new"}
+
+
+def test_gap_scan_spans_ranges_of_one_hot_key(spark):
+    """A window of zero hours and one key with most of the rows: generations equal a per-key scan, while the key's
+    buckets lie in several ranges."""
+    import random
+
+    rng = random.Random(9)
+    at = lambda h: T0 + dt.timedelta(minutes=h)
+    rows = [(at(rng.randrange(3000)), "reed", "hot", "London") for _ in range(600)]
+    rows += [(at(rng.randrange(3000)), "reed", f"cold{i % 5}", "") for i in range(60)]
+    for hours in (0, 1):
+        got = merge.generations(sightings(spark, rows), hours).collect()
+        want = []
+        for title in {r[2] for r in rows}:
+            times = sorted(r[0] for r in rows if r[2] == title)
+            gens = []
+            for t in times:
+                if gens and t - gens[-1][1] <= dt.timedelta(hours=hours):
+                    gens[-1] = (gens[-1][0], t, gens[-1][2] + 1)
+                else:
+                    gens.append((t, t, 1))
+            want += [(title, *g) for g in gens]
+        assert sorted((r["first"]["title"], r["first_seen"], r["last_seen"], r["sightings"]) for r in got) == sorted(want)
