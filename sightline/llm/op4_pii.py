@@ -176,10 +176,14 @@ def _locate_terms(shared, kind: pa.DataType):
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            found = [(i, m, w, a, b) for i, m, text in zip(*[c.to_pylist() for c in part.columns], strict=True)
-                     for w, a, b in words(text or "")]
-            ok = _passes(shared.value, [x[2] for x in found])
-            yield from batches((x for x, good in zip(found, ok, strict=True) if good), schema)
+            ids, marks, texts = [c.to_pylist() for c in part.columns]
+            # The filter is asked once per distinct word of the batch; only texts holding a word it passes are walked.
+            own = [set(map(str.lower, _WORD.findall(t or ""))) for t in texts]
+            distinct = list(set().union(*own)) if own else []
+            passing = {w for w, good in zip(distinct, _passes(shared.value, distinct), strict=True) if good}
+            found = [(i, m, w, a, b) for i, m, text, held in zip(ids, marks, texts, own, strict=True) if held & passing
+                     for w, a, b in words(text or "") if w in passing]
+            yield from batches(iter(found), schema)
 
     return run
 
