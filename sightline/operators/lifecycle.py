@@ -83,6 +83,18 @@ def apply_status(snapshot: DataFrame, events: DataFrame) -> DataFrame:
     return _update(snapshot, last, ["status"])
 
 
+def update_outcomes(snapshot: DataFrame, events: DataFrame, settable: bool = True) -> DataFrame:
+    """`events` with `applied`: what a single update answers. False for an id the table does not hold, or (settable)
+    for a status that may not be set; a null id is never applied. The table's ids are reduced to distinct ids before
+    the join, so an id named by many events costs one row of the table side."""
+    ids = snapshot.select(F.col("job_id").alias("_held")).distinct()
+    hit = events.join(ids, events["job_id"] == ids["_held"], "left")
+    applied = F.col("_held").isNotNull()
+    if settable:
+        applied = applied & F.coalesce(F.col("status").isin(*SETTABLE), F.lit(False))
+    return hit.withColumn("applied", applied).drop("_held")
+
+
 def apply_status_and_views(snapshot: DataFrame, events: DataFrame) -> DataFrame:
     """As `apply_status`, with openings among the events (`kind` = set | open).
 

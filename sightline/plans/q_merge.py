@@ -341,6 +341,17 @@ def rejected_status(spark, sf):
     return lifecycle.split_settable(events)[1].select("event_id", "job_id", "status")
 
 
+@query("update_outcomes", f"""
+with {_EVENTS} select event_id, job_id, status,
+  coalesce(exists (select 1 from board b where b.job_id = ev.job_id) and status in ('new', 'applied', 'saved'), false) as applied
+from ev where kind = 'set'
+""")
+def update_outcomes(spark, sf):
+    """What each status update answers: applied, or not for an unknown id or a status that may not be set."""
+    events = status_events(spark, sf).filter(F.col("kind") == "set")
+    return lifecycle.update_outcomes(fx.board(spark, sf), events).select("event_id", "job_id", "status", "applied")
+
+
 @query("view_transition", f"""
 with {_EVENTS}, s as (
   select job_id, max(case when kind = 'set' and status in ('new', 'applied', 'saved') then event_id end) set_at,

@@ -187,3 +187,11 @@ def test_gap_scan_spans_ranges_of_one_hot_key(spark):
                     gens.append((t, t, 1))
             want += [(title, *g) for g in gens]
         assert sorted((r["first"]["title"], r["first_seen"], r["last_seen"], r["sightings"]) for r in got) == sorted(want)
+
+
+def test_update_outcomes_answer_false_for_unknown_ids(spark):
+    snap = spark.createDataFrame([("j1", "new"), ("j2", "new")], "job_id string, status string")
+    events = spark.createDataFrame([(1, "j1", "applied"), (2, "j9", "applied"), (3, "j1", "typo"), (4, None, "saved"),
+                                    (5, "j2", None)], "event_id int, job_id string, status string")
+    got = {r.event_id: r.applied for r in lifecycle.update_outcomes(snap, events).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: False, 5: False}
