@@ -14,7 +14,7 @@ from ..operators import enrich, ledger, lifecycle, merge
 from ..operators.filters import KeywordPolicy
 from ..schema import NEW_COLS, SCAN_RUN
 from ..sources.policy import fresh_only, within_window
-from ..sources.registry import REGISTRY, failed_sources, read_sources, source_status
+from ..sources.registry import REGISTRY, failed_sources, read_sources, skipped_replies, source_status
 from ..sources.search_apis import reed_detail
 from ..session import cut_lineage
 from .snapshot import SnapshotTable
@@ -43,13 +43,15 @@ class ScanPolicy:
 
 @dataclass(frozen=True)
 class ScanResult:
-    """`rows` is the open part of the table after the scan (None for a dry run)."""
+    """`rows` is the open part of the table after the scan (None for a dry run). `skipped`: replies that were no use
+    and did not fail their source (closed boards, missing details, tenants that did not answer), with why."""
 
     rows: DataFrame | None
     new_rows: DataFrame
     counts: DataFrame
     errors: DataFrame
     totals: DataFrame
+    skipped: DataFrame | None = None
 
 
 def sightings_of(payloads: DataFrame, policy: ScanPolicy, scan_ts: datetime, status: DataFrame, *,
@@ -90,7 +92,7 @@ def run_scan(
     if dry_run:
         new = merge.first_per_key(kept, content=NEW_COLS).select("first.*")
         counts = ledger.scan_counts(seen, policy.keywords.keeps(), new)
-        return ScanResult(None, new.select(*NEW_COLS), counts, errors, ledger.scan_totals(counts))
+        return ScanResult(None, new.select(*NEW_COLS), counts, errors, ledger.scan_totals(counts), skipped_replies(payloads))
 
     hours = policy.expire_after_hours
     merged = cut_lineage(
@@ -108,7 +110,7 @@ def run_scan(
     elif policy.enabled is not None:
         live = live.filter(F.col("source").isin(*policy.enabled))
     rows = lifecycle.expire_stale(rows, live, scan_ts, hours)
-    return ScanResult(rows, new.select(*NEW_COLS), counts, errors, ledger.scan_totals(counts))
+    return ScanResult(rows, new.select(*NEW_COLS), counts, errors, ledger.scan_totals(counts), skipped_replies(payloads))
 
 
 def ledger_rows(result: ScanResult, scan_ts: datetime, run_id: str) -> DataFrame:

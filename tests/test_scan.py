@@ -73,7 +73,7 @@ def test_dry_run_and_windows(spark):
                                     (3, "Old Engineer", "Leeds", "10/07/2026"), (4, "Undated Engineer", "Leeds", None)))
     policy = ScanPolicy(POLICY.gazetteer, POLICY.keywords, windows={"reed": Window(max_days=30)}, recent_days=2)
     result = run_scan(None, jobs, policy, T0, dry_run=True)
-    assert result.rows is None
+    assert result.rows is None and result.skipped.count() == 0
     assert result.counts.first().asDict() == {"source": "reed", "found": 3, "new": 2, "dupes": 1, "filtered": 0}
     assert run_scan(None, jobs, policy, T0, dry_run=True, deep=True).counts.first()["found"] == 4
     assert run_scan(None, jobs, policy, T0, dry_run=True, only="adzuna").counts.count() == 0
