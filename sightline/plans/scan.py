@@ -92,7 +92,7 @@ def run_scan(
     if dry_run:
         new = merge.first_per_key(kept, content=NEW_COLS).select("first.*")
         counts = ledger.scan_counts(seen, policy.keywords.keeps(), new)
-        return ScanResult(None, new.select(*NEW_COLS), counts, errors, ledger.scan_totals(counts), skipped_replies(payloads))
+        return ScanResult(None, new.select(*NEW_COLS, *[c for c in new.columns if c not in NEW_COLS and c != "change"]), counts, errors, ledger.scan_totals(counts), skipped_replies(payloads))
 
     hours = policy.expire_after_hours
     merged = cut_lineage(
@@ -110,7 +110,7 @@ def run_scan(
     elif policy.enabled is not None:
         live = live.filter(F.col("source").isin(*policy.enabled))
     rows = lifecycle.expire_stale(rows, live, scan_ts, hours)
-    return ScanResult(rows, new.select(*NEW_COLS), counts, errors, ledger.scan_totals(counts), skipped_replies(payloads))
+    return ScanResult(rows, new.select(*NEW_COLS, *[c for c in new.columns if c not in NEW_COLS and c != "change"]), counts, errors, ledger.scan_totals(counts), skipped_replies(payloads))
 
 
 def ledger_rows(result: ScanResult, scan_ts: datetime, run_id: str) -> DataFrame:

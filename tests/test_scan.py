@@ -46,6 +46,8 @@ def test_scans_end_to_end(spark, tmp_path):
     log = {r["source"]: (r["found"], r["errors"], r["error_detail"]) for r in spark.read.schema(SCAN_RUN).parquet(runs).collect()}
     assert log == {"reed": (4, 0, ""), "adzuna": (1, 0, ""), "lever": (0, 1, "timeout")}
     assert [r["url"] for r in result.new_rows.collect()] == ["https://a/9"]
+    from sightline.operators.views import digest
+    assert digest(result.new_rows).count() == 2  # the count line and one card
 
     # Next day: adzuna fails, so its row stays although it is gone; reed brings a snippet with a detail.
     later = T0 + dt.timedelta(hours=30)
