@@ -181,6 +181,10 @@ def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
                                     F.col(text_col).cast("string").alias("text"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
+        # Spark runs a task per core already; the library's own threads would only spin.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tok_a, table_a = a_table(a_path)
         sp_b, table_b = b_table(b_path)
         for part in parts:
@@ -193,19 +197,24 @@ def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
                                                                 zip(["n_a", "n_b", "n_groups", "n_links"], cols[:4], strict=True)},
                 "groups_sha256": pa.array(cols[4], pa.string()), "a": pa.nulls(n, pa.int32()), "b": pa.nulls(n, pa.int32()),
                 "mult": pa.nulls(n, pa.int64())}, schema=SCHEMA)
-            for i, a, b, mult in pairs:
-                m = len(a)
+            if pairs:
+                # All linked id pairs of the part in one batch.
+                m = np.array([len(a) for _, a, _, _ in pairs], np.int64)
                 yield pa.RecordBatch.from_pydict({
-                    "row": np.full(m, keys[i]), "id": pa.nulls(m, pa.int64()), "kind": np.ones(m, np.int32),
-                    **{c: pa.nulls(m, pa.int64()) for c in ["n_a", "n_b", "n_groups", "n_links"]},
-                    "groups_sha256": pa.nulls(m, pa.string()), "a": a.astype(np.int32), "b": b.astype(np.int32),
-                    "mult": mult}, schema=SCHEMA)
+                    "row": np.repeat(keys[[i for i, _, _, _ in pairs]], m), "id": pa.nulls(int(m.sum()), pa.int64()),
+                    "kind": np.ones(int(m.sum()), np.int32),
+                    **{c: pa.nulls(int(m.sum()), pa.int64()) for c in ["n_a", "n_b", "n_groups", "n_links"]},
+                    "groups_sha256": pa.nulls(int(m.sum()), pa.string()),
+                    "a": np.concatenate([a for _, a, _, _ in pairs]).astype(np.int32),
+                    "b": np.concatenate([b for _, _, b, _ in pairs]).astype(np.int32),
+                    "mult": np.concatenate([x for _, _, _, x in pairs])}, schema=SCHEMA)
 
     done = cut_lineage(rows.mapInArrow(run, OUT), "align")
     pairs = done.where("kind = 1").select("row", "a", "b", "mult")
     counts = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("cnt"))
-    top = counts.groupBy("a").agg(F.max("cnt").alias("top"))
-    scored = (pairs.join(counts, ["a", "b"]).join(top, "a").groupBy("row")
+    # Each A id's highest count joins the (much smaller) table of counts, so the pairs are shuffled for one join only.
+    counts = counts.join(counts.groupBy("a").agg(F.max("cnt").alias("top")), "a")
+    scored = (pairs.join(counts, ["a", "b"]).groupBy("row")
               .agg(F.sum(F.when(F.col("cnt") == F.col("top"), F.col("mult")).otherwise(0)).alias("n_best"),
                    F.sum(F.col("mult") * F.col("cnt")).alias("count_sum")))
     docs = done.where("kind = 0")
