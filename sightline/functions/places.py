@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .text import strip
 
 # Default priority, region labels in test order, and the last-resort labels.
@@ -119,7 +120,9 @@ def _label(raw: Column) -> Column:
     return label.when(F.contains(low, F.lit("united kingdom")) | low.rlike(r"(?U)\buk\b"), COUNTRY).otherwise(UNKNOWN)
 
 
-def clean_city_table(df: DataFrame, raw: str, names: DataFrame, priority=(), out: str = "city") -> DataFrame:
+def clean_city_table(
+    df: DataFrame, raw: str, names: DataFrame, priority=(), out: str = "city", places: DataFrame | None = None,
+) -> DataFrame:
     """`df` with `out`: what `clean_city` gives, for a table of names (column `name`) of any size.
 
     A position join: each distinct location is cut into word runs and the runs between them; every stretch from the
@@ -127,7 +130,11 @@ def clean_city_table(df: DataFrame, raw: str, names: DataFrame, priority=(), out
     equi-join to the lower-case names keeps those that are names. The leftmost match, the longest at its start, is
     taken, and the next search starts after it: a fold over the matches sorted by start. Of the matches taken the
     priority city wins, then the longest, then the leftmost; its spelling is the table's (of several spellings of one
-    lower-case name, the largest). Only distinct locations are cut and joined; rows get their city by an equi-join.
+    lower-case name, the largest). Only distinct locations are cut and joined, and the cities found are written, so their
+    size is measured before rows get their city by an equi-join: where they are few, no row of `df` is shuffled for it.
+
+    `places`: a table that holds every value of `raw` under the same name, and maybe more; without it the distinct
+    values of `df` are taken, which computes `df` a second time.
 
     Names that begin or end with a character other than a letter, digit or underscore never match here.
     Null and blank locations are `Unknown`; extra columns of `df` are kept.
@@ -137,7 +144,7 @@ def clean_city_table(df: DataFrame, raw: str, names: DataFrame, priority=(), out
     lows = lows.groupBy("low").agg(F.max("name").alias("spelling"))
     words = F.size(F.filter(F.split("low", _RUNS), lambda r: r.rlike(r"(?U)^\w")))
     longest = lows.agg(F.max(words).alias("k")).first()["k"] or 0
-    places = df.select(F.col(raw).alias("_place")).where(F.col("_place").isNotNull()).distinct()
+    places = (df if places is None else places).select(F.col(raw).alias("_place")).where(F.col("_place").isNotNull()).distinct()
     runs = places.select("_place", F.split(F.lower("_place"), _RUNS).alias("runs"))
     starts = runs.select("_place", "runs", F.posexplode("runs").alias("i", "run")).where(F.col("run").rlike(r"(?U)^\w"))
     # A stretch of w words spans 2 w - 1 runs.
@@ -156,7 +163,7 @@ def clean_city_table(df: DataFrame, raw: str, names: DataFrame, priority=(), out
     best = F.array_min(F.transform(taken, lambda h, n: F.struct(
         _rank(wanted, h["low"]).alias("rank"), (-F.length(h["low"])).alias("len"), n.alias("n"),
         h["spelling"].alias("spelling"))))["spelling"]
-    found = ordered.select(F.col("_place"), best.alias("_found"))
+    found = cut_lineage(ordered.select(F.col("_place"), best.alias("_found")), "cities")
     blank = F.coalesce(strip(F.col(raw)), F.lit("")) == ""
     return (df.join(found, df[raw].eqNullSafe(found["_place"]), "left")
             .withColumn(out, F.when(blank, UNKNOWN).when(F.col("_found").isNotNull(), F.col("_found")).otherwise(_label(F.col(raw))))

@@ -25,11 +25,16 @@ from ..session import cut_lineage
 ORDER = ("source_rank", "pos")
 
 
-def with_identity(sightings: DataFrame, gazetteer: Gazetteer | DataFrame, priority=DEFAULT_PRIORITY) -> DataFrame:
-    """Add `vacancy_key` and `city`. `gazetteer`: a literal list, or a table of names of any size with `priority`."""
+def with_identity(
+    sightings: DataFrame, gazetteer: Gazetteer | DataFrame, priority=DEFAULT_PRIORITY, places: DataFrame | None = None,
+) -> DataFrame:
+    """Add `vacancy_key` and `city`. `gazetteer`: a literal list, or a table of names of any size with `priority`.
+
+    `places`: with a table of names, a table of every `location` there can be (see `clean_city_table`).
+    """
     keyed = sightings.withColumn("vacancy_key", vacancy_key(F.col("company"), F.col("title"), F.col("url")))
     if isinstance(gazetteer, DataFrame):
-        return clean_city_table(keyed, "location", gazetteer, priority)
+        return clean_city_table(keyed, "location", gazetteer, priority, places=places)
     return keyed.withColumn("city", clean_city(F.col("location"), gazetteer))
 
 

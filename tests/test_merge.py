@@ -195,3 +195,23 @@ def test_update_outcomes_answer_false_for_unknown_ids(spark):
                                     (5, "j2", None)], "event_id int, job_id string, status string")
     got = {r.event_id: r.applied for r in lifecycle.update_outcomes(snap, events).collect()}
     assert got == {1: True, 2: False, 3: False, 4: False, 5: False}
+
+
+def test_sightings_carry_keys_through_the_joins_and_cities_need_no_shuffle(spark, tmp_path):
+    """Line items meet orders that already hold their customer; names of nations and cities come by broadcast, after
+    the shuffles. Before, every row was shuffled by its location and the whole join ran twice for the city list."""
+    import re
+
+    from sightline.plans import fixtures as fx
+    from sightline.plans import q_merge
+    sf = "/root/testdata/sf0.001"
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1000")
+    try:
+        plan = q_merge.log(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    read = re.findall(r"Relation \[([a-z]+)_", plan)
+    assert read.count("l") == 1 and read.count("o") == 1
+    known = {r["location"] for r in fx.locations(spark, sf).collect()}
+    assert {r["location"] for r in fx.sightings(spark, sf).select("location").distinct().collect()} <= known
