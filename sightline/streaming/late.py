@@ -1,15 +1,15 @@
 """Generations that stay right when sightings land late.
 
-No watermark drops a row here. The state of a key is the set of its generations (a MapState from version id to first
-seen, last seen and number of sightings); generations of one key lie more than the window apart. A micro-batch's
+No watermark drops a row here. The state of a key is the set of its generations (version id, first seen, last seen and
+number of sightings of each); generations of one key lie more than the window apart. A micro-batch's
 sightings, condensed per (key, bucket) before the shuffle, are laid into that set: a sighting that comes within the
 window of no generation opens one (`new`); of one, extends it (`extended`); of two or more, joins them (`remerged`).
 Every change is written to an append-only change log: the old versions are retracted and the new version inserted
 under a fresh id, so the generations of a key at any point are its inserts that no retraction names. An insert is
 `corrected` when a sighting older than the generation's last sighting changed it, which is what a late row does.
 
-Nothing but one key's generations is held together. A key's state grows with the number of its generations, never
-with its sightings.
+Keys are dealt over a fixed number of groups (`GROUPS`), and a batch rewrites the state of the groups it touches. State
+grows with the number of generations, never with sightings.
 
 Defined results: rows with a null key or time are set aside in the change log as kind `unusable` (key and time kept)
 instead of being dropped; repeated rows count as sightings each; columns besides key, ts and city are not read.
@@ -18,18 +18,20 @@ instead of being dropped; repeated rows count as sightings each; columns besides
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .landing import ROCKSDB
-from .upsert import CONDENSED, condense
+from .upsert import CONDENSED, GROUPS, _micros, condense, key_group
 
 CHANGE = ("key string, version long, kind string, first_seen timestamp, last_seen timestamp, sightings bigint, "
           "corrected boolean")
-_GEN = "first_seen bigint, last_seen bigint, sightings bigint"
+_STATE = ("key array<string>, next array<bigint>, generations array<bigint>, version array<bigint>, "
+          "first_seen array<bigint>, last_seen array<bigint>, sightings array<bigint>")
 _COLS = ["key", "version", "kind", "first_seen", "last_seen", "sightings", "corrected"]
 
 
@@ -61,46 +63,48 @@ def lay(gens: dict[int, tuple[int, int, int]], rows: list[tuple[int, int, int]],
     return gens, gone, kinds, next_id
 
 
-class _Late(StatefulProcessor):
-    def __init__(self, hours: int):
-        self.window_us = hours * 3_600_000_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.gens = handle.getMapState("gens", "version bigint", _GEN)
-        self.next = handle.getValueState("next", "id bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        name = key[0]
-        todo = []
-        for pdf in rows:
-            us0 = pdf["t0"].astype("datetime64[us]").astype("int64")
-            us1 = pdf["t1"].astype("datetime64[us]").astype("int64")
-            todo += list(zip(us0.tolist(), us1.tolist(), pdf["sightings"].astype("int64").tolist(), strict=True))
-        gens = {int(k[0]): tuple(int(x) for x in v) for k, v in self.gens.iterator()}
-        start = int(self.next.get()[0]) if self.next.exists() else 0
-        gens, gone, made, nxt = lay(gens, todo, self.window_us, start)
+def _late(hours: int):
+    """State of a group of keys: the generations and the next free id of each. It comes and goes with the group's rows
+    in one Arrow batch, so a key costs neither a call to the state store nor a frame of its own."""
+    window_us = hours * 3_600_000_000
+
+    def run(group, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held: dict[str, tuple[int, dict]] = {}
+        if state.exists:
+            names, free, counts, *columns = state.get
+            each = zip(*columns, strict=True)
+            held = {name: (nxt, {i: (f, last, n) for i, f, last, n in islice(each, count)})
+                    for name, nxt, count in zip(names, free, counts, strict=True)}
+        todo: dict[str, list] = {}
+        for pdf in frames:
+            for name, a, b, n in zip(pdf["key"], _micros(pdf["t0"]).tolist(), _micros(pdf["t1"]).tolist(),
+                                     pdf["sightings"].tolist(), strict=True):
+                todo.setdefault(name, []).append((a, b, n))
         out = []
-        for i in gone:
-            out.append((name, i, "retract", None, None, None, None))
-            self.gens.removeKey((i,))
-        for i, (kind, late) in made.items():
-            f, last, n = gens[i]
-            out.append((name, i, kind, pd.Timestamp(f, unit="us"), pd.Timestamp(last, unit="us"), n, late))
-            self.gens.updateValue((i,), (f, last, n))
-        self.next.update((nxt,))
-        yield pd.DataFrame(out, columns=_COLS)
-
-    def close(self) -> None:
-        pass
-
-
-def stream_late(sightings: DataFrame, hours: int) -> DataFrame:
+        for name, rows in todo.items():
+            start, gens = held.get(name, (0, {}))
+            gens, gone, made, nxt = lay(gens, rows, window_us, start)
+            held[name] = (nxt, gens)
+            out += [(name, i, "retract", None, None, None, None) for i in gone]
+            out += [(name, i, kind, *gens[i], late) for i, (kind, late) in made.items()]
+        laid = [(i, *g) for _, gens in held.values() for i, g in gens.items()]
+        state.update((list(held), [nxt for nxt, _ in held.values()], [len(gens) for _, gens in held.values()],
+                      *map(list, zip(*laid, strict=True))))
+        changes = pd.DataFrame(out, columns=_COLS).astype({"sightings": "Int64", "corrected": object})
+        for name in ("first_seen", "last_seen"):
+            changes[name] = changes[name].astype("Int64").astype("datetime64[us]")
+        yield changes
+    return run
+
+
+def stream_late(sightings: DataFrame, hours: int, groups: int = GROUPS) -> DataFrame:
     """(key, ts, city) -> the change log of generations (CHANGE). No row is dropped for being late."""
     sightings.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     usable = sightings.where(F.col("key").isNotNull() & F.col("ts").isNotNull())
     condensed = usable.select("key", "ts", "city").mapInPandas(condense(hours), CONDENSED)
-    changes = condensed.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=_Late(hours), outputStructType=CHANGE, outputMode="Append", timeMode="None")
+    changes = condensed.withColumn("group", key_group(groups)).groupBy("group").applyInPandasWithState(
+        _late(hours), outputStructType=CHANGE, stateStructType=_STATE, outputMode="append",
+        timeoutConf=GroupStateTimeout.NoTimeout)
     unusable = sightings.where(F.col("key").isNull() | F.col("ts").isNull()).select(
         F.col("key").cast("string"), F.lit(None).cast("long").alias("version"), F.lit("unusable").alias("kind"),
         F.col("ts").cast("timestamp").alias("first_seen"), F.col("ts").cast("timestamp").alias("last_seen"),

@@ -118,3 +118,51 @@ def test_stream_late_equals_the_batch_rule(spark):
     assert got == want and len(got) > 100
     changes = {r.kind: (r.changes, r.corrected) for r in late_stream_changes(spark, src).collect()}
     assert changes["remerged"][0] > 0 and changes["extended"][1] > 0
+
+
+def test_condense_builds_no_python_list_per_row(spark):
+    """One row per key and bucket: nulls in any column, and a frame of 20,000 keys within a few seconds of one task."""
+    import time
+
+    import pandas as pd
+
+    from sightline.streaming.upsert import condense
+    hour = pd.Timedelta(hours=1)
+    at = pd.Timestamp("2026-01-05")
+    pdf = pd.DataFrame([("a", at, "York"), ("a", at + hour, "Leeds"), ("a", at + hour, "York"), ("a", at + 24 * hour, None),
+                        (None, at, "Bath"), ("b", pd.NaT, "Bath")], columns=["key", "ts", "city"])
+    got = next(condense(24)([pdf])).sort_values(["key", "t0"]).astype(object)
+    rows = [(r.key, r.t0, r.t1, r.sightings, r.cities) for r in got.itertuples()]
+    assert rows[:2] == [("a", at, at + hour, 3, ["Leeds", "York"]), ("a", at + 24 * hour, at + 24 * hour, 1, [])]
+    assert rows[2][0] == "b" and rows[2][3:] == (1, ["Bath"]) and pd.isna(rows[2][1])
+    assert next(condense(24)([pdf.iloc[:0]])).empty
+    many = pd.DataFrame({"key": [f"k{i}" for i in range(20_000)], "ts": at, "city": "Leeds"})
+    start = time.process_time()
+    assert len(next(condense(24)([many]))) == 20_000
+    assert time.process_time() - start < 1.5  # an aggregate function called per group took 2 s and more
+
+
+def test_keyed_state_needs_no_call_per_key(spark):
+    """State comes with the rows in Arrow batches: the plans hold no state processor that asks the store key by key."""
+    from sightline.streaming.late import stream_late
+    rows = spark.readStream.format("rate").load().selectExpr("cast(value as string) key", "timestamp ts", "'x' city")
+    for df in (stream_late(rows, 24), stream_upsert(rows, 24)):
+        plan = df._jdf.queryExecution().logical().toString()
+        assert "FlatMapGroupsInPandasWithState" in plan and "TransformWithState" not in plan
+
+
+def test_deliveries_land_as_several_files(spark, tmp_path, monkeypatch):
+    """The late stream lands a delivery as a file of each task that holds some of it: no task holds a delivery whole."""
+    import pandas as pd
+
+    import __spark_entry__ as entry
+    from sightline.plans import q_streams
+    monkeypatch.setattr(q_streams, "shared_dir", lambda spark, purpose: str(tmp_path / purpose))
+    (tmp_path / "events.parquet").mkdir()
+    rows = [(i, pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=i * 7), i % 5, "view", 1.0, "{}") for i in range(400)]
+    pdf = pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value", "props"])
+    for k in range(2):
+        pdf.iloc[k::2].astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / "events.parquet" / f"{k}.parquet")
+    n = {r["kind"]: r["changes"] for r in entry.queries()["stream_late_changes"](spark, str(tmp_path)).collect()}
+    assert n["new"] >= 5
+    assert len([x for x in (tmp_path / "late-landing").iterdir() if x.suffix == ".parquet"]) > q_streams.LATE_DELIVERIES
