@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date_iso
 from ..functions.text import strip_tags, unescape_all
-from .base import first_text, items, joined, meta, sightings, text, vget
+from .base import first_text, items, joined, meta, sightings, text, vget, with_fields
 
 
 def greenhouse(payloads: DataFrame) -> DataFrame:
@@ -40,14 +40,17 @@ def ashby(payloads: DataFrame) -> DataFrame:
 
 
 def workable(payloads: DataFrame) -> DataFrame:
+    rows = with_fields(
+        items(payloads, "workable", "$.jobs"), "item",
+        "url string, shortlink string, application_url string, title string, city string, state string, "
+        "country string, description string, published_on string, telecommuting boolean")
     return sightings(
-        items(payloads, "workable", "$.jobs"), "workable",
-        url=first_text(vget("item", "$.url"), vget("item", "$.shortlink"),
-                       vget("item", "$.application_url")),
+        rows, "workable",
+        url=first_text(F.col("f.url"), F.col("f.shortlink"), F.col("f.application_url")),
         company=first_text(vget("doc", "$.name"), meta("slug")),
-        title=text("item", "$.title"),
-        location=joined(vget("item", "$.city"), vget("item", "$.state"), vget("item", "$.country")),
-        description=strip_tags(vget("item", "$.description")),
-        posted_at=parse_date_iso(vget("item", "$.published_on")),
-        remote=vget("item", "$.telecommuting", "boolean"),
+        title=first_text(F.col("f.title")),
+        location=joined(F.col("f.city"), F.col("f.state"), F.col("f.country")),
+        description=strip_tags(F.col("f.description")),
+        posted_at=parse_date_iso(F.col("f.published_on")),
+        remote=F.col("f.telecommuting"),
     )

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.dates import parse_date_iso
 from ..functions.keys import host_tenant
 from ..functions.text import strip_tags
-from .base import first_text, first_wins, items, meta, sightings, text, vget
+from .base import first_text, first_wins, items, meta, sightings, vget, with_fields
 
-_SITE = ["fetched_at", "host", "site", "path"]
+# `key` is a hash of the columns after it: sorting by it first spares comparing texts that are mostly the same.
+_SITE = ["key", "fetched_at", "host", "site", "path"]
 
 
 def _site_rows(payloads: DataFrame, source: str) -> DataFrame:
@@ -19,6 +20,10 @@ def _site_rows(payloads: DataFrame, source: str) -> DataFrame:
     return payloads.filter((F.col("source") == source) & whole)
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("key", F.xxhash64(*_SITE[1:]))
+
+
 def _places(primary: Column, others: Column) -> Column:
     all_places = F.concat(F.array(primary), F.coalesce(others, F.array().cast("array<string>")))
     return F.filter(all_places, lambda p: F.coalesce(p, F.lit("")) != "")
@@ -28,46 +33,52 @@ def workday(payloads: DataFrame) -> DataFrame:
     """List entries joined to their detail replies; without a detail the list entry stands alone."""
     pages = _site_rows(payloads, "workday")
     site = [meta("host").alias("host"), meta("site").alias("site")]
-    listed = (
-        items(pages.filter(meta("kind") == "list"), "workday", "$.jobPostings")
-        .select("*", *site, text("item", "$.externalPath").alias("path"))
-        .filter(F.col("path") != "")
-    )
+    # What the rows show is read before the join, so that neither replies nor their tags have to cross it.
+    listed = with_fields(
+        items(pages.filter(meta("kind") == "list"), "workday", "$.jobPostings"), "item",
+        "externalPath string, title string, locationsText string")
+    listed = _keyed(
+        listed.select("fetched_at", "page", "item_no", "item", *site, F.col("f.externalPath").alias("path"),
+                      F.struct(meta("lang").alias("lang"), meta("tenant").alias("tenant"), meta("name").alias("name"),
+                               "f.title", "f.locationsText").alias("entry"))
+        .filter(F.col("path") != ""))
     listed = first_wins(listed, _SITE, ["page", "item_no"])
     detail = (
         pages.filter(meta("kind") == "detail")
-        .select("fetched_at", "page", *site, meta("path").alias("path"),
-                vget(F.try_parse_json("payload"), "$.jobPostingInfo", "variant").alias("info"))
+        .select("fetched_at", "page", *site, meta("path").alias("path"), F.try_parse_json("payload").alias("doc"))
+        .select("fetched_at", "page", "host", "site", "path",
+                F.explode(F.array(vget("doc", "$.jobPostingInfo", "variant"))).alias("info"))
         .filter(F.col("info").isNotNull())
     )
-    detail = first_wins(detail, _SITE, ["page"]).drop("page")
+    detail = with_fields(
+        detail, "info", "externalUrl string, title string, location string, additionalLocations array<string>, "
+        "jobDescription string, startDate string", "shown").drop("info")
+    detail = first_wins(_keyed(detail), _SITE, ["page"]).drop("page")
     rows = listed.join(detail, _SITE, "left")
 
-    places = _places(vget("info", "$.location"), vget("info", "$.additionalLocations", "array<string>"))
-    rows = rows.withColumn("places", F.when(F.size(places) > 0, places).otherwise(
-        F.array(text("item", "$.locationsText"))))
-    rows = rows.select("*", F.posexplode("places").alias("place_no", "place"))
+    places = _places(F.col("shown.location"), F.col("shown.additionalLocations"))
+    rows = rows.select("*", F.posexplode_outer(places).alias("place_no", "place"))
     link = F.concat(F.lit("https://"), F.col("host"), F.lit("/"),
-                    F.coalesce(meta("lang"), F.lit("en-US")), F.lit("/"), F.col("site"), F.col("path"))
-    tenant = first_text(meta("tenant"), host_tenant(F.col("host")))
+                    F.coalesce(F.col("entry.lang"), F.lit("en-US")), F.lit("/"), F.col("site"), F.col("path"))
+    tenant = first_text(F.col("entry.tenant"), host_tenant(F.col("host")))
     return sightings(
         rows.withColumn("item_no", item_and_place()), "workday",
-        url=first_text(vget("info", "$.externalUrl"), link),
-        company=first_text(meta("name"), tenant),
-        title=first_text(vget("info", "$.title"), vget("item", "$.title")),
-        location=F.col("place"),
-        description=strip_tags(vget("info", "$.jobDescription")),
-        posted_at=parse_date_iso(vget("info", "$.startDate")),
+        url=first_text(F.col("shown.externalUrl"), link),
+        company=first_text(F.col("entry.name"), tenant),
+        title=first_text(F.col("shown.title"), F.col("entry.title")),
+        location=F.coalesce("place", "entry.locationsText", F.lit("")),
+        description=strip_tags(F.col("shown.jobDescription")),
+        posted_at=parse_date_iso(F.col("shown.startDate")),
     )
 
 
 def item_and_place() -> Column:
-    """Order of an item's places inside the page's order of items, as one number.
+    """Order of an item's places (null: it has none) inside the page's order of items, as one number.
 
     An array holds fewer than 2**31 elements, so item_no * 2**31 + place_no never collides and keeps the order of
     (item_no, place_no), whatever the number of places.
     """
-    return F.col("item_no").cast("bigint") * (1 << 31) + F.col("place_no")
+    return F.col("item_no").cast("bigint") * (1 << 31) + F.coalesce("place_no", F.lit(0))
 
 
 def oracle(payloads: DataFrame) -> DataFrame:
@@ -76,21 +87,20 @@ def oracle(payloads: DataFrame) -> DataFrame:
         is_object = F.schema_of_variant(v).startswith("OBJECT")
         return F.when(is_object, vget(v, "$.Name")).otherwise(vget(v, "$"))
 
-    rows = (
-        items(_site_rows(payloads, "oracle"), "oracle", "$.items[0].requisitionList")
-        .withColumn("id", text("item", "$.Id")).filter(F.col("id") != "")
-    )
-    others = F.transform(vget("item", "$.secondaryLocations", "array<variant>"), name)
-    places = _places(vget("item", "$.PrimaryLocation"), others)
-    rows = rows.withColumn("places", F.when(F.size(places) > 0, places).otherwise(F.array(F.lit(""))))
-    rows = rows.select("*", F.posexplode("places").alias("place_no", "place"))
+    rows = with_fields(
+        items(_site_rows(payloads, "oracle"), "oracle", "$.items[0].requisitionList"), "item",
+        "Id string, Title string, PostedDate string, ShortDescriptionStr string, PrimaryLocation string, "
+        "secondaryLocations array<variant>")
+    rows = rows.filter(F.col("f.Id") != "")
+    places = _places(F.col("f.PrimaryLocation"), F.transform("f.secondaryLocations", name))
+    rows = rows.select("*", F.posexplode_outer(places).alias("place_no", "place"))
     return sightings(
         rows.withColumn("item_no", item_and_place()), "oracle",
         url=F.concat(F.lit("https://"), meta("host"), F.lit("/hcmUI/CandidateExperience/en/sites/"),
-                     meta("site"), F.lit("/job/"), F.col("id")),
+                     meta("site"), F.lit("/job/"), F.col("f.Id")),
         company=host_tenant(meta("host"), meta("name")),
-        title=text("item", "$.Title"),
-        location=F.col("place"),
-        description=strip_tags(vget("item", "$.ShortDescriptionStr")),
-        posted_at=parse_date_iso(vget("item", "$.PostedDate")),
+        title=first_text(F.col("f.Title")),
+        location=F.coalesce("place", F.lit("")),
+        description=strip_tags(F.col("f.ShortDescriptionStr")),
+        posted_at=parse_date_iso(F.col("f.PostedDate")),
     )

@@ -180,3 +180,48 @@ def test_verdict_file(spark, tmp_path):
     g.write_text("url\nhttps://x/9\n")
     assert src.read_verdicts(spark, str(g)).drop("seq").first().asDict() == {
         "url": "https://x/9", "score": None, "status": None, "report_num": None}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tenants_read_each_reply_once(landed):
+    """Every reply is parsed once and its fields are read once; before, filters and date readers read them again."""
+    rows = landed(("workday", {}, {"kind": "list"}), ("oracle", {}, {}), ("workable", {}, {}))
+    shown = ["url", "company", "title", "location", "description", "posted_at"]
+    for name, parses, reads in (("workday", 2, 4), ("oracle", 1, 4), ("workable", 1, 3)):
+        plan = _plan(src.read_sources(rows, only=name).select(*shown))
+        assert plan.count("parseJson") == parses and plan.count("try_variant_get") <= reads, name
+
+
+def test_tenants_without_fields_or_places(landed):
+    """Items that are no objects, fields of another kind and empty place lists give what single reads gave."""
+    site = {"host": "a.wd3.x.com", "site": "S", "lang": "de-DE"}
+    items = [7, {"externalPath": "/j/1", "title": {"t": 1}, "locationsText": "Leeds"}, {"externalPath": "/j/1", "title": "again"},
+             {"externalPath": "/j/2"}, {"title": "no path"}]
+    rows = _rows(src.read_sources(landed(
+        ("workday", {"jobPostings": items}, {"kind": "list", **site}),
+        ("workday", {"jobPostingInfo": None}, {"kind": "detail", "path": "/j/1", **site}),
+        ("workday", {"jobPostingInfo": {"title": "T", "location": "", "additionalLocations": ["", "Bonn", "Köln"],
+                                        "startDate": "2026-02-30"}}, {"kind": "detail", "path": "/j/2", **site})), only="workday"))
+    assert [(r["url"][-4:], r["title"], r["location"], r["posted_at"]) for r in rows] == [
+        ("/j/1", '{"t":1}', "Leeds", None), ("/j/2", "T", "Bonn", None), ("/j/2", "T", "Köln", None)]
+    assert "de-DE" in rows[0]["url"] and rows[0]["raw"] == json.dumps(items[1], separators=(",", ":"), sort_keys=True)
+    reqs = [None, 3, {"Id": 5, "Title": None, "PrimaryLocation": "", "secondaryLocations": [{"Name": "Rom"}, "Paris", {"x": 1}, None]},
+            {"Id": "", "Title": "none"}, {"Id": "6", "secondaryLocations": "Leeds"}]
+    rows = _rows(src.read_sources(landed(("oracle", {"items": [{"requisitionList": reqs}]}, {"host": "h", "site": "s"})), only="oracle"))
+    assert [(r["url"][-6:], r["title"], r["location"]) for r in rows] == [
+        ("/job/5", "", "Rom"), ("/job/5", "", "Paris"), ("/job/6", "", "")]
+
+
+def test_landing_packs_all_sources_in_one_pass(spark):
+    """One join of the tables for all providers; before, one for each of the six."""
+    import re
+
+    from sightline.plans import fixtures as fx
+    from sightline.plans.q_sources import landed_replies
+    out = landed_replies(fx.sightings(spark, "/root/testdata/sf0.001"))
+    assert re.findall(r"Relation \[([a-z]+)_", _plan(out)).count("l") == 1
+    assert {r["source"] for r in out.select("source").distinct().collect()} <= {
+        "adzuna", "reed", "greenhouse", "ashby", "workable", "oracle"}
