@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import sources as src
@@ -46,13 +46,22 @@ def _sql(source: str, where: str = "true", **cols: str) -> str:
     return f"with {SIGHTINGS} select '{source}' as source, {shown} from v1 where {where}"
 
 
-def _payloads(rows: DataFrame, source: str, payload, **meta) -> DataFrame:
-    """One landed reply per sighting."""
+def _reply(source: str, payload, **meta) -> dict:
+    """What a landed reply says of itself, by column."""
     pairs = [x for k, v in meta.items() for x in (F.lit(k), v)]
     tags = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+    return {"source": F.lit(source), "payload": payload, "meta": tags}
+
+
+def _land(rows: DataFrame, reply: dict) -> DataFrame:
+    """One landed reply per sighting."""
     return rows.select(
-        F.lit(source).alias("source"), payload.alias("payload"), "fetched_at",
-        F.xxhash64("pos").alias("page"), tags.alias("meta"))
+        reply["source"].alias("source"), reply["payload"].alias("payload"), "fetched_at",
+        F.xxhash64("pos").alias("page"), reply["meta"].alias("meta"))
+
+
+def _payloads(rows: DataFrame, source: str, payload, **meta) -> DataFrame:
+    return _land(rows, _reply(source, payload, **meta))
 
 
 def _obj(**cols):
@@ -68,7 +77,7 @@ def _markup():
     return F.concat(F.lit(" <p>"), F.col("description"), F.lit("</p>\n"))
 
 
-def adzuna_replies(rows: DataFrame) -> DataFrame:
+def adzuna_reply() -> dict:
     item = _obj(
         redirect_url=F.col("url"), title=F.concat(F.lit("<strong>"), "title", F.lit("</strong>")),
         company=_obj(display_name=F.col("company")), location=_obj(display_name=F.col("location")),
@@ -78,7 +87,11 @@ def adzuna_replies(rows: DataFrame) -> DataFrame:
         redirect_url=F.lit(""), title=F.col("title"), company=_obj(display_name=F.col("company")),
         location=_obj(display_name=F.col("location")), description=F.col("description"), created=_day(),
         salary_min=F.col("salary_min"), salary_max=F.col("salary_max"))
-    return _payloads(rows, "adzuna", F.to_json(_obj(results=F.array(no_link, item))), country=F.lit("gb"))
+    return _reply("adzuna", F.to_json(_obj(results=F.array(no_link, item))), country=F.lit("gb"))
+
+
+def adzuna_replies(rows: DataFrame) -> DataFrame:
+    return _land(rows, adzuna_reply())
 
 
 @query("src_adzuna", _sql("adzuna", posted_at="posted_at", salary_min="salary_min",
@@ -87,13 +100,17 @@ def src_adzuna(spark, sf):
     return _shown(adzuna(adzuna_replies(fx.sightings(spark, sf))))
 
 
-def reed_replies(rows: DataFrame) -> DataFrame:
+def reed_reply() -> dict:
     day = F.when(F.col("l_linestatus") == "F", _day("dd/MM/yyyy")).otherwise(_day())
     item = _obj(
         jobId=F.xxhash64("pos"), jobUrl=F.col("url"), jobTitle=F.col("title"), employerName=F.col("company"),
         locationName=F.col("location"), jobDescription=_markup(), date=day,
         minimumSalary=F.col("salary_min"), maximumSalary=F.col("salary_max"))
-    return _payloads(rows, "reed", F.to_json(_obj(results=F.array(item))), kind=F.lit("search"))
+    return _reply("reed", F.to_json(_obj(results=F.array(item))), kind=F.lit("search"))
+
+
+def reed_replies(rows: DataFrame) -> DataFrame:
+    return _land(rows, reed_reply())
 
 
 @query("src_reed", _sql("reed", jd_full="false", posted_at="posted_at", salary_min="salary_min",
@@ -171,11 +188,15 @@ def src_html_cards(spark, sf):
     return _shown(linkedin(linkedin_replies(fx.sightings(spark, sf))))
 
 
-def greenhouse_replies(rows: DataFrame) -> DataFrame:
+def greenhouse_reply() -> dict:
     content = F.concat(F.lit("&lt;p class=&quot;x&quot;&gt;"), F.replace(F.col("description"), F.lit("&"), F.lit("&amp;")),
                        F.lit("&lt;/p&gt;"))
     item = _obj(absolute_url=F.col("url"), title=F.col("title"), location=_obj(name=F.col("location")), content=content)
-    return _payloads(rows, "greenhouse", F.to_json(_obj(jobs=F.array(item))), slug=F.col("company"))
+    return _reply("greenhouse", F.to_json(_obj(jobs=F.array(item))), slug=F.col("company"))
+
+
+def greenhouse_replies(rows: DataFrame) -> DataFrame:
+    return _land(rows, greenhouse_reply())
 
 
 @query("src_greenhouse", _sql("greenhouse"))
@@ -198,10 +219,14 @@ def src_lever(spark, sf):
     return _shown(lever(lever_replies(fx.sightings(spark, sf))))
 
 
-def ashby_replies(rows: DataFrame) -> DataFrame:
+def ashby_reply() -> dict:
     item = _obj(jobUrl=F.when(F.col("l_returnflag") != "A", F.col("url")), title=F.col("title"),
                 location=F.col("location"), descriptionPlain=F.col("description"))
-    return _payloads(rows, "ashby", F.to_json(_obj(jobs=F.array(item))), slug=F.col("company"))
+    return _reply("ashby", F.to_json(_obj(jobs=F.array(item))), slug=F.col("company"))
+
+
+def ashby_replies(rows: DataFrame) -> DataFrame:
+    return _land(rows, ashby_reply())
 
 
 @query("src_ashby", _sql("ashby", where="l_returnflag <> 'A'"))
@@ -209,7 +234,7 @@ def src_ashby(spark, sf):
     return _shown(ashby(ashby_replies(fx.sightings(spark, sf))))
 
 
-def workable_replies(rows: DataFrame) -> DataFrame:
+def workable_reply() -> dict:
     flag, line = F.col("l_returnflag"), F.col("l_linestatus")
     item = _obj(
         url=F.when(flag == "A", F.col("url")).otherwise(""), shortlink=F.when(flag == "N", F.col("url")),
@@ -217,7 +242,11 @@ def workable_replies(rows: DataFrame) -> DataFrame:
         state=F.lit(""), country=F.col("r_name"), description=_markup(), published_on=_day(),
         telecommuting=F.when(flag != "R", line == "F"))
     payload = F.to_json(_obj(name=F.when(line == "F", F.col("company")), jobs=F.array(item)))
-    return _payloads(rows, "workable", payload, slug=F.lit("slug"))
+    return _reply("workable", payload, slug=F.lit("slug"))
+
+
+def workable_replies(rows: DataFrame) -> DataFrame:
+    return _land(rows, workable_reply())
 
 
 @query("src_workable", _sql(
@@ -259,7 +288,7 @@ def src_workday(spark, sf):
     return _shown(workday(workday_replies(fx.sightings(spark, sf))))
 
 
-def oracle_replies(rows: DataFrame) -> DataFrame:
+def oracle_reply() -> dict:
     """Other places are objects in some replies and plain text in others."""
     flag = F.col("l_returnflag")
     req = lambda others: F.to_json(_obj(items=F.array(_obj(TotalJobsCount=F.lit(1), requisitionList=F.array(_obj(
@@ -269,8 +298,12 @@ def oracle_replies(rows: DataFrame) -> DataFrame:
         F.when(flag == "A", req(F.array(_obj(Name=F.col("s_nation")))))
         .when(flag == "N", req(F.array(F.col("s_nation"), F.lit(""))))
         .otherwise(req(F.lit(None).cast("array<string>"))))
-    return _payloads(rows, "oracle", payload, host=F.lit("acme.oc.example.com"), site=F.lit("CX_1"),
-                     name=F.when(F.col("l_linestatus") == "F", F.col("company")).otherwise(""))
+    return _reply("oracle", payload, host=F.lit("acme.oc.example.com"), site=F.lit("CX_1"),
+                  name=F.when(F.col("l_linestatus") == "F", F.col("company")).otherwise(""))
+
+
+def oracle_replies(rows: DataFrame) -> DataFrame:
+    return _land(rows, oracle_reply())
 
 
 @query("src_oracle", f"""
@@ -287,17 +320,21 @@ def src_oracle(spark, sf):
 
 
 # Which provider stands for which part type when all sources are landed together.
-_AS = {"economy": (adzuna_replies, "adzuna"), "large": (reed_replies, "reed"),
-       "medium": (greenhouse_replies, "greenhouse"), "promo": (ashby_replies, "ashby"),
-       "small": (workable_replies, "workable"), "standard": (oracle_replies, "oracle")}
+_AS = {"economy": adzuna_reply, "large": reed_reply, "medium": greenhouse_reply, "promo": ashby_reply,
+       "small": workable_reply, "standard": oracle_reply}
 
 
 def landed_replies(rows: DataFrame) -> DataFrame:
-    parts = [pack(rows.filter(F.col("source") == kind)) for kind, (pack, _) in _AS.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Each sighting as its provider's reply, all in one pass over the rows."""
+    replies = {kind: reply() for kind, reply in _AS.items()}
+
+    def of_kind(name: str) -> Column:
+        out = F  # the first `when` is the function's, the others are the column's
+        for kind, reply in replies.items():
+            out = out.when(F.col("source") == kind, reply[name])
+        return out
+
+    return _land(rows.filter(F.col("source").isin(*replies)), {c: of_kind(c) for c in ("source", "payload", "meta")})
 
 
 def landing_table(spark, sf: str) -> DataFrame:
