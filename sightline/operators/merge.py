@@ -75,7 +75,8 @@ def _stored(name: str) -> Column:
     return clean_url(F.col(name)) if name.endswith(".url") else F.col(name)
 
 
-def _combine(snapshot: DataFrame, seen: DataFrame, hours: int, priority: Sequence[str]) -> DataFrame:
+def _combine(snapshot: DataFrame, seen: DataFrame, hours: int, priority: Sequence[str],
+             content: Sequence[str] = CONTENT) -> DataFrame:
     """Full outer join of the table with (vacancy_key, gen, first_seen, last_seen, first, cities).
 
     Only the earliest new generation of a key can continue the latest row of the key. The window that
@@ -103,7 +104,7 @@ def _combine(snapshot: DataFrame, seen: DataFrame, hours: int, priority: Sequenc
         "job_id": job_id(F.col("new.vacancy_key"), F.col("new.first_seen")),
         "vacancy_key": F.col("new.vacancy_key"), "status": F.lit("new"),
         "first_seen": F.col("new.first_seen"), "last_seen": F.col("new.last_seen"),
-        **{c: _stored(f"new.first.{c}") for c in CONTENT},
+        **{c: _stored(f"new.first.{c}") for c in content},
     }
 
     def value(name: str) -> Column:
@@ -123,17 +124,18 @@ def _combine(snapshot: DataFrame, seen: DataFrame, hours: int, priority: Sequenc
 
 def merge_scan(
     snapshot: DataFrame, keyed: DataFrame, scan_ts: datetime | Column, hours: int,
-    priority: Sequence[str] = DEFAULT_PRIORITY, order: Sequence[str] = ORDER,
+    priority: Sequence[str] = DEFAULT_PRIORITY, order: Sequence[str] = ORDER, content: Sequence[str] = CONTENT,
 ) -> DataFrame:
     """Merge the kept sightings of one scan; adds `change` = kept | merged | new.
 
+    `content`: what a new row takes from its first sighting; the rest of it stays null.
     A sighting of a live row refreshes `last_seen` and may add a city; any other opens a new row.
     All sightings of one scan share its clock.
     """
     ts = scan_ts if isinstance(scan_ts, Column) else F.lit(scan_ts)
-    seen = first_per_key(keyed, order).withColumns(
+    seen = first_per_key(keyed, order, content).withColumns(
         {"gen": F.lit(1), "first_seen": ts, "last_seen": ts})
-    return _combine(snapshot, seen, hours, priority)
+    return _combine(snapshot, seen, hours, priority, content)
 
 
 def merge_log(
@@ -215,7 +217,7 @@ def number_gaps(buckets: DataFrame, key: str, hours: int) -> DataFrame:
 
 def generation_rows(gens: DataFrame, content: Sequence[str] = CONTENT) -> DataFrame:
     """Generations in table shape, status `new`."""
-    fields = [f for f in gens.schema["first"].dataType.fieldNames()]
+    fields = gens.schema["first"].dataType.fieldNames() if "first" in gens.columns else []
     return gens.select(
         job_id(F.col("vacancy_key"), F.col("first_seen")).alias("job_id"), "vacancy_key",
         *[_stored(f"first.{c}").alias(c) for c in content if c in fields],

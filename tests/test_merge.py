@@ -215,3 +215,22 @@ def test_sightings_carry_keys_through_the_joins_and_cities_need_no_shuffle(spark
     assert read.count("l") == 1 and read.count("o") == 1
     known = {r["location"] for r in fx.locations(spark, sf).collect()}
     assert {r["location"] for r in fx.sightings(spark, sf).select("location").distinct().collect()} <= known
+
+
+def test_merged_queries_carry_only_the_content_they_show(spark):
+    """Texts a query does not show are not read for its merge, and the replay's log is joined once; before, they were."""
+    import re
+
+    from sightline.plans import q_merge
+    sf = "/root/testdata/sf0.001"
+    plan = q_merge.merged(spark, sf, ("source",)).select("source", "change")._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by(" in plan and "c_mktsegment#" not in "".join(re.findall(r"Project \[.*", plan))
+    plan = q_merge.expire_replayed(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan
+
+
+def test_merge_scan_takes_only_the_content_asked_for(spark):
+    rows = sightings(spark, [(T0, "adzuna", "Cook", "London"), (T0, "reed", "Cook", "Leeds")])
+    out = merge.merge_scan(merge.empty_snapshot(spark), rows, F.lit(T0), H, content=("source", "url")).collect()
+    assert [(r["source"], r["url"], r["title"], r["company"], r["locations"], r["change"]) for r in out] == [
+        ("adzuna", "https://x/0", None, None, ["London", "Leeds"], "new")]
