@@ -23,6 +23,8 @@ from ..schema import CONTENT, VACANCY
 from ..session import cut_lineage
 
 ORDER = ("source_rank", "pos")
+#: Hours of the window from which on the buckets of one key are few enough for one task: at most one a day.
+LONG_WINDOW = 24
 
 
 def with_identity(
@@ -191,11 +193,19 @@ def number_gaps(buckets: DataFrame, key: str, hours: int) -> DataFrame:
     """`buckets` (key, bucket, t0, t1, ...) with `gen`: a bucket opens a generation when it starts more than `hours`
     after the one before it of its key.
 
-    A gap scan with a carry. The buckets are cut into ranges by a range partitioning on (key, bucket), so a key with a
-    very long history, or a window of zero hours, spans many ranges and tasks. Each range numbers its own gaps; per
-    range only (key, range, last t1, gaps) goes on, and those few rows give each range the last clock of the range
+    From a window of LONG_WINDOW hours on, a key has at most a bucket a day of its history, so its buckets are lined up by
+    one shuffle by key, which the grouping into generations and a merge by key use again.
+
+    Shorter windows: a gap scan with a carry. The buckets are cut into ranges by a range partitioning on (key, bucket), so a
+    key with a very long history, or a window of zero hours, spans many ranges and tasks. Each range numbers its own gaps;
+    per range only (key, range, last t1, gaps) goes on, and those few rows give each range the last clock of the range
     before it and the generations opened before it.
     """
+    if hours >= LONG_WINDOW:
+        along = Window.partitionBy(key).orderBy("bucket")
+        opens = F.coalesce(F.col("t0") > F.lag("t1").over(along) + _hours(hours), F.lit(False))
+        return buckets.withColumn("_opens", opens.cast("int")).withColumn(
+            "gen", F.sum("_opens").over(along.rowsBetween(Window.unboundedPreceding, 0)) + 1).drop("_opens")
     ranged = cut_lineage(buckets.repartitionByRange(key, "bucket").withColumn("_range", F.spark_partition_id()),
                          "generation-ranges")
     inside = Window.partitionBy(key, "_range").orderBy("bucket")
