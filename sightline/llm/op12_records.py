@@ -23,12 +23,13 @@ empty table writes no shard and an empty index and reads back as an empty table.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import zstandard
@@ -41,8 +42,17 @@ from sightline.llm.common import cut_lineage, small_batches
 SHARD_BYTES = 16_000_000
 #: Fixed values of the checksum mask.
 MASK_DELTA, MASK_ROTATE = 0xA282EAD8, 15
-#: Split words a Python worker remembers; only speed depends on it.
-MEMO = 500_000
+#: Split words a Python worker remembers, and the longest it remembers; only speed depends on them.
+MEMO, MEMO_CHARS = 300_000, 64
+#: Last code point up to which str.lower and a plain pattern do what the library's normalizer and split pattern do: such
+#: texts are in NFC and have no letter whose lower case depends on its place.
+LATIN = "\u017f"
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for lower-cased texts up to LATIN (U+0130 becomes i and U+0307, which is no letter).
+_L, _N, _S = "a-zªµºß-öø-\u017f", "0-9²³¹¼½¾", " \t-\r\x85\xa0"
+LATIN_WORDS = f"[{_L}]+|[{_N}]|'(?:s|t|re|ve|m|ll|d)|[^{_S}{_L}{_N}]+"
 
 RECORDS = "doc_id long, range int, file int, record long, offset long, n_tokens long, ids_crc32 long, within long"
 
@@ -74,10 +84,14 @@ def unframe(blob: bytes) -> Iterator[tuple[int, bytes]]:
         raise ValueError(f"{len(blob) - at} bytes after the last record")
 
 
-class WordEncoder:
-    """The library's normalizer and BPE model; split pattern and byte-level alphabet taken from its pre-tokenizer."""
+class WordEncoder(dict):
+    """The library's normalizer and BPE model; split pattern and byte-level alphabet taken from its pre-tokenizer.
+
+    As a dict it is a bounded memory: split word -> its ids as the bytes of an int32 array.
+    """
 
     def __init__(self, path: str):
+        super().__init__()
         import json
 
         from tokenizers import Tokenizer
@@ -88,61 +102,65 @@ class WordEncoder:
         split = [x for x in steps if x["type"] == "Split"]
         if len(split) != 1 or not split[0]["invert"] or [x["type"] for x in steps] != ["Split", "ByteLevel"]:
             raise ValueError("only a split pattern followed by a byte-level step is known here")
+        pattern = split[0]["pattern"]["Regex"]
         # The library's \s is Unicode White_Space.
-        self.find = regex.compile(split[0]["pattern"]["Regex"].replace("\\s", "\\p{White_Space}")).findall
+        self.find = regex.compile(pattern.replace("\\s", "\\p{White_Space}")).findall
         self.normalize, self.model = tok.normalizer.normalize_str, tok.model
+        # Below LATIN the library's normalizer, if it is the one known here, is str.lower but for white space, which the
+        # pattern, if it is the one known here, drops.
+        known = config["normalizer"] == NORMALIZER and pattern == WORDS
+        self.other = re.compile(f"[^\\x00-{LATIN}]").search if known else None
+        self.find_latin = re.compile(LATIN_WORDS).findall
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in shown]
         self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.memo: dict = {}
         # Added tokens are found in the raw text first, longest first; the text between them is encoded as usual.
         added = sorted(config.get("added_tokens", []), key=lambda t: -len(t["content"]))
         if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
             raise ValueError("only added tokens matched as they are written are known here")
         self.added = {t["content"]: t["id"] for t in added}
-        self.cut = regex.compile("|".join(regex.escape(t["content"]) for t in added)) if added else None
-
-    def words(self, text: str | None) -> list:
+        self.cut = re.compile("|".join(re.escape(t["content"]) for t in added)) if added else None
+
+    def __missing__(self, word: str) -> bytes:
+        mapped = "".join([self.alphabet[b] for b in word.encode("utf-8", "surrogatepass")])
+        out = array("i", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        if len(word) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = out
+        return out
+
+    def words(self, text: str) -> list[str]:
+        if self.other is not None and (text.isascii() or not self.other(text)):
+            return self.find_latin(text.lower())
+        return self.find(self.normalize(text))
+
+    def encode(self, text: str | None) -> np.ndarray:
         if not text:
-            return []
+            return np.zeros(0, np.int32)
         if self.cut is None or not self.cut.search(text):
-            return self.find(self.normalize(text))
-        out: list = []
-        at = 0
+            return np.frombuffer(b"".join(map(self.__getitem__, self.words(text))), np.int32)
+        out, at = [], 0
         for m in self.cut.finditer(text):
-            out += self.find(self.normalize(text[at:m.start()]))
-            out.append(("added", self.added[m.group()]))
+            out += map(self.__getitem__, self.words(text[at:m.start()]))
+            out.append(array("i", [self.added[m.group()]]).tobytes())
             at = m.end()
-        return out + self.find(self.normalize(text[at:]))
-
-    def ids(self, word) -> np.ndarray:
-        if isinstance(word, tuple):
-            return np.array([word[1]], np.int64)
-        got = self.memo.get(word)
-        if got is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            mapped = "".join(self.alphabet[b] for b in word.encode("utf-8", "surrogatepass"))
-            got = self.memo[word] = np.array([t.id for t in self.model.tokenize(mapped)], np.int64)
-        return got
-
-    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        words = [self.words(t) for t in texts]
-        flat = [w for ws in words for w in ws]
-        if not flat:
-            return [np.zeros(0, np.int64) for _ in texts]
-        codes, uniques = pd.factorize(pd.Series(flat, dtype=object), sort=False)
-        pieces = [self.ids(w) for w in uniques]
-        lengths = np.array([len(x) for x in pieces], np.int64)
-        table = np.concatenate(pieces)
-        offsets = np.concatenate(([0], np.cumsum(lengths)))
-        size = lengths[codes]
-        at = np.repeat(offsets[codes] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        out = table[at]
-        cut = np.cumsum([len(ws) for ws in words])
-        word_ends = np.concatenate(([0], np.cumsum(size)))
-        bounds = word_ends[np.concatenate(([0], cut))]
-        return [out[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        out += map(self.__getitem__, self.words(text[at:]))
+        return np.frombuffer(b"".join(out), np.int32)
+
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        return [self.encode(t) for t in texts]
+
+
+#: The last encoder of this Python worker, so that tasks that follow each other share its memory.
+_last: dict[str, WordEncoder] = {}
+
+
+def _encoder(path: str) -> WordEncoder:
+    if path not in _last:
+        _last.clear()
+        _last[path] = WordEncoder(path)
+    return _last[path]
 
 
 def serialize(doc_id, ids: np.ndarray, packer) -> bytes:
@@ -168,7 +186,7 @@ def write_records(df: DataFrame, path: str, tokenizer_path: str, end_id: int, id
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("seq")]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = WordEncoder(tokenizer_path)
+        enc = _encoder(tokenizer_path)
         packer = zstandard.ZstdCompressor(level=3)
         held, size = [], 0
         for part in parts:

@@ -63,3 +63,21 @@ def test_wide_ids_and_null_ids_serialize():
     for doc_id in (None, 5, -3):
         back = rec.deserialize(rec.serialize(doc_id, ids, zstandard.ZstdCompressor()), zstandard.ZstdDecompressor())
         assert back[0] == doc_id and back[1].tolist() == ids.tolist()
+
+
+def test_encoder_takes_latin_texts_past_the_normalizer_and_remembers_words():
+    """Latin texts are split as the library splits them without its normalizer; tasks of a worker share one memory.
+    Before, every text went through the normalizer and every task began with an empty memory."""
+    import random
+
+    rng = random.Random(5)
+    texts = [f"a{chr(c)}B {chr(c)}1'S" for c in range(0x180)]
+    texts += ["".join(rng.choice([chr(rng.randrange(0x180)), "Ab", " ", "'ll", "12"]) for _ in range(40)) for _ in range(500)]
+    want = [e.ids for e in Tokenizer.from_file(WORDS).encode_batch(texts, add_special_tokens=False)]
+    enc = rec._encoder(WORDS)
+    normalize, enc.normalize = enc.normalize, None
+    try:
+        assert [g.tolist() for g in enc.encode_many(texts)] == want
+    finally:
+        enc.normalize = normalize
+    assert rec._encoder(WORDS) is enc and "ab" in enc
