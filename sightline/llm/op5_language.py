@@ -42,18 +42,18 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, lows), np.int64, len(lows)) + 1
     codes = np.frombuffer("\n".join([*lows, ""]).encode("utf-32-le"), np.uint32)
     letter = np.where(codes < 0x10000, _LETTER[np.minimum(codes, 0xFFFF)], True)
-    text = np.repeat(np.arange(len(lows)), sizes)
+    text = np.repeat(np.arange(len(lows), dtype=np.int32), sizes)
     keep = letter.copy()
     keep[1:] |= letter[:-1]
     keep[np.cumsum(sizes) - sizes] = True
     c = np.where(letter, codes, 32).astype(np.uint32)[keep]
     text = text[keep]
     if len(c) < 3:
-        return np.zeros(0, np.int64), np.zeros(len(lows) + 1, np.int64)
+        return np.zeros(0, np.int32), np.zeros(len(lows) + 1, np.int64)
     h = (c[:-2] * np.uint32(0x9E3779B1) ^ c[1:-1] * np.uint32(0x85EBCA77) ^ c[2:] * np.uint32(0xC2B2AE3D))
     h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
     ok = text[:-2] == text[2:]
-    feature = (h >> np.uint32(16)).astype(np.int64)[ok]
+    feature = (h >> np.uint32(16)).astype(np.int32)[ok]
     return feature, np.searchsorted(text[:-2][ok], np.arange(len(lows) + 1))
 
 
@@ -79,7 +79,7 @@ def train(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text
             for lang in sorted(set(labels)):
                 own = np.repeat([x == lang for x in labels], np.diff(ends))
                 hit, n = np.unique(feature[own], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hit), pa.string()), pa.array(hit), pa.array(n)],
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hit), pa.string()), pa.array(hit, pa.int64()), pa.array(n)],
                                                  names=["label", "feature", "n"])
 
     counts = (small_batches(rows).mapInArrow(count, "label string, feature long, n long")
@@ -104,9 +104,13 @@ def with_text_evidence(docs: DataFrame, model: Model, at: str, name: str) -> Dat
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             feature, ends = trigrams(part.column(where).to_pylist())
-            sums = np.stack([np.concatenate(([0.0], np.cumsum(shared.value[feature, k], dtype=np.float64))) for k in range(n)])
+            got = np.empty((n, part.num_rows))
+            # One language at a time: running sums over all trigrams of a batch are large, and a worker holds one of them.
+            for k in range(n):
+                sums = np.concatenate(([0.0], np.cumsum(shared.value[feature, k], dtype=np.float64)))
+                got[k] = sums[ends[1:]] - sums[ends[:-1]]
             length = np.diff(ends)
-            got = (sums[:, ends[1:]] - sums[:, ends[:-1]]) * np.minimum(1.0, EVIDENCE / np.maximum(length, 1))
+            got *= np.minimum(1.0, EVIDENCE / np.maximum(length, 1))
             values = pa.FixedSizeListArray.from_arrays(pa.array(got.T.ravel()), n).cast(pa.list_(pa.float64()))
             values = pa.array([v if k else None for v, k in zip(values.to_pylist(), length, strict=True)], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*part.columns, values], names=[*part.schema.names, name])

@@ -89,3 +89,29 @@ def test_edge_cases(spark, edge_docs, no_docs):
     assert lang.identify(no_docs, F.col("lang"), F.col("source")).collect() == []
     unlabelled = edge_docs.withColumn("lang", F.lit(None).cast("string"))
     assert lang.keep_identified(unlabelled, F.col("lang"), F.col("source")).count() == 0
+
+
+def test_text_evidence_holds_one_language_of_a_batch_at_a_time(monkeypatch):
+    """The largest arrays of a batch take some 40 bytes a character, whatever the number of languages; before, 8 more
+    for every language, twice."""
+    import tracemalloc
+    from types import SimpleNamespace as Fake
+
+    import numpy as np
+    import pyarrow as pa
+
+    from sightline.llm import op5_language as op
+
+    monkeypatch.setattr(op, "small_batches", lambda df: df)
+    context = Fake(broadcast=lambda x: Fake(value=x))
+    docs = Fake(columns=["text"], schema=[], sparkSession=Fake(sparkContext=context), mapInArrow=lambda run, schema: run)
+    model = op.Model(list("abcdefgh"), np.random.default_rng(0).random((op.FEATURES, 9)).astype(np.float32))
+    run = op.with_text_evidence(docs, model, "text", "said")
+    part = pa.RecordBatch.from_arrays([pa.array(["some words " * 500] * 100 + [None, ""])], names=["text"])
+    tracemalloc.start()
+    got = list(run(iter([part])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * 100 * 5500
+    said = got[0].column(1).to_pylist()
+    assert len(said[0]) == 9 and said[100:] == [None, None]
