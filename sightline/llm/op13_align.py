@@ -10,7 +10,8 @@ Merging. The end offsets of all tokens of a batch of documents lie in two flat a
 the A pointer, the B pointer and the group number of every document still running; each step compares the two ends
 under the pointers of all of them at once, gives the token(s) that end first the document's group, advances those
 pointers, counts a cut where both end together, and drops the documents that are done from the vectors. The steps of a
-batch are as many as the tokens of its longest document, whatever the number of documents.
+batch are as many as the tokens of its longest piece, whatever the number of documents: a long document is cut into pieces
+where every SPAN-th A token ends, if a B token ends there too, and groups are numbered on from piece to piece.
 
 Counting. Per document, each distinct (A id, B id) pair it links is emitted once with the number of its links.
 Spark counts, per id pair, the documents that hold it (a grouped count, combined before the shuffle), takes each A id's
@@ -24,7 +25,9 @@ as null. Only the id and text columns are read; extra columns change nothing. Em
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +40,16 @@ from sightline.llm.common import cut_lineage, small_batches
 RESULT = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 OUT = ("row long, id long, kind int, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
        "a int, b int, mult long")
+#: A long document is cut into pieces at the first cut after this many A tokens or a multiple; only speed depends on it.
+SPAN = 256
+#: Bits of a token id where ids are packed into one number.
+ID_BITS = 20
+#: Pre-tokens a Python worker remembers, and the longest it remembers; only speed depends on them.
+MEMO, MEMO_CHARS = 300_000, 64
+#: The byte-level pre-tokenizer's pattern for texts up to the code point LATIN, with letters, numbers and white space listed.
+LATIN = "\u017f"
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-\u017f", "0-9²³¹¼½¾", " \t-\r\x85\xa0"
+LATIN_WORDS = f" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 BYTE_PIECE = re.compile(r"<0x([0-9A-Fa-f]{2})>")
 
 
@@ -65,6 +78,38 @@ def a_table(path: str):
     return tok, table
 
 
+class Words(dict):
+    """A's ids by pre-token, for texts without code points above LATIN; a bounded memory, pre-token -> its int32 ids as bytes.
+
+    None of it is used (`usable`) unless A is a byte-level BPE with the pre-tokenizer known here and special tokens only.
+    """
+
+    def __init__(self, tok, path: str):
+        super().__init__()
+        config = json.load(open(path, encoding="utf-8"))
+        pre = config["pre_tokenizer"] or {}
+        self.usable = (config["normalizer"] is None and config["model"]["type"] == "BPE" and not config["model"]["dropout"]
+                       and pre.get("type") == "ByteLevel" and pre.get("use_regex") is True and not pre["add_prefix_space"]
+                       and all(t["special"] for t in config["added_tokens"]))
+        self.model, self.alphabet = tok.model, {b: c for c, b in byte_alphabet().items()}
+        self.find, self.other = re.compile(LATIN_WORDS).findall, re.compile(f"[^\x00-{LATIN}]").search
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.model.tokenize("".join([self.alphabet[b] for b in word.encode()]))
+        out = array("i", [t.id for t in ids]).tobytes()
+        if len(word) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = out
+        return out
+
+    def knows(self, text: str) -> bool:
+        return self.usable and (text.isascii() or not self.other(text))
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, self.find(text))), np.int32).astype(np.int64)
+
+
 def b_table(path: str):
     import sentencepiece
 
@@ -77,22 +122,33 @@ def b_table(path: str):
     return sp, table
 
 
+def _pieces(ea: np.ndarray, eb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of A and B tokens of the pieces of a document: it is cut where every SPAN-th A token ends, if a B token does."""
+    at = np.arange(SPAN - 1, len(ea) - 1, SPAN)
+    pos = np.searchsorted(eb[:-1], ea[at])
+    hit = pos < len(eb) - 1
+    hit[hit] = eb[pos[hit]] == ea[at[hit]]
+    return (np.diff(np.concatenate(([0], at[hit] + 1, [len(ea)]))), np.diff(np.concatenate(([0], pos[hit] + 1, [len(eb)]))))
+
+
 def lockstep(ends_a: list[np.ndarray], ends_b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Group number of every A and B token (flat, documents one after the other) and groups per document."""
-    na = np.array([len(e) for e in ends_a], np.int64)
-    nb = np.array([len(e) for e in ends_b], np.int64)
+    cuts = [_pieces(x, y) for x, y in zip(ends_a, ends_b, strict=True)]
+    na = np.concatenate([*(x for x, _ in cuts), np.zeros(0, np.int64)]).astype(np.int64)
+    nb = np.concatenate([*(y for _, y in cuts), np.zeros(0, np.int64)]).astype(np.int64)
+    owner = np.repeat(np.arange(len(cuts)), [len(x) for x, _ in cuts])
     ea = np.concatenate([*ends_a, [0]]).astype(np.int64)
     eb = np.concatenate([*ends_b, [0]]).astype(np.int64)
     ga, gb = np.zeros(len(ea) - 1, np.int64), np.zeros(len(eb) - 1, np.int64)
-    groups = np.zeros(len(ends_a), np.int64)
+    groups = np.zeros(len(owner), np.int64)
     stop_a, stop_b = np.cumsum(na), np.cumsum(nb)
     ia, ib = stop_a - na, stop_b - nb
-    doc = np.arange(len(ends_a))
-    g = np.zeros(len(ends_a), np.int64)
+    piece = np.arange(len(owner))
+    g = np.zeros(len(owner), np.int64)
     live = (ia < stop_a) | (ib < stop_b)
-    ia, ib, stop_a, stop_b, doc, g = ia[live], ib[live], stop_a[live], stop_b[live], doc[live], g[live]
+    ia, ib, stop_a, stop_b, piece, g = ia[live], ib[live], stop_a[live], stop_b[live], piece[live], g[live]
     big = np.iinfo(np.int64).max
-    while len(doc):
+    while len(piece):
         a = np.where(ia < stop_a, ea[ia], big)
         b = np.where(ib < stop_b, eb[ib], big)
         step_a, step_b = a <= b, b <= a
@@ -102,45 +158,56 @@ def lockstep(ends_a: list[np.ndarray], ends_b: list[np.ndarray]) -> tuple[np.nda
         g = g + (step_a & step_b)
         done = (ia >= stop_a) & (ib >= stop_b)
         if done.any():
-            groups[doc[done]] = g[done]
+            groups[piece[done]] = g[done]
             keep = ~done
-            ia, ib, stop_a, stop_b, doc, g = ia[keep], ib[keep], stop_a[keep], stop_b[keep], doc[keep], g[keep]
-    return ga, gb, groups
-
-
-def _group_text(ids_a: np.ndarray, ga: np.ndarray, ids_b: np.ndarray, gb: np.ndarray) -> str:
-    """`a1,a2|b1;a3|b2,b3`: every group has a token of each side, as both end at its cut."""
-    ids, grp = np.concatenate((ids_a, ids_b)), np.concatenate((ga, gb))
-    side = np.concatenate((np.zeros(len(ids_a), np.int64), np.ones(len(ids_b), np.int64)))
-    order = np.lexsort((np.arange(len(ids)), side, grp))
-    ids, grp, side = ids[order], grp[order], side[order]
-    sep = np.full(len(ids), ",", object)
-    sep[1:][side[1:] != side[:-1]] = "|"
-    sep[1:][grp[1:] != grp[:-1]] = ";"
-    sep[0] = ""
-    out = [""] * (2 * len(ids))
-    out[0::2] = sep.tolist()
-    out[1::2] = map(str, ids.tolist())
-    return "".join(out)
-
-
-def align_batch(texts: list, tok_a, table_a: list[bytes], sp_b, table_b: list[bytes]):
-    """Per text: (n_a, n_b, n_groups, n_links, groups_sha256) and its distinct linked pairs (a, b, links)."""
+            ia, ib, stop_a, stop_b, piece, g = ia[keep], ib[keep], stop_a[keep], stop_b[keep], piece[keep], g[keep]
+    # Groups of a piece are numbered on from those of the pieces before it of its document.
+    total = np.bincount(owner, weights=groups, minlength=len(cuts)).astype(np.int64)
+    before = np.cumsum(groups) - groups - (np.cumsum(total) - total)[owner]
+    return ga + np.repeat(before, na), gb + np.repeat(before, nb), total
+
+
+def _group_text(ids_a: np.ndarray, ga: np.ndarray, ids_b: np.ndarray, gb: np.ndarray, size_a: np.ndarray, size_b: np.ndarray,
+                names: np.ndarray) -> str:
+    """`a1,a2|b1;a3|b2,b3`: every group has a token of each side, as both end at its cut. names: see `_names`."""
+    out = np.empty(len(ids_a) + len(ids_b), object)
+    opens_a, opens_b = np.diff(ga, prepend=-1) > 0, np.diff(gb, prepend=-1) > 0
+    out[np.arange(len(ids_a)) + (np.cumsum(size_b) - size_b)[ga]] = names[np.where(opens_a, 2, 0), ids_a]
+    out[np.arange(len(ids_b)) + np.cumsum(size_a)[gb]] = names[np.where(opens_b, 1, 0), ids_b]
+    return "".join(out.tolist())[1:]
+
+
+def _names(n: int) -> np.ndarray:
+    """The first n numbers in decimal, after a comma, a bar and a semicolon."""
+    return np.array([[f"{sep}{i}" for i in range(n)] for sep in ",|;"], object)
+
+
+def align_batch(texts: list, tok_a, table_a: list[bytes], sp_b, table_b: list[bytes], words: Words | None = None,
+                names: np.ndarray | None = None):
+    """Per text: (n_a, n_b, n_groups, n_links, groups_sha256) and its distinct linked pairs (a, b, links).
+
+    words: encodes by A what it knows; the rest goes to `tok_a`.
+    """
     len_a = np.fromiter(map(len, table_a), np.int64, len(table_a))
     len_b = np.fromiter(map(len, table_b), np.int64, len(table_b))
+    names = _names(max(len(table_a), len(table_b))) if names is None else names
     valid = [i for i, t in enumerate(texts) if t]
-    enc_a = tok_a.encode_batch([" " + texts[i] for i in valid], add_special_tokens=False) if valid else []
+    by_a = {i: words.encode(" " + texts[i]) for i in valid if words.knows(texts[i])} if words is not None else {}
+    rest = [i for i in valid if i not in by_a]
+    if rest:
+        got = tok_a.encode_batch([" " + texts[i] for i in rest], add_special_tokens=False)
+        by_a |= {i: np.asarray(e.ids, np.int64) for i, e in zip(rest, got, strict=True)}
     enc_b = sp_b.encode([texts[i] for i in valid], num_threads=1) if valid else []
     rows = [(0, 0, 0, 0, "") for _ in texts]
     pairs: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
     docs, ids_a, ids_b, ends_a, ends_b = [], [], [], [], []
-    for i, ea, ib in zip(valid, enc_a, enc_b, strict=True):
+    for i, xb in zip(valid, enc_b, strict=True):
         want = (" " + texts[i]).encode("utf-8", "surrogatepass")
-        xa, xb = ea.ids, ib
-        if b"".join(map(table_a.__getitem__, xa)) != want or b"".join(map(table_b.__getitem__, xb)) != want:
+        xa = by_a[i]
+        if b"".join(map(table_a.__getitem__, xa.tolist())) != want or b"".join(map(table_b.__getitem__, xb)) != want:
             continue
         docs.append(i)
-        ids_a.append(np.asarray(xa, np.int64))
+        ids_a.append(xa)
         ids_b.append(np.asarray(xb, np.int64))
         ends_a.append(np.cumsum(len_a[ids_a[-1]]))
         ends_b.append(np.cumsum(len_b[ids_b[-1]]))
@@ -149,31 +216,48 @@ def align_batch(texts: list, tok_a, table_a: list[bytes], sp_b, table_b: list[by
     ga, gb, n_groups = lockstep(ends_a, ends_b)
     at_a = np.concatenate(([0], np.cumsum([len(x) for x in ids_a])))
     at_b = np.concatenate(([0], np.cumsum([len(x) for x in ids_b])))
+    # Groups numbered through the batch; a group's document by its number.
+    base = np.cumsum(n_groups) - n_groups
+    all_a, all_b = ga + np.repeat(base, np.diff(at_a)), gb + np.repeat(base, np.diff(at_b))
+    size_a, size_b = (np.bincount(x, minlength=n_groups.sum()) for x in (all_a, all_b))
+    owner = np.repeat(np.arange(len(docs)), n_groups)
+    links = np.bincount(owner, weights=size_a * size_b, minlength=len(docs)).astype(np.int64)
+    # Links of a group: each A token with each B token of it; pairs of ids are counted, not listed per token.
+    ua, ca = np.unique(all_a << ID_BITS | np.concatenate(ids_a), return_counts=True)
+    ub, cb = np.unique(all_b << ID_BITS | np.concatenate(ids_b), return_counts=True)
+    grp_a, grp_b = ua >> ID_BITS, ub >> ID_BITS
+    first_b = np.searchsorted(grp_b, grp_a)
+    reps = np.searchsorted(grp_b, grp_a, side="right") - first_b
+    left = np.repeat(np.arange(len(ua)), reps)
+    right = first_b[left] + np.arange(len(left)) - np.repeat(np.cumsum(reps) - reps, reps)
+    mask = (1 << ID_BITS) - 1
+    key = (owner[grp_a[left]] << ID_BITS | ua[left] & mask) << ID_BITS | ub[right] & mask
+    order = np.argsort(key)
+    key, weight = key[order], (ca[left] * cb[right])[order]
+    start = np.flatnonzero(np.diff(key, prepend=-1))
+    keys, mult = key[start], np.add.reduceat(weight, start)
+    cut = np.searchsorted(keys >> 2 * ID_BITS, np.arange(len(docs) + 1))
     for k, i in enumerate(docs):
-        a, b = ids_a[k], ids_b[k]
-        g_a, g_b = ga[at_a[k]:at_a[k + 1]], gb[at_b[k]:at_b[k + 1]]
-        size_a = np.bincount(g_a, minlength=n_groups[k])
-        size_b = np.bincount(g_b, minlength=n_groups[k])
-        # Links of a group: each A token with each B token of it; pairs of ids are counted, not listed per token.
-        ua, inv_a = np.unique(g_a * (1 << 20) + a, return_inverse=True)
-        ca = np.bincount(inv_a)
-        ub, inv_b = np.unique(g_b * (1 << 20) + b, return_inverse=True)
-        cb = np.bincount(inv_b)
-        grp_a, grp_b = ua >> 20, ub >> 20
-        first_b = np.searchsorted(grp_b, grp_a)
-        last_b = np.searchsorted(grp_b, grp_a, side="right")
-        reps = last_b - first_b
-        left = np.repeat(np.arange(len(ua)), reps)
-        right = first_b[left] + np.arange(len(left)) - np.repeat(np.cumsum(reps) - reps, reps)
-        key = (ua[left] & ((1 << 20) - 1)) * (1 << 20) + (ub[right] & ((1 << 20) - 1))
-        keys, inv = np.unique(key, return_inverse=True)
-        mult = np.bincount(inv, weights=ca[left] * cb[right]).astype(np.int64)
-        pairs.append((i, keys >> 20, keys & ((1 << 20) - 1), mult))
-        text = _group_text(a, g_a, b, g_b)
-        rows[i] = (len(a), len(b), int(n_groups[k]), int((size_a * size_b).sum()), hashlib.sha256(text.encode()).hexdigest())
+        a, b, own = ids_a[k], ids_b[k], slice(base[k], base[k] + n_groups[k])
+        mine = slice(cut[k], cut[k + 1])
+        pairs.append((i, keys[mine] >> ID_BITS & mask, keys[mine] & mask, mult[mine]))
+        text = _group_text(a, ga[at_a[k]:at_a[k + 1]], b, gb[at_b[k]:at_b[k + 1]], size_a[own], size_b[own], names)
+        rows[i] = (len(a), len(b), int(n_groups[k]), int(links[k]), hashlib.sha256(text.encode()).hexdigest())
     return rows, pairs
 
 
+#: The models of this Python worker, so that tasks that follow each other share them and the memory of words.
+_last: dict[tuple[str, str], tuple] = {}
+
+
+def _models(a_path: str, b_path: str) -> tuple:
+    if (a_path, b_path) not in _last:
+        _last.clear()
+        (tok_a, table_a), (sp_b, table_b) = a_table(a_path), b_table(b_path)
+        _last[a_path, b_path] = (tok_a, table_a, Words(tok_a, a_path), sp_b, table_b, _names(max(len(table_a), len(table_b))))
+    return _last[a_path, b_path]
+
+
 def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `df`: id_col, n_a, n_b, n_groups, n_links, n_best, count_sum (long), groups_sha256."""
     kind = df.schema[id_col].dataType.simpleString()
@@ -185,11 +269,10 @@ def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
 
         # Spark runs a task per core already; the library's own threads would only spin.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tok_a, table_a = a_table(a_path)
-        sp_b, table_b = b_table(b_path)
+        tok_a, table_a, words, sp_b, table_b, names = _models(a_path, b_path)
         for part in parts:
             keys = part.column(0).to_numpy()
-            got, pairs = align_batch(part.column(2).to_pylist(), tok_a, table_a, sp_b, table_b)
+            got, pairs = align_batch(part.column(2).to_pylist(), tok_a, table_a, sp_b, table_b, words, names)
             cols = list(zip(*got, strict=True))
             n = len(got)
             yield pa.RecordBatch.from_pydict({

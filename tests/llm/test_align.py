@@ -76,3 +76,35 @@ def test_lockstep_cuts_where_both_end():
 
     ga, gb, groups = al.lockstep([np.array([2, 3, 5]), np.array([1])], [np.array([1, 3, 5]), np.array([1])])
     assert ga.tolist() == [0, 0, 1, 0] and gb.tolist() == [0, 0, 1, 0] and groups.tolist() == [2, 1]
+
+
+def test_words_give_the_library_ids_of_latin_texts():
+    """Ids of Latin texts come from remembered words; before, each text went through the whole library."""
+    import random
+
+    rng = random.Random(7)
+    texts = [f" a{chr(c)}b  {chr(c)} 1'll" for c in range(0x180)] + [" <|endoftext|> x\n\n y "]
+    texts += [" " + "".join(rng.choice([chr(rng.randrange(0x180)), "Ab", " ", "  ", "'s", "12"]) for _ in range(40)) for _ in range(500)]
+    tok, _, words, *_ = al._models(A, B)
+    assert words.usable and all(words.knows(t) for t in texts) and not words.knows("日")
+    assert [words.encode(t).tolist() for t in texts] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert len(words) > 0
+
+
+def test_lockstep_of_a_long_document_takes_pieces(monkeypatch):
+    """Documents are cut where both end, and groups are numbered on; before, a long document was one run of steps."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    docs = [np.unique(rng.integers(1, 900, n)) for n in (1, 5, 400, 300)]
+    ends_a = [np.union1d(x, [900]) for x in docs]
+    ends_b = [np.union1d(np.unique(rng.integers(1, 900, n)), [900]) for n in (700, 3, 500, 1)]
+    monkeypatch.setattr(al, "SPAN", 10_000)
+    want = al.lockstep(ends_a, ends_b)
+    monkeypatch.setattr(al, "SPAN", 3)
+    assert len(al._pieces(ends_a[2], ends_b[2])[0]) > 20
+    for x, y in zip(al.lockstep(ends_a, ends_b), want, strict=True):
+        assert x.tolist() == y.tolist()
+    cuts = [np.intersect1d(x, y) for x, y in zip(ends_a, ends_b, strict=True)]
+    assert want[2].tolist() == [len(c) for c in cuts]
+    assert want[0].tolist() == np.concatenate([np.searchsorted(c, x) for c, x in zip(cuts, ends_a, strict=True)]).tolist()
