@@ -39,7 +39,7 @@ from sightline.llm.common import cut_lineage, small_batches
 
 RESULT = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 OUT = ("row long, id long, kind int, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
-       "a int, b int, mult long")
+       "pair long, mult long")
 #: A long document is cut into pieces at the first cut after this many A tokens or a multiple; only speed depends on it.
 SPAN = 256
 #: Bits of a token id where ids are packed into one number.
@@ -168,18 +168,19 @@ def lockstep(ends_a: list[np.ndarray], ends_b: list[np.ndarray]) -> tuple[np.nda
 
 
 def _group_text(ids_a: np.ndarray, ga: np.ndarray, ids_b: np.ndarray, gb: np.ndarray, size_a: np.ndarray, size_b: np.ndarray,
-                names: np.ndarray) -> str:
+                names: np.ndarray) -> bytes:
     """`a1,a2|b1;a3|b2,b3`: every group has a token of each side, as both end at its cut. names: see `_names`."""
-    out = np.empty(len(ids_a) + len(ids_b), object)
+    out = np.empty(len(ids_a) + len(ids_b), np.uint64)
     opens_a, opens_b = np.diff(ga, prepend=-1) > 0, np.diff(gb, prepend=-1) > 0
     out[np.arange(len(ids_a)) + (np.cumsum(size_b) - size_b)[ga]] = names[np.where(opens_a, 2, 0), ids_a]
     out[np.arange(len(ids_b)) + np.cumsum(size_a)[gb]] = names[np.where(opens_b, 1, 0), ids_b]
-    return "".join(out.tolist())[1:]
+    raw = out.view(np.uint8)
+    return raw[raw != 0][1:].tobytes()
 
 
 def _names(n: int) -> np.ndarray:
-    """The first n numbers in decimal, after a comma, a bar and a semicolon."""
-    return np.array([[f"{sep}{i}" for i in range(n)] for sep in ",|;"], object)
+    """The first n numbers in decimal, after a comma, a bar and a semicolon: eight bytes each, filled up with zeros."""
+    return np.array([[f"{sep}{i}" for i in range(n)] for sep in ",|;"], "S8").view(np.uint64)
 
 
 def align_batch(texts: list, tok_a, table_a: list[bytes], sp_b, table_b: list[bytes], words: Words | None = None,
@@ -226,8 +227,8 @@ def align_batch(texts: list, tok_a, table_a: list[bytes], sp_b, table_b: list[by
     ua, ca = np.unique(all_a << ID_BITS | np.concatenate(ids_a), return_counts=True)
     ub, cb = np.unique(all_b << ID_BITS | np.concatenate(ids_b), return_counts=True)
     grp_a, grp_b = ua >> ID_BITS, ub >> ID_BITS
-    first_b = np.searchsorted(grp_b, grp_a)
-    reps = np.searchsorted(grp_b, grp_a, side="right") - first_b
+    distinct_b = np.bincount(grp_b, minlength=n_groups.sum())
+    first_b, reps = (np.cumsum(distinct_b) - distinct_b)[grp_a], distinct_b[grp_a]
     left = np.repeat(np.arange(len(ua)), reps)
     right = first_b[left] + np.arange(len(left)) - np.repeat(np.cumsum(reps) - reps, reps)
     mask = (1 << ID_BITS) - 1
@@ -242,7 +243,7 @@ def align_batch(texts: list, tok_a, table_a: list[bytes], sp_b, table_b: list[by
         mine = slice(cut[k], cut[k + 1])
         pairs.append((i, keys[mine] >> ID_BITS & mask, keys[mine] & mask, mult[mine]))
         text = _group_text(a, ga[at_a[k]:at_a[k + 1]], b, gb[at_b[k]:at_b[k + 1]], size_a[own], size_b[own], names)
-        rows[i] = (len(a), len(b), int(n_groups[k]), int(links[k]), hashlib.sha256(text.encode()).hexdigest())
+        rows[i] = (len(a), len(b), int(n_groups[k]), int(links[k]), hashlib.sha256(text).hexdigest())
     return rows, pairs
 
 
@@ -278,7 +279,7 @@ def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_pydict({
                 "row": keys, "id": part.column(1), "kind": np.zeros(n, np.int32), **{c: np.asarray(v, np.int64) for c, v in
                                                                 zip(["n_a", "n_b", "n_groups", "n_links"], cols[:4], strict=True)},
-                "groups_sha256": pa.array(cols[4], pa.string()), "a": pa.nulls(n, pa.int32()), "b": pa.nulls(n, pa.int32()),
+                "groups_sha256": pa.array(cols[4], pa.string()), "pair": pa.nulls(n, pa.int64()),
                 "mult": pa.nulls(n, pa.int64())}, schema=SCHEMA)
             if pairs:
                 # All linked id pairs of the part in one batch.
@@ -288,16 +289,16 @@ def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
                     "kind": np.ones(int(m.sum()), np.int32),
                     **{c: pa.nulls(int(m.sum()), pa.int64()) for c in ["n_a", "n_b", "n_groups", "n_links"]},
                     "groups_sha256": pa.nulls(int(m.sum()), pa.string()),
-                    "a": np.concatenate([a for _, a, _, _ in pairs]).astype(np.int32),
-                    "b": np.concatenate([b for _, _, b, _ in pairs]).astype(np.int32),
+                    "pair": np.concatenate([a for _, a, _, _ in pairs]) << ID_BITS | np.concatenate([b for _, _, b, _ in pairs]),
                     "mult": np.concatenate([x for _, _, _, x in pairs])}, schema=SCHEMA)
 
     done = cut_lineage(rows.mapInArrow(run, OUT), "align")
-    pairs = done.where("kind = 1").select("row", "a", "b", "mult")
-    counts = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("cnt"))
+    # One number for both ids: the sorts of the join need its eight bytes only, not a comparison of rows.
+    pairs = done.where("kind = 1").select("row", "pair", "mult")
+    counts = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("cnt")).withColumn("a", F.shiftright("pair", ID_BITS))
     # Each A id's highest count joins the (much smaller) table of counts, so the pairs are shuffled for one join only.
     counts = counts.join(counts.groupBy("a").agg(F.max("cnt").alias("top")), "a")
-    scored = (pairs.join(counts, ["a", "b"]).groupBy("row")
+    scored = (pairs.join(counts, "pair").groupBy("row")
               .agg(F.sum(F.when(F.col("cnt") == F.col("top"), F.col("mult")).otherwise(0)).alias("n_best"),
                    F.sum(F.col("mult") * F.col("cnt")).alias("count_sum")))
     docs = done.where("kind = 0")
@@ -309,4 +310,4 @@ def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
 
 SCHEMA = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("kind", pa.int32()), ("n_a", pa.int64()), ("n_b", pa.int64()),
                     ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()),
-                    ("a", pa.int32()), ("b", pa.int32()), ("mult", pa.int64())])
+                    ("pair", pa.int64()), ("mult", pa.int64())])

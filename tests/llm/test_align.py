@@ -108,3 +108,20 @@ def test_lockstep_of_a_long_document_takes_pieces(monkeypatch):
     cuts = [np.intersect1d(x, y) for x, y in zip(ends_a, ends_b, strict=True)]
     assert want[2].tolist() == [len(c) for c in cuts]
     assert want[0].tolist() == np.concatenate([np.searchsorted(c, x) for c, x in zip(cuts, ends_a, strict=True)]).tolist()
+
+
+def test_group_text_is_built_in_numbers_of_eight_bytes():
+    """Before, the text was joined of one string per token."""
+    import numpy as np
+
+    names = al._names(1 << al.ID_BITS)
+    assert names.dtype == np.uint64 and names.shape == (3, 1 << al.ID_BITS)
+    a, b = np.array([0, 1048575, 10]), np.array([7, 100000])
+    got = al._group_text(a, np.array([0, 0, 1]), b, np.array([0, 1]), np.array([2, 1]), np.array([1, 1]), names)
+    assert got == b"0,1048575|7;10|100000"
+
+
+def test_pairs_are_joined_by_one_number(spark):
+    """Before, the pairs were sorted by two ids, of which a sort compares only the first without looking at the rows."""
+    plan = al.align(spark.createDataFrame([(1, "the words")], "doc_id long, text string"), A, B)._jdf.queryExecution().toString()
+    assert "hashpartitioning(pair" in plan and ", b#" not in plan
