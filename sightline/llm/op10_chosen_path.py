@@ -3,8 +3,8 @@
 Documents are sets of word shingles. TREES independent trees branch them: at a node, the node's own hash chooses one or
 (in 18 of 100 nodes) two coordinates of the minwise signature, about 1 / 0.85 on average, and a set goes to the child of
 its token there. A node of at most NODE sets is compared exhaustively, by signature sketches; a larger one branches on,
-down to DEPTH tokens. A large node is not compared but linked whole to one of its sets if half of it agrees with that
-set (it is one group of near copies, which branching would only drag along), or if it is still large at the end.
+down to DEPTH tokens. A large node is not compared but linked whole to one of its sets if half of it agrees with one of
+a few sets drawn from it (it is one group of near copies, which branching would only drag along), or if it is still large at the end.
 
 These links only say which sets have to be looked at together. Their components are then clustered exactly, on the full
 shingle sets: a link counts if 100 * intersection >= percent * union. A component too large for a task is cut into
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.common import batches, components, cut_lineage, small_batches
@@ -43,6 +43,8 @@ from sightline.llm.shingles import shingle_sets
 SIGNATURE, TREES, DEPTH, NODE = 128, 14, 4, 200
 #: Nodes of 100 that choose two coordinates: 1 + 0.18 is 1 / 0.85.
 TWICE = 18
+#: Sets a large node is held against, so that one far from the rest does not make a group of near copies branch on.
+HEADS = ("head", "head_b", "head_c")
 #: Standard deviations below the similarity asked for from which on sketches agree.
 SKETCH_SLACK = 5.3
 #: Shingles in one block of the exact step.
@@ -158,7 +160,8 @@ def candidates(reps: DataFrame, percent: int) -> DataFrame:
         F.xxhash64(F.lit(t), F.lit(c), F.get("sig", F.lit(c))) for t, c in first))).alias("node"))
     leaves, links, sigs = [], [], None
     for level in range(1, DEPTH + 1):
-        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("head")).where("n > 1")
+        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *(
+            F.min_by("sid", F.xxhash64("sid", F.lit(k))).alias(h) for k, h in enumerate(HEADS))).where("n > 1")
         shared = cut_lineage(rows.join(counts, "node"), "paths")
         leaves.append(shared.where(F.col("n") <= NODE).select("node", "sid"))
         large = shared.where(F.col("n") > NODE)
@@ -168,7 +171,8 @@ def candidates(reps: DataFrame, percent: int) -> DataFrame:
             sigs = cut_lineage(sig.hint("merge").join(large.select("sid").distinct(), "sid", "left_semi"), "paths")
         if level < DEPTH:
             alike = _alike(large, sigs, least)
-            rows = _children(large.join(alike, "node", "left_anti").select("node", "sid").join(sigs, "sid"))
+            # Written, since the rows are read twice: counted by node, and joined with the counts.
+            rows = cut_lineage(_children(large.join(alike, "node", "left_anti").select("node", "sid").join(sigs, "sid")), "paths")
             large = large.join(alike, "node", "left_semi")
         links.append(large.select(F.col("head").alias("a"), F.col("sid").alias("b")).where("a <> b"))
     sketch = reps.select("sid", "sketch")
@@ -183,13 +187,18 @@ def candidates(reps: DataFrame, percent: int) -> DataFrame:
 
 
 def _alike(large: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
-    """(node) of the large nodes in which at least half of the sets agree with the node's head."""
-    heads = (large.select("node", "head").distinct().join(sigs.withColumnRenamed("sid", "head"), "head")
-             .select("node", F.col("sig").alias("head_sig")))
+    """(node) of the large nodes in which at least half of the sets agree with one of the node's heads."""
+    heads = (large.select("node", F.explode(F.array(*HEADS)).alias("of")).distinct()
+             .join(sigs.withColumnRenamed("sid", "of"), "of").select("node", "of", F.col("sig").alias("head_sig")))
+    heads = heads.groupBy("node").agg(F.collect_list("head_sig").alias("head_sigs"))  # a few a node
     rows = large.select("node", "sid").join(sigs, "sid").join(heads, "node")
-    same = F.aggregate(F.zip_with("sig", "head_sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return (rows.groupBy("node").agg(F.avg((same >= least).cast("double")).alias("share"))
-            .where("share >= 0.5").select("node"))
+
+    def agrees(k: int) -> Column:
+        same = F.zip_with("sig", F.get("head_sigs", F.lit(k)), lambda x, y: (x == y).cast("int"))
+        return (F.aggregate(same, F.lit(0), lambda s, x: s + x) >= least).cast("double")
+
+    share = F.greatest(*(F.coalesce(F.avg(agrees(k)), F.lit(0.0)) for k in range(len(HEADS))))
+    return rows.groupBy("node").agg(share.alias("share")).where("share >= 0.5").select("node")
 
 
 def cluster(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:

@@ -113,3 +113,34 @@ def test_components_of_chains_and_stars(spark):
     got = {r["id"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long"), "test").collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 140), 100)}
     assert components(spark.createDataFrame([], "a long, b long"), "test").collect() == []
+
+
+def test_a_level_of_branches_is_computed_once(spark, monkeypatch):
+    """Before, the children of a level were made twice, to be counted and to be joined with their counts."""
+    plans = []
+    cut = near.cut_lineage
+
+    def seen(df, purpose="step"):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Generate explode(knownnotcontainsnull(filter("))
+        return cut(df, purpose)
+
+    monkeypatch.setattr(near, "NODE", 3)
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(300)]
+    base = " ".join(rng.choice(words) for _ in range(40))
+    docs = [(i, base + " " + " ".join(rng.choice(words) for _ in range(60))) for i in range(60)]
+    sets = near.signatures(spark.createDataFrame(docs, "doc_id long, text string"))
+    reps = cut(sets.select("sid", "sig").mapInArrow(near._with_sketch, "sid long, sig array<int>, sketch binary"), "t")
+    monkeypatch.setattr(near, "cut_lineage", seen)
+    near.candidates(reps, 85)
+    assert max(plans) == 1 and sum(plans) == near.DEPTH - 1
+
+
+def test_one_odd_head_does_not_make_a_group_branch(spark):
+    """Before, a large node was held against its smallest set only."""
+    alike, odd = list(range(near.SIGNATURE)), list(range(1000, 1000 + near.SIGNATURE))
+    sigs = spark.createDataFrame([(i, odd if i == 0 else alike) for i in range(20)], "sid long, sig array<int>")
+    large = sigs.selectExpr("1L node", "sid", "0L head", "3L head_b", "7L head_c")
+    assert [r.node for r in near._alike(large, sigs, near.agreeing(85)).collect()] == [1]
+    apart = spark.createDataFrame([(i, [i] * near.SIGNATURE) for i in range(20)], "sid long, sig array<int>")
+    assert near._alike(large, apart, near.agreeing(85)).collect() == []
