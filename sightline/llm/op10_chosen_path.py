@@ -188,7 +188,7 @@ def candidates(reps: DataFrame, percent: int) -> DataFrame:
 
 def _alike(large: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
     """(node) of the large nodes in which at least half of the sets agree with one of the node's heads."""
-    heads = (large.select("node", F.explode(F.array(*HEADS)).alias("of")).distinct()
+    heads = (large.select("node", *HEADS).distinct().select("node", F.explode(F.array_distinct(F.array(*HEADS))).alias("of"))
              .join(sigs.withColumnRenamed("sid", "of"), "of").select("node", "of", F.col("sig").alias("head_sig")))
     heads = heads.groupBy("node").agg(F.collect_list("head_sig").alias("head_sigs"))  # a few a node
     rows = large.select("node", "sid").join(sigs, "sid").join(heads, "node")
