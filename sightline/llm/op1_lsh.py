@@ -5,14 +5,18 @@ nearest extended vector is the one with the largest inner product.
 
 Each of `tables` tables hashes a vector with `hashes` p-stable (Gaussian) functions floor((a.x + b) / width); the bucket
 is the list of values. A query visits, per table, its own bucket and those that differ by one step in some functions, in
-the order of their estimated success: the sum of squared distances of the query to the boundaries that are crossed, found
-with a heap over perturbation sets that are shifted and expanded. Within each visited bucket candidates are ranked by the
-exact inner product, in double precision on the original vectors; the best `k` per bucket go on and are merged over
-buckets and tables.
-
-Scale. A bucket is cut into blocks of about BLOCK vectors, its probes go to each block, and blocks are dealt to shards of
-about SHARD_BYTES in all, which are the groups of the join; a query's vector goes to a shard once. What goes on per
-query and shard is at most `k` rows. The number of functions grows with log2 of the count, so that buckets keep their size.
+the order of their estimated success: the sum of squared distances of the query to the boundaries that are crossed. For one
+query `perturbations` finds them with a heap over perturbation sets that are shifted and expanded; for many queries at once
+`probed` finds the same sets by merging sorted halves of the functions. Within each visited bucket candidates are ranked by the
+exact inner product, in double precision on the original vectors; the best `k` over all buckets and tables are kept.
+
+Scale. Vectors are dealt by their ids to shards of about SHARD_BYTES, and each query goes to every shard. One task holds the
+buckets of one shard in all tables and reads queries as a stream, QUERIES at a time, so its memory depends neither on the
+number of vectors nor on that of queries, nor on the size of a bucket: visits are worked off once VISITS are gathered, a
+bucket is compared in blocks of BLOCK vectors, and per query the k best so far are kept. Probes are listed where they
+are looked up and never cross a shuffle. What goes on per query and shard is at most `k` rows. Where there are fewer
+shards than cores, the queries of a shard are dealt to several tasks. The number of functions grows with log2 of the
+count, so that buckets keep their size.
 
 Recall is held by the data. The true neighbours of SAMPLE queries (the smallest hashes of their ids; a bounded sample) are
 found by brute force in blocks; a neighbour is found if one of its buckets is probed. From PROBES on, probes are doubled
@@ -31,6 +35,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -45,6 +50,9 @@ TABLES, PROBES = 8, 100
 SAMPLE, TARGET = 100, 0.95
 #: The number of functions is log2(vectors / BUCKET). Vectors per block of a bucket; bytes of the vectors of a shard.
 BUCKET, BLOCK, SHARD_BYTES = 200, 4000, 32_000_000
+#: Queries a task holds at once; visits and candidates gathered before they are worked off; sums of costs formed at once;
+#: queries from which a task more is worth while.
+QUERIES, VISITS, HITS, SUMS, PART = 8192, 3_000_000, 1_000_000, 2_000_000, 256
 #: Width of a step in units of the largest norm.
 WIDTH = 2.0
 
@@ -63,10 +71,17 @@ class Hashes:
         """Values in steps, before they are cut to whole numbers: rows x tables x hashes."""
         return ((x @ self.a + self.b) / self.width).reshape(len(x), self.tables, self.hashes)
 
+    def total(self, values: np.ndarray, table: int | np.ndarray) -> np.ndarray:
+        """What the name of the bucket with these whole values (... x hashes) in `table` is made of; linear in the values."""
+        return (values.astype(np.int64) * self.mix[table]).sum(axis=-1) + np.asarray(table) * np.int64(0x5851F42D4C957F2D)
+
+    @staticmethod
+    def name(total: np.ndarray) -> np.ndarray:
+        return total ^ (total >> np.int64(29))
+
     def bucket(self, values: np.ndarray, table: int | np.ndarray) -> np.ndarray:
         """64-bit name of the bucket with these whole values (... x hashes) in `table`."""
-        h = (values.astype(np.int64) * self.mix[table]).sum(axis=-1) + np.asarray(table) * np.int64(0x5851F42D4C957F2D)
-        return h ^ (h >> np.int64(29))
+        return self.name(self.total(values, table))
 
 
 def perturbations(inside: np.ndarray, probes: int) -> list[list[int]]:
@@ -107,15 +122,46 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+@lru_cache(maxsize=64)
+def _pairs(n: int, m: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) in two ascending lists of n and m whose sum can be among the `most` lowest: (i + 1)(j + 1) are no larger."""
+    counts = np.minimum(m, most // np.arange(1, n + 1))
+    i = np.repeat(np.arange(n), counts)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _lowest(cost: np.ndarray, change: np.ndarray, most: int, ordered: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The `most` lowest sums (ascending, if `ordered`) of one cost per function, per query, and the sums of the changes with them.
+
+    cost: queries x functions x choices; change: functions x choices. Both halves of the functions are settled first.
+    """
+    n, functions = cost.shape[:2]
+    if not functions:
+        return np.zeros((n, 1)), np.zeros((n, 1), np.int64)
+    if functions == 1:
+        at = np.argsort(cost[:, 0], axis=1)[:, :most]
+        return np.take_along_axis(cost[:, 0], at, 1), change[0][at]
+    half = functions // 2
+    a, change_a = _lowest(cost[:, :half], change[:half], most)
+    b, change_b = _lowest(cost[:, half:], change[half:], most)
+    i, j = _pairs(a.shape[1], b.shape[1], most)
+    sums = a[:, i] + b[:, j]
+    if sums.shape[1] > most:
+        at = np.argpartition(sums, most - 1, axis=1)[:, :most]
+        if ordered:
+            at = np.take_along_axis(at, np.argsort(np.take_along_axis(sums, at, 1), axis=1), 1)
+    else:
+        at = np.argsort(sums, axis=1)
+    return np.take_along_axis(sums, at, 1), np.take_along_axis(change_a, i[at], 1) + np.take_along_axis(change_b, j[at], 1)
+
+
 def probed(family: Hashes, at: np.ndarray, table: int, probes: int) -> np.ndarray:
-    """Names of the buckets in `table` that a query with projections `at` (hashes) visits."""
+    """Names of the buckets in `table` that queries with projections `at` (queries x hashes) visit."""
     whole = np.floor(at)
-    sets = perturbations(at - whole, probes)
-    moved = np.repeat(whole[None], len(sets), axis=0)
-    for row, steps in zip(moved, sets, strict=True):
-        for i in steps:
-            row[i if i >= 0 else ~i] += -1 if i >= 0 else 1
-    return family.bucket(moved, table)
+    inside = at - whole
+    cost = np.stack([np.zeros_like(inside), inside**2, (1 - inside) ** 2], axis=2)
+    change = family.mix[table][:, None] * np.array([0, -1, 1])
+    return family.name(family.total(whole, table)[:, None] + _lowest(cost, change, probes, False)[1])
 
 
 def _extended(x: np.ndarray, most: float) -> np.ndarray:
@@ -155,6 +201,12 @@ def true_neighbours(rows: DataFrame, queries: DataFrame, k: int, dim: int) -> li
     return [(q[i], np.array(v)) for i, v in enumerate(near) if v]
 
 
+def _rows_at_once(hashes: int, probes: int) -> int:
+    """Queries whose probes are listed at once, so that about SUMS sums are held."""
+    half = min(probes, 3 ** min(-(-hashes // 2), 30))
+    return max(1, SUMS // len(_pairs(half, half, probes)[0]))
+
+
 def chosen(sample: list[tuple[np.ndarray, np.ndarray]], dim: int, most: float, tables: int, hashes: int) -> tuple[int, int, float]:
     """(hashes, probes, recall of the sample): the first in the order given above with TARGET or more."""
     total = sum(len(v) for _, v in sample)
@@ -165,11 +217,12 @@ def chosen(sample: list[tuple[np.ndarray, np.ndarray]], dim: int, most: float, t
         missed = [np.ones(len(v), bool) for _, v in sample]
         probes = PROBES
         while True:
-            for at, values, left in zip(asked, held, missed, strict=True):
-                for t in range(tables):
-                    # Only a bucket at most one step away in each function can be probed.
-                    if (left & (np.abs(values[:, t] - np.floor(at[t])) <= 1).all(axis=1)).any():
-                        left &= ~np.isin(family.bucket(values[:, t], t), probed(family, at[t], t, probes))
+            step = _rows_at_once(h, probes)
+            for t in range(tables):
+                for a in range(0, len(sample), step):
+                    names = probed(family, asked[a:a + step, t], t, probes)
+                    for seen, values, left in zip(names, held[a:a + step], missed[a:a + step], strict=True):
+                        left &= ~np.isin(family.bucket(values[:, t], t), seen)
             recall = 1 - sum(int(left.sum()) for left in missed) / max(total, 1)
             if recall >= TARGET:
                 return h, probes, recall
@@ -190,7 +243,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         F.desc("n"), "dim").first()
     dim, n, most = (dims["dim"], dims["n"], dims["most"]) if dims else (1, 0, 1.0)
     rows = rows.where(F.size("vec") == dim)
-    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    queries = cut_lineage(rows.where(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec")), "lsh-queries")
     hashes = max(1, round(math.log2(max(n, 2) / BUCKET)))
     if probes is None:
         hashes, probes, _ = chosen(true_neighbours(rows, queries, k, dim), dim, most, tables, hashes)
@@ -208,75 +261,135 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+class Shard:
+    """Some vectors in their buckets of all tables. ids: ascending."""
+
+    def __init__(self, family: Hashes, ids: np.ndarray, x: np.ndarray, most: float):
+        self.family, self.ids, self.x, self.most = family, ids, x, most
+        self.place = np.searchsorted(ids, ids)  # one for all rows of an id
+        names = np.empty((family.tables, len(ids)), np.int64)
+        for a in range(0, len(ids), BLOCK):
+            values = np.floor(family.project(_extended(x[a:a + BLOCK].astype(np.float64), most)))
+            for t in range(family.tables):
+                names[t, a:a + BLOCK] = family.bucket(values[:, t], t)
+        self.tables = []
+        for own in names:
+            order = np.argsort(own, kind="stable")
+            kinds, first = np.unique(own[order], return_index=True)
+            self.tables.append((pd.Index(kinds), np.append(first, len(ids)), order.astype(np.int32)))
+
+    def best(self, own: np.ndarray, q: np.ndarray, k: int, probes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, vector, score) by place: the k best of the vectors in the buckets that the queries `q` with ids `own` visit."""
+        at = self.family.project(np.column_stack([q, np.zeros(len(q))]))
+        # A product's last bits depend on its shape; what is kept is scored again in one order of the components.
+        slack = 4 * q.shape[1] * np.finfo(float).eps * self.most**2
+        level = np.full(len(q), -np.inf)
+        kept = [(np.zeros(0, np.int32), np.zeros(0, np.int32))]
+
+        def settle() -> np.ndarray:
+            i, row = (np.concatenate(c) for c in zip(*kept, strict=True))
+            other = self.ids[row] != own[i]
+            i, row = i[other], row[other]
+            score = np.empty(len(i))
+            for a in range(0, len(i), BLOCK):
+                score[a:a + BLOCK] = (q[i[a:a + BLOCK]] * self.x[row[a:a + BLOCK]]).sum(axis=1)
+            # Of what was met in several tables, or under an id that repeats, the best stays.
+            place = self.place[row]
+            order = np.lexsort((-score, i.astype(np.int64) << 32 | place))
+            order = order[np.append(True, (np.diff(i[order]) != 0) | (np.diff(place[order]) != 0))[:len(order)]]
+            order = order[np.lexsort((place[order], -score[order], i[order]))]
+            i, row, score = i[order], row[order], score[order]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            level[i[rank == k - 1]] = score[rank == k - 1]
+            kept[:] = [(i[rank < k], row[rank < k])]
+            return score[rank < k]
+
+        def visit(first: np.ndarray, order: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> None:
+            """Compare the queries with the vectors of their buckets; found: (bucket, query)."""
+            bucket, who = (np.concatenate(c) for c in zip(*found, strict=True))
+            if len(first) <= 1 << 16:
+                bucket = bucket.astype(np.uint16)  # sorts faster
+            by = np.argsort(bucket, kind="stable")
+            bucket, who = bucket[by], who[by]
+            del by
+            cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)).tolist()
+            held = 0
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                begin, end = first[int(bucket[a])], first[int(bucket[a]) + 1]
+                for f in range(begin, end, BLOCK):
+                    rows = order[f:min(f + BLOCK, end)]
+                    x = self.x[rows].T.astype(np.float64)
+                    for c in range(a, b, 256):
+                        asked = who[c:min(c + 256, b)]
+                        i, j = np.nonzero(q[asked] @ x >= (level[asked] - slack)[:, None])
+                        if len(i):
+                            kept.append((asked[i], rows[j]))
+                            held += len(i)
+                            if held > HITS:
+                                settle()
+                                held = 0
+
+        step = _rows_at_once(self.family.hashes, probes)
+        for t, (names, first, order) in enumerate(self.tables):
+            found, n = [], 0
+            for a in range(0, len(q), step):
+                asked = probed(self.family, at[a:a + step, t], t, probes)
+                b = names.get_indexer(asked.ravel()).astype(np.int32)
+                there = np.flatnonzero(b >= 0)
+                found.append((b[there], (a + there // asked.shape[1]).astype(np.int32)))
+                n += len(there)
+                if n > VISITS:
+                    visit(first, order, found)
+                    found, n = [], 0
+            if n:
+                visit(first, order, found)
+            settle()
+        score = settle()
+        return *kept[0], score
+
+
 def candidates(rows: DataFrame, queries: DataFrame, k: int, dim: int, n: int, most: float, tables: int, hashes: int,
                probes: int) -> DataFrame:
     """(query_id, vec_id, score): at least the k best of the vectors in the buckets that a query visits."""
     tables = tables if hashes else 1
-    shards = -(-n * tables * dim * 8 // SHARD_BYTES) or 1
-    kind = dict(rows.dtypes)["vec"]
     family = Hashes(dim + 1, tables, hashes, WIDTH * most)
-
-    def index(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            values = np.floor(family.project(_extended(_matrix(part.column(1), dim), most)))
-            for t in range(tables):
-                yield pa.RecordBatch.from_arrays([pa.array(family.bucket(values[:, t], t)), part.column(0), part.column(1)],
-                                                 names=["bucket", "vec_id", "vec"])
-
-    def probe(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            at = family.project(np.column_stack([_matrix(part.column(1), dim), np.zeros(part.num_rows)]))
-            for q in range(part.num_rows):
-                names = np.unique(np.concatenate([probed(family, at[q, t], t, probes) for t in range(tables)]))
-                yield pa.RecordBatch.from_arrays([pa.array(names), part.column(0).take(pa.array(np.full(len(names), q)))],
-                                                 names=["bucket", "query_id"])
-
+    size = 4 if dict(rows.dtypes)["vec"] == "array<float>" else 8
+    shards = -(-n * dim * size // SHARD_BYTES) or 1
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(cores // shards, queries.count() // PART))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The vectors of one shard, and after them queries."""
+        ids, xs, own, q, shard = [], [], [], [], None
+
+        def answer() -> pa.RecordBatch:
+            who, asked = np.concatenate(own), np.concatenate(q)
+            i, row, score = shard.best(who, asked, k, probes)
+            own.clear(), q.clear()
+            return pa.RecordBatch.from_arrays([pa.array(who[i]), pa.array(shard.ids[row]), pa.array(score)],
+                                              names=["query_id", "vec_id", "score"])
+
+        for batch in batches:
+            cut = batch.num_rows - batch.column(0).true_count
+            for part, at in ((batch.slice(0, cut), ids), (batch.slice(cut), own)):
+                if part.num_rows:
+                    x = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                    at.append(part.column(1).to_numpy())
+                    (xs if at is ids else q).append(x if at is ids else x.astype(np.float64))
+            if own and ids:
+                shard = Shard(family, np.concatenate(ids), np.concatenate(xs), most)
+                ids.clear(), xs.clear()
+            if shard is not None and sum(map(len, own)) >= QUERIES:
+                yield answer()
+        if own and shard is not None:
+            yield answer()
+
+    # A cell is a shard with a part of the queries; each cell is a task.
     small_batches(rows)
-    indexed = rows.select("vec_id", "vec").mapInArrow(index, f"bucket long, vec_id long, vec {kind}")
-    large = cut_lineage(indexed.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > BLOCK)
-                        .select("bucket", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks")), "lsh-large")
-    blocks = F.coalesce("blocks", F.lit(1))
-    shard = F.pmod(F.xxhash64("bucket", "block"), F.lit(shards)).cast("int").alias("shard")
-    left = (indexed.join(large, "bucket", "left").withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int"))
-            .select(shard, F.xxhash64("bucket", "block").alias("place"), "vec_id", "vec"))
-    right = (queries.mapInArrow(probe, "bucket long, query_id long").join(large, "bucket", "left")
-             .withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-             .groupBy(shard, "query_id").agg(F.collect_list(F.xxhash64("bucket", "block")).alias("places"))
-             .join(queries.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query")), "query_id"))
-
-    def best(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        """The k best of the blocks of one shard for each query that probes some of them."""
-        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
-        if len(held) and len(asked):
-            held = held.sort_values(["place", "vec_id"])
-            places, ids = held["place"].to_numpy(), held["vec_id"].to_numpy()
-            x = np.stack(held["vec"].to_numpy()).astype(np.float64)
-            names, first = np.unique(places, return_index=True)
-            ends = np.append(first[1:], len(places))
-            queries_of: dict[int, list[int]] = {}
-            for i, wanted in enumerate(asked["places"]):
-                at = np.searchsorted(names, wanted)
-                at[at == len(names)] = 0
-                for b in at[names[at] == wanted].tolist():
-                    queries_of.setdefault(b, []).append(i)
-            q, own = np.stack(asked["query"].to_numpy()).astype(np.float64), asked["query_id"].to_numpy()
-            for b, who in queries_of.items():
-                rows, mine = x[first[b]:ends[b]], ids[first[b]:ends[b]]
-                for a in range(0, len(who), 256):
-                    part = np.array(who[a:a + 256])
-                    score = q[part] @ rows.T
-                    score[own[part][:, None] == mine[None]] = -np.inf
-                    level = np.full(len(part), -np.inf)
-                    if len(mine) > k:
-                        level = np.partition(score, len(mine) - k, axis=1)[:, len(mine) - k]
-                    # All that reach the k-th score, of which equals are settled by id.
-                    i, j = np.nonzero((score >= level[:, None]) & (score > -np.inf))
-                    order = np.lexsort((mine[j], -score[i, j], i))
-                    i, j = i[order], j[order]
-                    ok = np.arange(len(i)) - np.searchsorted(i, i) < k
-                    out.append(pd.DataFrame({"query_id": own[part][i[ok]], "vec_id": mine[j[ok]], "score": score[i[ok], j[ok]]}))
-        got = pd.concat(out).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-        got = got.drop_duplicates(["query_id", "vec_id"])
-        return got[got.groupby("query_id").cumcount() < k]
-
-    return left.groupBy("shard").cogroup(right.groupBy("shard")).applyInPandas(best, "query_id long, vec_id long, score double")
+    shard, part = F.pmod(F.xxhash64("vec_id"), F.lit(shards)), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    held = rows.select(F.lit(False).alias("asked"), "vec_id", "vec", shard.alias("shard"), every(parts).alias("part"))
+    asked = queries.select(F.lit(True).alias("asked"), "vec_id", "vec", every(shards).alias("shard"), part.alias("part"))
+    dealt = held.unionByName(asked).repartitionById(shards * parts, (F.col("shard") * parts + F.col("part")).cast("int"))
+    dealt = dealt.sortWithinPartitions("asked", "vec_id").select("asked", "vec_id", "vec")
+    return dealt.mapInArrow(scan, "query_id long, vec_id long, score double")

@@ -82,3 +82,56 @@ def test_edge_cases(spark):
         (0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 3, 1.0), (20, 1, 0, 0.0), (20, 2, 1, 0.0), (20, 3, 2, 0.0)]
     assert lsh.search(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
     assert lsh.search(df.where("vec_id = 0"), F.col("vec_id") % 20 == 0).collect() == []
+
+
+@pytest.mark.parametrize("hashes, probes", [(0, 3), (1, 100), (3, 5), (6, 100), (12, 300)])
+def test_probes_of_many_queries_are_those_of_the_heap(hashes, probes):
+    rng = np.random.default_rng(4)
+    family = lsh.Hashes(9, 2, hashes, 2.0)
+    at = family.project(rng.standard_normal((30, 9)))[:, 1]
+    for own, names in zip(at, lsh.probed(family, at, 1, probes), strict=True):
+        moved = []
+        for steps in lsh.perturbations(own - np.floor(own), probes):
+            moved.append(np.floor(own))
+            for i in steps:
+                moved[-1][i if i >= 0 else ~i] += -1 if i >= 0 else 1
+        assert sorted(names.tolist()) == sorted(family.bucket(np.array(moved), 1).tolist())
+
+
+def test_small_limits_give_the_same_rows(spark, monkeypatch):
+    """Shards, parts, blocks and gathered visits of any size give the rows of brute force, also where ids and vectors repeat."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((600, 8)).astype(np.float32)
+    x[100:300] = x[20]  # one bucket of equal vectors
+    ids = np.concatenate([np.arange(500), np.arange(100)])  # and ids that stand for two vectors
+    df = spark.createDataFrame([(int(i), v.tolist(), "x", 1) for i, v in zip(ids, x, strict=True)], SCHEMA)
+    rows = lambda: [tuple(r) for r in lsh.search(df, F.col("vec_id") % 5 == 0, k=7).orderBy("query_id", "rank").collect()]
+    of = {}
+    for i, v in zip(ids.tolist(), x.astype(np.float64), strict=True):
+        of.setdefault(i, []).append(v)
+    want = []
+    for i in range(0, 500, 5):
+        score = {j: max(float((min(of[i], key=list) * v).sum()) for v in vs) for j, vs in of.items() if j != i}
+        want += [(i, r + 1, j, s) for r, (j, s) in enumerate(sorted(score.items(), key=lambda p: (-p[1], p[0]))[:7])]
+    assert rows() == want
+    for name, value in (("SHARD_BYTES", 8000), ("QUERIES", 29), ("VISITS", 500), ("HITS", 4000), ("BLOCK", 64), ("SUMS", 3000), ("PART", 40)):
+        monkeypatch.setattr(lsh, name, value)
+    assert rows() == want
+
+
+def test_memory_of_a_task_does_not_follow_the_queries():
+    """What a task holds is bounded by QUERIES, VISITS and HITS: many times the queries take little more memory."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((20_000, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    shard = lsh.Shard(lsh.Hashes(17, 8, 7, 2.0), np.arange(20_000), x, 1.0)
+    peaks = []
+    for n in (500, 4000):
+        tracemalloc.start()
+        i, row, score = shard.best(np.arange(n), x[:n].astype(np.float64), 20, 100)
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+        assert len(i) == 20 * n and (i != row).all()
+    assert peaks[1] < 250 and peaks[1] < 4 * peaks[0], peaks  # 4,000 queries have 3.2 million visits of 20 rows each
