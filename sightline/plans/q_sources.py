@@ -267,10 +267,13 @@ def workday_replies(rows: DataFrame) -> DataFrame:
         location=F.when(flag == "A", F.col("n_name")),
         additionalLocations=F.when(flag == "A", F.array(F.col("s_nation"), F.lit(""))),
         externalUrl=F.when(flag == "A", F.col("url")))
-    tags = dict(host=F.lit("acme.wd3.example.com"), site=F.lit("Careers"), name=F.col("company"), path=path)
-    details = _payloads(rows.filter(flag != "R"), "workday", F.to_json(_obj(jobPostingInfo=info)),
-                        kind=F.lit("detail"), **tags)
-    return _payloads(rows, "workday", listed, kind=F.lit("list"), **tags).unionByName(details)
+    # Both replies of a sighting in one pass over the rows.
+    replies = F.array(
+        F.struct(F.lit("list").alias("kind"), listed.alias("payload")),
+        F.when(flag != "R", F.struct(F.lit("detail").alias("kind"), F.to_json(_obj(jobPostingInfo=info)).alias("payload"))))
+    rows = rows.select("fetched_at", "pos", "company", path.alias("path"), F.explode(replies).alias("reply"))
+    return _payloads(rows.filter(F.col("reply").isNotNull()), "workday", F.col("reply.payload"), kind=F.col("reply.kind"),
+                     host=F.lit("acme.wd3.example.com"), site=F.lit("Careers"), name=F.col("company"), path=F.col("path"))
 
 
 @query("src_workday", f"""

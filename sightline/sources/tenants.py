@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import parse_date_iso
 from ..functions.keys import host_tenant
 from ..functions.text import strip_tags
-from .base import first_text, first_wins, items, meta, sightings, vget, with_fields
+from .base import first_text, items, meta, sightings, vget, with_fields
 
 # `key` is a hash of the columns after it: sorting by it first spares comparing texts that are mostly the same.
 _SITE = ["key", "fetched_at", "host", "site", "path"]
@@ -20,41 +20,38 @@ def _site_rows(payloads: DataFrame, source: str) -> DataFrame:
     return payloads.filter((F.col("source") == source) & whole)
 
 
-def _keyed(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("key", F.xxhash64(*_SITE[1:]))
-
-
 def _places(primary: Column, others: Column) -> Column:
     all_places = F.concat(F.array(primary), F.coalesce(others, F.array().cast("array<string>")))
     return F.filter(all_places, lambda p: F.coalesce(p, F.lit("")) != "")
 
 
 def workday(payloads: DataFrame) -> DataFrame:
-    """List entries joined to their detail replies; without a detail the list entry stands alone."""
-    pages = _site_rows(payloads, "workday")
-    site = [meta("host").alias("host"), meta("site").alias("site")]
-    # What the rows show is read before the join, so that neither replies nor their tags have to cross it.
-    listed = with_fields(
-        items(pages.filter(meta("kind") == "list"), "workday", "$.jobPostings"), "item",
-        "externalPath string, title string, locationsText string")
-    listed = _keyed(
-        listed.select("fetched_at", "page", "item_no", "item", *site, F.col("f.externalPath").alias("path"),
-                      F.struct(meta("lang").alias("lang"), meta("tenant").alias("tenant"), meta("name").alias("name"),
-                               "f.title", "f.locationsText").alias("entry"))
-        .filter(F.col("path") != ""))
-    listed = first_wins(listed, _SITE, ["page", "item_no"])
-    detail = (
-        pages.filter(meta("kind") == "detail")
-        .select("fetched_at", "page", *site, meta("path").alias("path"), F.try_parse_json("payload").alias("doc"))
-        .select("fetched_at", "page", "host", "site", "path",
-                F.explode(F.array(vget("doc", "$.jobPostingInfo", "variant"))).alias("info"))
-        .filter(F.col("info").isNotNull())
-    )
-    detail = with_fields(
-        detail, "info", "externalUrl string, title string, location string, additionalLocations array<string>, "
-        "jobDescription string, startDate string", "shown").drop("info")
-    detail = first_wins(_keyed(detail), _SITE, ["page"]).drop("page")
-    rows = listed.join(detail, _SITE, "left")
+    """List entries with their detail replies; without a detail the list entry stands alone."""
+    # Replies of both kinds go one way: what they come from is computed once, and an entry and its detail meet in a sum per
+    # posting, which is formed in each task before the only shuffle.
+    pages = _site_rows(payloads, "workday").filter(meta("kind").isin("list", "detail"))
+    tags = [meta(name).alias(name) for name in ("host", "site", "path", "lang", "tenant", "name")]
+    pages = pages.select("fetched_at", "page", "payload", (meta("kind") == "list").alias("listed"), *tags)
+    elements = F.when(F.col("listed"), vget(F.try_parse_json("payload"), "$.jobPostings", "array<variant>")).otherwise(
+        F.array(vget(F.try_parse_json("payload"), "$.jobPostingInfo", "variant")))
+    rows = pages.select(*[c for c in pages.columns if c != "payload"], F.posexplode(elements).alias("item_no", "item"))
+    rows = with_fields(
+        rows, "item", "externalPath string, title string, locationsText string, externalUrl string, location string, "
+        "additionalLocations array<string>, jobDescription string, startDate string")
+    rows = rows.select(
+        "fetched_at", "page", "item_no", "item", "listed", "host", "site", "lang", "tenant", "name", "f",
+        F.when(F.col("listed"), F.col("f.externalPath")).otherwise(F.col("path")).alias("path"),
+    ).filter((F.col("path") != "") & F.col("item").isNotNull())
+    # The first is the smallest in (page, item_no); the fields after these only settle ties.
+    entry = F.when(F.col("listed"), F.struct("page", "item_no", "lang", "tenant", "name", "f.title", "f.locationsText"))
+    shown = F.when(~F.col("listed"), F.struct(
+        "page", "f.externalUrl", "f.title", "f.location", "f.additionalLocations", "f.jobDescription", "f.startDate"))
+    rows = rows.withColumn("key", F.xxhash64(*_SITE[1:])).groupBy(*_SITE).agg(
+        F.min(entry).alias("entry"), F.min(shown).alias("shown"), F.min_by("item", entry).alias("item"))
+    # A reply without a clock has no detail.
+    rows = rows.filter(F.col("entry").isNotNull()).select(
+        "fetched_at", "host", "site", "path", "item", "entry", "entry.page", "entry.item_no",
+        F.when(F.col("fetched_at").isNotNull(), F.col("shown")).alias("shown"))
 
     places = _places(F.col("shown.location"), F.col("shown.additionalLocations"))
     rows = rows.select("*", F.posexplode_outer(places).alias("place_no", "place"))

@@ -225,3 +225,26 @@ def test_landing_packs_all_sources_in_one_pass(spark):
     assert re.findall(r"Relation \[([a-z]+)_", _plan(out)).count("l") == 1
     assert {r["source"] for r in out.select("source").distinct().collect()} <= {
         "adzuna", "reed", "greenhouse", "ashby", "workable", "oracle"}
+
+
+def test_workday_computes_its_replies_once(landed):
+    """List and detail replies share one pass and one shuffle; before, what lies below was computed for each and joined."""
+    rows = landed(("workday", {}, {"kind": "list"}))
+    plan = src.read_sources(rows, only="workday").select("url", "location")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_workday_first_entry_and_first_detail(spark, landed):
+    """The first of each by page and item, also over several replies; a detail alone, or without a clock, shows nothing."""
+    site = {"host": "a.wd3.x.com", "site": "S"}
+    job = lambda n, t: {"externalPath": n, "title": t, "locationsText": "Leeds"}
+    rows = landed(
+        ("workday", {"jobPostingInfo": {"jobDescription": "first"}}, {"kind": "detail", "path": "/1", **site}),
+        ("workday", {"jobPostings": [job("/2", "two"), job("/1", "one"), job("/1", "again")]}, {"kind": "list", **site}),
+        ("workday", {"jobPostings": [job("/1", "later")]}, {"kind": "list", **site}),
+        ("workday", {"jobPostingInfo": {"jobDescription": "second"}}, {"kind": "detail", "path": "/1", **site}),
+        ("workday", {"jobPostingInfo": {"jobDescription": "alone"}}, {"kind": "detail", "path": "/3", **site}),
+        ("workday", {"jobPostingInfo": {"jobDescription": "no path"}}, {"kind": "detail", **site}))
+    shown = lambda df: [(r["title"], r["description"]) for r in df.orderBy("pos").collect()]
+    assert shown(src.REGISTRY["workday"](rows)) == [("two", ""), ("one", "first")]
+    assert shown(src.REGISTRY["workday"](rows.withColumn("fetched_at", F.lit(None).cast("timestamp")))) == [("two", ""), ("one", "")]
