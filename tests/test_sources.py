@@ -248,3 +248,26 @@ def test_workday_first_entry_and_first_detail(spark, landed):
     shown = lambda df: [(r["title"], r["description"]) for r in df.orderBy("pos").collect()]
     assert shown(src.REGISTRY["workday"](rows)) == [("two", ""), ("one", "first")]
     assert shown(src.REGISTRY["workday"](rows.withColumn("fetched_at", F.lit(None).cast("timestamp")))) == [("two", ""), ("one", "")]
+
+
+def test_indeed_reads_fields_once(landed):
+    """The fields of a result are read at once, after a key's first is found; before, by a read for each use (some thirty)."""
+    shown = ["url", "company", "title", "location", "description", "posted_at", "salary_min", "salary_max", "currency", "remote"]
+    plan = _plan(src.read_sources(landed(("indeed", {}, {})), only="indeed").select(*shown))
+    assert plan.count("try_variant_get(item#") <= 3 and plan.count("parseJson") == 1
+
+
+def test_indeed_first_of_a_key(landed):
+    """A key's first result counts, in one reply and over replies of one scan."""
+    job = lambda k, t, **more: {"job": {"key": k, "title": t, **more}}
+    page = lambda *jobs: ("indeed", {"data": {"jobSearch": {"results": [*jobs]}}}, {})
+    rows = landed(
+        page(job("", "no key"), job("b", "b"), {"job": None}, 5, job("a", "a", location="text", attributes=[{"label": "WFH"}, 3]), job("a", "again")),
+        page(job("a", "later"), job(7, "number"), job("c", "c", compensation={"baseSalary": {}, "estimated": {
+            "currencyCode": "EUR", "baseSalary": {"unitOfWork": "year", "range": {"min": 1, "max": "x"}}}})),
+        ("indeed", "<html>", {}), ("indeed", {"data": 3}, {}))
+    got = _rows(src.REGISTRY["indeed"](rows))
+    assert [(r["url"][-1], r["title"], r["remote"]) for r in got] == [
+        ("b", "b", None), ("a", "a", True), ("7", "number", None), ("c", "c", None)]
+    assert (got[3]["salary_min"], got[3]["salary_max"], got[3]["currency"]) == (1.0, None, "EUR")
+    assert json.loads(got[1]["raw"])["title"] == "a" and got[1]["pos"] == {"page": 0, "item": 4}
